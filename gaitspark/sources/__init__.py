@@ -1 +1,12 @@
+"""Readers, writers and generators."""
 
+from .files import (
+    append_annotations, append_runs, new_run, newest_version, read_annotation_log, read_episodes, read_model, save_index, save_model, upsert_motif_annotation, write_episodes, write_json,
+)
+from .imports import register_sources, speed_series, zeng_rows
+from .synthetic import default_scenes, synthetic_tracks, synthetic_velocity
+
+__all__ = [
+    "append_annotations", "append_runs", "default_scenes", "new_run", "newest_version", "read_annotation_log", "read_episodes", "read_model", "register_sources", "save_index", "save_model", "speed_series", "synthetic_tracks",
+    "synthetic_velocity", "upsert_motif_annotation", "write_episodes", "write_json", "zeng_rows",
+]

@@ -1 +1,5 @@
+"""Structured Streaming forms of the stateful operators."""
 
+from .operators import latest_annotation_stream, scene_window_stream, track_stream
+
+__all__ = ["latest_annotation_stream", "scene_window_stream", "track_stream"]
