@@ -10,12 +10,13 @@ rows for each possible length, whatever the number of documents.
 from __future__ import annotations
 
 import bisect
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -24,54 +25,119 @@ from pyspark.sql import functions as F
 from .common import materialize, worker_path
 
 SPECIAL = re.compile(r"<\|[^|]*\|>")
+BLANKS = re.compile(r" (?:\s|$)")
 BEFORE_WORD = re.compile(r"(?= \S)")
+TABLE = 600_000
+# Fixed value: the pre-tokenizer's pattern.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(2)
 def tokenizer(path: str):
+    # Spark runs a worker on each core; the library's own threads would fight over them.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-class ChunkIds(dict):
-    """Ids of chunks as little-endian 32-bit bytes; a chunk is a word with the space before it."""
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class WordIds:
+    """Ids of whole texts, by tables of the words seen lately.
+
+    Byte-level pre-tokens never cross a space that a visible character follows, so a
+    text is cut there, and each distinct word behind a space is encoded once. New words
+    are encoded as one text, by the same merges in a faster library, and cut apart
+    by the lengths of their bytes. Special tokens in a text change what follows them;
+    such texts go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
-        self.tok = tokenizer(path)
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self) > 300_000:
-            self.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self]
-        if new:
-            for chunk, got in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[chunk] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The library's ids of the whole text.
-
-        Byte-level pre-tokens never cross a space that a visible character follows,
-        so texts are cut there; special tokens in the text change that, and such
-        texts go to the library whole.
-        """
-        if SPECIAL.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = BEFORE_WORD.split(text)
-        self.learn(chunks)
-        return b"".join(map(self.__getitem__, chunks))
+        import tiktoken
+
+        self.tok, self.first, self.spaced, self.odd = tokenizer(path), {}, {}, {}
+        special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        at = byte_alphabet()
+        ranks = {bytes(at[c] for c in piece): i for piece, i in self.tok.get_vocab().items() if piece not in special}
+        self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for piece, i in ranks.items():
+            self.size[i] = len(piece)
+
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, table: dict[str, bytes], words: set[str]) -> None:
+        new = [w for w in words if w not in table]
+        table.update(zip(new, self._bytes(new), strict=True))
+
+    def _learn_spaced(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.spaced]
+        if not new:
+            return
+        ids = np.array(self.fast.encode_ordinary(" " + " ".join(new)), "<u4")
+        ends = self.size[ids].cumsum()
+        cuts = np.searchsorted(ends, np.fromiter((len(w.encode()) + 1 for w in new), np.int64, len(new)).cumsum()) + 1
+        data, at = ids.tobytes(), 0
+        for w, cut in zip(new, (4 * cuts).tolist(), strict=True):
+            self.spaced[w] = data[at:cut]
+            at = cut
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        for table in (self.first, self.spaced, self.odd):
+            if len(table) > TABLE:
+                table.clear()
+        cut: list[tuple[str, list[str]]] = []
+        heads, words, chunks = set(), set(), set()
+        for t in texts:
+            if SPECIAL.search(t):
+                cut.append(("whole", [t]))
+            elif BLANKS.search(t):
+                parts = BEFORE_WORD.split(t)
+                chunks.update(parts)
+                cut.append(("odd", parts))
+            else:
+                parts = t.split(" ")
+                heads.add(parts[0])
+                words.update(parts[1:])
+                cut.append(("words", parts))
+        self._learn(self.first, heads)
+        self._learn_spaced(words)
+        self._learn(self.odd, chunks)
+        out = []
+        for how, parts in cut:
+            if how == "whole":
+                out += self._bytes(parts)
+            elif how == "odd":
+                out.append(b"".join(map(self.odd.__getitem__, parts)))
+            else:
+                out.append(self.first[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:])))
+        return out
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One table for all tasks of a worker."""
+    return WordIds(path)
 
 
 def _pieces(path: str, size: int, end: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkIds(path)
+        table = word_ids(path)
         for batch in batches:
             texts, keep = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for at in range(0, len(texts), 512):
                 cols: list[list] = [[], [], [], [], []]
-                for doc_id, text in zip(keep[at : at + 512], texts[at : at + 512], strict=True):
-                    ids = table.encode(text or "") + end
+                encoded = table.encode([t or "" for t in texts[at : at + 512]])
+                for doc_id, ids in zip(keep[at : at + 512], encoded, strict=True):
+                    ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % size or size, n, size), n]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
