@@ -42,30 +42,33 @@ class MarkedWords(dict):
             raise ValueError("pieces of this model can cross white space, or it changes texts")
         self.lone = np.array([self.sp.piece_to_id(MARK)], "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The library's ids of the whole text, without begin and end."""
-        if not text:
-            return b""
-        words = MARKED.findall(MARK + text.replace(" ", MARK))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each whole text, without begin and end."""
         if len(self) > TABLE:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if new:
-            # The library puts the first marker back in front.
-            for word, ids in zip(new, self.sp.encode([w[1:] for w in new], num_threads=1), strict=True):
-                self[word] = np.array(ids, "<u4").tobytes() if word != MARK else self.lone
-        return b"".join(map(self.__getitem__, words))
+        cut = [MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = list({w for words in cut for w in words}.difference(self))
+        # The library puts the first marker back in front.
+        for word, ids in zip(new, self.sp.encode([w[1:] for w in new], num_threads=1), strict=True):
+            self[word] = np.array(ids, "<u4").tobytes() if word != MARK else self.lone
+        return [b"".join(map(self.__getitem__, words)) for words in cut]
+
+
+@lru_cache(1)
+def marked_words(path: str) -> MarkedWords:
+    """One table for all tasks of a worker."""
+    return MarkedWords(path)
 
 
 def _encode(path: str, bounds: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = MarkedWords(path)
+        table = marked_words(path)
         first = np.array([table.sp.bos_id()], "<u4").tobytes() if bounds else b""
         last = np.array([table.sp.eos_id()], "<u4").tobytes() if bounds else b""
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 512):
-                ids = [first + table.encode(t or "") + last for t in texts[at : at + 512]]
+                ids = [first + x + last for x in table.encode([t or "" for t in texts[at : at + 512]])]
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
