@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import wrap_angle
 from ..schema import FEATURES
 
-EPISODE = W.partitionBy("episode_id")
+
+
+def episode() -> WindowSpec:
+    return W.partitionBy("episode_id")
 
 
 def finite(samples: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def finite(samples: DataFrame) -> DataFrame:
 
 def _islands(rows: DataFrame, order: str, flag: str) -> DataFrame:
     """Gaps and islands: run numbers runs of equal flag within an episode."""
-    by = EPISODE.orderBy(order)
+    by = episode().orderBy(order)
     return rows.withColumn("change", F.when(F.lag(flag).over(by) == F.col(flag), 0).otherwise(1)).withColumn("run", F.sum("change").over(by))
 
 
@@ -36,13 +39,13 @@ def run_lengths(rows: DataFrame, order: str, flag: str) -> DataFrame:
 
 def moving_flags(velocity: DataFrame) -> DataFrame:
     """Adds moving, speed over a tenth of the episode's median (of at least 1e-9)."""
-    half = F.percentile("v", 0.5).over(EPISODE)
+    half = F.percentile("v", 0.5).over(episode())
     return velocity.withColumn("moving", F.col("v") > 0.1 * F.greatest(half, F.lit(1e-9)))
 
 
 def _speed_stats(rows: DataFrame, order: str, rate: Column, jump: Column) -> DataFrame:
     """What speed alone tells, for rows with v and moving: aggregates per episode over its runs."""
-    rows = _islands(rows.withColumn("dv", F.col("v") - F.lag("v").over(EPISODE.orderBy(order))), order, "moving")
+    rows = _islands(rows.withColumn("dv", F.col("v") - F.lag("v").over(episode().orderBy(order))), order, "moving")
     per_run = rows.groupBy("episode_id", "run").agg(
         F.first("moving").alias("moving"), F.count("*").alias("n"), F.sum("v").alias("sv"), F.sum(F.col("v") * F.col("v")).alias("svv"), F.sum(F.col("dv") * F.col("dv")).alias("sdd"), F.count("dv").alias("nd"),
     )
@@ -76,7 +79,7 @@ def velocity_features(velocity: DataFrame, fps: float = 100.0, compat: bool = Fa
 
 def modal_step(samples: DataFrame) -> DataFrame:
     """episode_id and step, the most frequent frame delta; the smallest of equally frequent ones, 1 without any."""
-    by = EPISODE.orderBy("frame")
+    by = episode().orderBy("frame")
     deltas = samples.select("episode_id", (F.col("frame") - F.lag("frame").over(by)).alias("delta"))
     counted = deltas.groupBy("episode_id", "delta").agg(F.count("*").alias("n"))
     return counted.groupBy("episode_id").agg(F.coalesce(F.min_by("delta", F.when(F.col("delta").isNotNull(), F.struct(-F.col("n"), "delta"))), F.lit(1)).alias("step"))
@@ -88,7 +91,7 @@ def steps(samples: DataFrame, fps: Column | None = None, strict: bool = False, w
     A step is valid if its frame delta is the modal one, or (not strict) within a quarter
     of it, at least 1. Turns need two valid steps in a row. wrap takes the short way round.
     """
-    by = EPISODE.orderBy("frame")
+    by = episode().orderBy("frame")
     rate = fps if fps is not None else F.col("fps")
     rows = finite(samples).join(modal_step(finite(samples)), "episode_id").withColumn("dt", F.col("step") / rate)
     rows = rows.withColumns({"delta": F.col("frame") - F.lag("frame").over(by), "dx": F.col("x") - F.lag("x").over(by), "dy": F.col("y") - F.lag("y").over(by)})
@@ -118,7 +121,7 @@ def trajectory_features(samples: DataFrame, compat: bool = False) -> DataFrame:
         F.sum(F.when(F.col("valid"), F.col("len"))).alias("path"), F.avg(F.try_divide(F.abs("turn"), F.col("dt"))).alias("turn_rate_mean"), F.percentile(F.try_divide(F.abs("turn"), F.col("dt")), 0.9).alias("turn_rate_p90"),
         F.avg(F.abs("turn") / F.greatest("len", F.lit(1e-9))).alias("curvature_mean"), F.percentile("v", 0.9).alias("speed_p90"),
     ).where("points >= 2")
-    half = F.percentile("v", 0.5).over(EPISODE)
+    half = F.percentile("v", 0.5).over(episode())
     kept = rows.where("valid").withColumn("moving", F.col("v") > F.greatest(0.1 * half, F.lit(1e-9)))
     speed = _speed_stats(kept, "frame", F.col("fps"), F.col("step"))
     g = everyone.join(geometry, "episode_id", "left").join(speed, "episode_id", "left")
@@ -143,7 +146,7 @@ def frame_speed_heading(samples: DataFrame) -> DataFrame:
 
     A step without motion has no heading; that frame takes the heading of the very next step only.
     """
-    by = EPISODE.orderBy("frame")
+    by = episode().orderBy("frame")
     rows = finite(samples).withColumns({"gap": (F.col("frame") - F.lag("frame").over(by)) / F.col("fps"), "dx": F.col("x") - F.lag("x").over(by), "dy": F.col("y") - F.lag("y").over(by)})
     length = F.hypot("dx", "dy")
     rows = rows.withColumns({"v_in": F.when(F.col("gap") > 0, length / F.col("gap")), "h_in": F.when(length > 1e-9, F.atan2("dy", "dx"))})
@@ -152,8 +155,8 @@ def frame_speed_heading(samples: DataFrame) -> DataFrame:
 
 def resample(rows: DataFrame, order: str, points: int) -> DataFrame:
     """At most ``points`` rows of each episode, evenly by position, first and last included."""
-    n = F.count("*").over(EPISODE)
-    rows = rows.withColumns({"pos": F.row_number().over(EPISODE.orderBy(order)) - 1, "n": n})
+    n = F.count("*").over(episode())
+    rows = rows.withColumns({"pos": F.row_number().over(episode().orderBy(order)) - 1, "n": n})
     # Position p stands for some i of 0..m-1 with floor(i * (n-1) / (m-1)) = p.
     last, m = F.col("n") - 1, max(points - 1, 1)
     i = F.ceil(F.col("pos") * m / F.when(last > 0, last)).cast("long")
@@ -164,7 +167,7 @@ def resample(rows: DataFrame, order: str, points: int) -> DataFrame:
 def sliding_windows(velocity: DataFrame, fps: float = 100.0, window_s: float = 3.0, stride_s: float = 1.0, least: int = 10, **kw) -> DataFrame:
     """Velocity features of overlapping stretches, by window number; episodes too short for one are one window."""
     width, stride = int(window_s * fps), max(int(stride_s * fps), 1)
-    rows = velocity.withColumns({"pos": F.row_number().over(EPISODE.orderBy("i")) - 1, "n": F.count("*").over(EPISODE)})
+    rows = velocity.withColumns({"pos": F.row_number().over(episode().orderBy("i")) - 1, "n": F.count("*").over(episode())})
     last = F.when(F.col("n") <= width, 0).otherwise(F.floor((F.col("n") - width) / stride)).cast("long")
     lo = F.greatest(F.lit(0), F.ceil((F.col("pos") - width + 1) / stride).cast("long"))
     hi = F.least(last, F.floor(F.col("pos") / stride).cast("long"))
@@ -181,9 +184,9 @@ def shape_series(samples: DataFrame, points: int = 64) -> DataFrame:
     Short episodes are stretched, so that every series has the same length.
     """
     rows = steps(samples, strict=True).where("valid")
-    rows = rows.withColumns({"k": F.row_number().over(EPISODE.orderBy("frame")) - 1, "n": F.count("*").over(EPISODE), "t": F.coalesce("turn", F.lit(0.0))})
+    rows = rows.withColumns({"k": F.row_number().over(episode().orderBy("frame")) - 1, "n": F.count("*").over(episode()), "t": F.coalesce("turn", F.lit(0.0))})
     for c in ("v", "t"):
-        rows = rows.withColumn(f"z{c}", (F.col(c) - F.avg(c).over(EPISODE)) / F.greatest(F.stddev_pop(c).over(EPISODE), F.lit(1e-9)))
+        rows = rows.withColumn(f"z{c}", (F.col(c) - F.avg(c).over(episode())) / F.greatest(F.stddev_pop(c).over(episode()), F.lit(1e-9)))
     series = rows.groupBy("episode_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "zv", "zt"))).alias("s"))
     place = lambda i: i * (F.col("n") - 1) / (points - 1)
 

@@ -65,13 +65,13 @@ def all_knn(index: DataFrame, k: int = K, metric: str = "euclidean", blocks: int
     n = blocks or max(1, -(-total // QUERY_BLOCK))
     rows = index.select(F.col("id").cast("long").alias("id"), F.col("z").cast("array<double>").alias("z"), F.expr(f"cast(pmod(xxhash64(id), {n}) as int)").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("id", "z", F.col("b").alias("qb"), every.alias("xb"))
-    right = rows.select("id", "z", every.alias("qb"), F.col("b").alias("xb"))
+    left = rows.select(F.col("id").alias("qid"), F.col("z").alias("qz"), F.col("b").alias("qb"), every.alias("xb"))
+    right = rows.select(F.col("id").alias("xid"), F.col("z").alias("xz"), every.alias("qb"), F.col("b").alias("xb"))
 
     def part(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        return _best(k, np.stack(x["z"].to_numpy()), x["id"].to_numpy(), np.stack(q["z"].to_numpy()), q["id"].to_numpy(), metric)
+        return _best(k, np.stack(x["xz"].to_numpy()), x["xid"].to_numpy(), np.stack(q["qz"].to_numpy()), q["qid"].to_numpy(), metric)
 
     got = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(part, "query_id long, id long, dist double")
     ranked = got.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k)

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-VIDEO_FRAME = W.partitionBy("video_id", "frame")
 
 
 # --- detections ---------------------------------------------------------------
@@ -24,7 +23,7 @@ VIDEO_FRAME = W.partitionBy("video_id", "frame")
 
 def chaos_guard(dets: DataFrame, most: int = 40) -> DataFrame:
     """Leaves out frames with more than ``most`` detections."""
-    return dets.withColumn("_n", F.count("*").over(VIDEO_FRAME)).where(F.col("_n") <= most).drop("_n")
+    return dets.withColumn("_n", F.count("*").over(W.partitionBy("video_id", "frame"))).where(F.col("_n") <= most).drop("_n")
 
 
 def _box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:

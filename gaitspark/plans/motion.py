@@ -114,7 +114,7 @@ def zscore_series(spark, d):
     v = A.velocity(spark, d)
     from ..functions.geometry import population_z
 
-    return A.rounded(v.select("episode_id", "i", population_z(F.col("v"), K.EPISODE).alias("z")))
+    return A.rounded(v.select("episode_id", "i", population_z(F.col("v"), K.episode()).alias("z")))
 
 
 @query(A.sql("""SELECT episode_id, w AS "window", count(*)::DOUBLE / 100 AS duration_s, round(avg(v), 6) AS speed_mean, round(quantile_cont(v, 0.9), 6) AS speed_p90 FROM
