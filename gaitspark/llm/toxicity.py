@@ -148,7 +148,7 @@ def _score(model, cut: float):
     return run
 
 
-def score_toxicity(docs: DataFrame, model: CumulativeLink, cut: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: CumulativeLink, cut: float = 0.5) -> DataFrame:
     """docs with severity (expected grade), toxic_probability (of a grade over 0) and toxic (that is cut or more).
 
     Columns of these names are replaced. Every row is scored on its whole text; null

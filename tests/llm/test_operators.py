@@ -1,0 +1,503 @@
+"""Operators against brute force, round trips and held-out rows, with the awkward rows each must take."""
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from gaitspark.llm import ann, fingerprints, graph, neardup, packing, quality, queries, secrets, spiece, toxicity, urls, warc
+from gaitspark.llm.common import new_folder
+
+from ..oracle import compare
+
+SF = "/root/testdata/sf0.001"
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+SPM = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+rng = random.Random(11)
+ODD = ["".join(rng.choice([" ", "  ", "\n", "\t", "a", "Ab", "é", "漢", "1", "23", "!", "?", "▁", "\x1c", "'s", "😀", "<|endoftext|>", "\x85", ".", "the", " the"]) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+LONG = " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(30_000))
+
+
+def docs_of(spark, texts, **extra):
+    rows = [(i, t, "en", f"src{i % 5}", len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for k, v in extra.items():
+        df = df.withColumn(k, F.lit(v))
+    return df
+
+
+def awkward(spark):
+    """Null text and id, empty, blank and very long text, repeated rows, clashing names."""
+    base = docs_of(spark, [None, "", "   ", "one", "one", LONG, "a b c d e f g", "A B C D E F G"])
+    more = spark.createDataFrame([(None, "no id here", "en", "s", 10), (3, "one", "en", "src3", 3), (3, "another text", "en", None, 12)], SCHEMA)
+    df = base.union(more)
+    return df.withColumns({c: F.lit("x") for c in ("sequence_id", "part", "score", "severity", "found", "_uid", "component_id", "u", "bands", "_row", "_rest")})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- 1 packing ------------------------------------------------------------------
+
+
+def ids_of(text):
+    return packing.tokenizer(BPE).encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def test_words_encode_like_the_library():
+    got = packing.WordIds(BPE).encode(ODD)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t)[:-1] for t in ODD]
+
+
+def one_at_a_time(lengths, size):
+    """Best-fit decreasing, piece by piece."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(room) if r >= n]
+        if fits:
+            best = min(fits, key=lambda i: room[i])
+            room[best] -= n
+        else:
+            room.append(size - n)
+    return len(room)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_is_best_fit(seed):
+    r = random.Random(seed)
+    lengths = [min(64, max(1, int(r.expovariate(1 / 20)))) for _ in range(r.randint(1, 400))]
+    steps = packing.plan(dict(Counter(lengths)), 64)
+    placed = defaultdict(list)
+    for length, rank, n, first, each, offset in steps:
+        for k in range(n):
+            placed[first + k // each].append((offset + k % each * length, length))
+    assert Counter(x for v in placed.values() for _, x in v) == Counter(lengths)
+    for v in placed.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(placed) == one_at_a_time(lengths, 64)
+
+
+def check_packed(rows, docs, size):
+    by_doc = defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+    for doc_id, text in docs:
+        ids, mine = ids_of(text), sorted(by_doc[doc_id], key=lambda r: r["piece"])
+        assert [r["piece"] for r in mine] == list(range(len(mine)))
+        assert np.frombuffer(b"".join(r["ids"] for r in mine), "<u4").tolist() == ids
+        assert all(r["length"] == size for r in mine[1:])
+    used = defaultdict(list)
+    for r in rows:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for v in used.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= size
+
+
+def test_packing_places_every_piece(spark):
+    texts = ODD + [LONG, None, ""]
+    rows = packing.pack(packing.token_pieces(docs_of(spark, texts), BPE, 128), 128).collect()
+    check_packed(rows, list(enumerate(texts)), 128)
+
+
+def test_packing_takes_awkward_rows(spark, empty):
+    rows = packing.pack(packing.token_pieces(awkward(spark), BPE)).collect()
+    assert sum(r["piece"] == 0 for r in rows) == 11
+    assert packing.pack(packing.token_pieces(empty, BPE)).count() == 0
+    with pytest.raises(Exception, match="lengths"):
+        packing.pack(spark.createDataFrame([(0,)], "length long"))
+
+
+# --- 2 fingerprints ---------------------------------------------------------------
+
+
+def x64(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def chain(longs, seed=42):
+    for v in longs:
+        seed = x64((v % 2**64).to_bytes(8, "little"), seed)
+    return seed
+
+
+def signed(v):
+    v %= 2**64
+    return v - 2**64 if v >= 2**63 else v
+
+
+def omh(text):
+    """Order MinHash as written down, element by element."""
+    words = [signed(x64(w.encode())) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    if not words:
+        return [0] * 32
+    kmers = [signed(chain(words))] if len(words) < 3 else [signed(chain(words[i : i + 3])) for i in range(len(words) - 2)]
+    seen, elements = Counter(), []
+    for i, h in enumerate(kmers):
+        top = h >> 24
+        if seen[top]:
+            hashed = signed(x64((seen[top]).to_bytes(4, "little"), chain([top])))
+            elements.append((hashed >> 24, i))
+        else:
+            elements.append((top, i))
+        seen[top] += 1
+    elements.sort()
+    out = []
+    for j in range(-16, 16):
+        first = sum(e[0] >> 35 < j for e in elements)
+        picked = [elements[(first + g) % len(elements)] for g in range(min(2, len(elements)))]
+        out.append(signed(chain([h for h, _ in sorted(picked, key=lambda e: (e[1], e[0]))])))
+    return out
+
+
+def test_fingerprints_match_brute_force(spark):
+    texts = ["", "a", "a b", "x x x x x x x", "the cat sat on the mat the cat sat on the mat", None] + [" ".join(rng.choice("abcdefghij") for _ in range(n)) for n in (3, 4, 10, 60, 300)]
+    rows = fingerprints.fingerprint(docs_of(spark, texts), "text", "fp").collect()
+    for r in rows:
+        assert r["fp"] == omh(r["text"]), r["text"]
+
+
+def test_op2_contract(spark):
+    rows = {r["doc_id"]: r for r in queries.op2_order_minhash(spark, SF).collect()}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    import hashlib
+
+    order = sorted(docs, reverse=True)
+    assert set(rows) == set(docs)
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        third = len(docs[a]) // 3
+        text = docs[a][: len(docs[a]) - third] + docs[b][:third]
+        assert rows[a]["edited_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert rows[a]["n_chars"] == len(docs[a])
+        fa, fe, fb = omh(docs[a]), omh(text), omh(docs[b])
+        assert rows[a]["near_edited"] == sum(x == y for x, y in zip(fa, fe, strict=True)) / 32
+        assert rows[a]["near_next"] == sum(x == y for x, y in zip(fa, fb, strict=True)) / 32
+
+
+def test_order_matters_and_successors(spark, empty):
+    a, b = omh("one two three four five six seven eight"), omh("five six seven eight one two three four")
+    assert a != b
+    for df, n in ((awkward(spark), 11), (empty, 0), (docs_of(spark, ["only"]), 1)):
+        rows, down = fingerprints.in_order(df.select("doc_id", "text"), rows_in_bucket=2)
+        got = rows.withColumn("after", F.lead("text").over(down)).where("_guest = 0").collect()
+        assert len(got) == n and all(r["after"] is not None for r in got)
+
+
+# --- graph and 3 URLs -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(None, 1), (7, 7)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {x: find(x) for x in parent}
+
+
+def page(url, *tags):
+    return (url, "<html><head>" + "".join(tags) + "</head><body>x</body></html>")
+
+
+def test_redirects_carry_decisions(spark):
+    rows = [
+        page("https://a.org/1", '<link rel="canonical" href="https://bad.net/x">'),
+        page("https://b.org/2", '<meta http-equiv="refresh" content="0; url=https://a.org/1">'),
+        page("https://bad.net/x"),
+        page("https://c.org/3", "<link href='//c.org/4' rel='canonical'>"),
+        page("https://c.org/4", '<link rel=canonical href=/5>'),
+        page("https://c.org/5", '<link rel="canonical" href="https://spam.net/q">'),
+        page("https://d.org/6", '<link rel="canonical" href="https://c.org/3"><link rel="canonical" href="https://EXAMPLE.net/en/ok">'),
+        page("https://Free.COM/"), page(None), page("no scheme"), page("https://org/fr/x?y#z"), page("HTTP://x.example.com/de/p"), page("https://free.com/de/"), page("https://example.net/en"),
+    ]
+    df = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)] + [(0, *rows[0], "x")], "page_id long, url string, html string, verdict string")
+    got = urls.judge_urls(df, queries.RULES).collect()
+    assert len(got) == len(rows) + 1
+    v = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got}
+    assert [v[i][3] for i in range(3)] == ["block"] * 3
+    assert [v[i][3] for i in range(3, 7)] == ["allow"] * 4
+    assert v[2][2] == "net/" and v[7] == ("free.com", "/", None, "allow")
+    assert v[8] == ("", "", None, "allow") and v[9] == ("", "", None, "allow")
+    assert v[10] == ("org", "/fr/x", "org/fr/", "allow") and v[11] == ("x.example.com", "/de/p", "example.com/de/", "block")
+    assert v[12][3] == "allow" and v[13] == ("example.net", "/en", "net/", "block")
+    assert urls.judge_urls(df.limit(0), queries.RULES).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    compare(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], SF)
+
+
+# --- 4 nearest neighbours -----------------------------------------------------------------
+
+
+def brute(rows, queries_, k):
+    x, ids = np.array([r[1] for r in rows], np.float64), np.array([r[0] for r in rows])
+    out = {}
+    for qid, q in queries_:
+        d = np.sqrt(((x - np.array(q, np.float64)) ** 2).sum(1))
+        out[qid] = [(int(ids[i]), d[i]) for i in np.lexsort((ids, d)) if ids[i] != qid][:k]
+    return out
+
+
+def test_recall_and_scores(spark):
+    t = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in t.collect()]
+    asked = t.where("vec_id % 5 = 0")
+    got = defaultdict(dict)
+    for r in ann.search(t, asked, 10, posting=20).collect():
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    want = brute(rows, [r for r in rows if r[0] % 5 == 0], 10)
+    assert set(got) == set(want)
+    hit = sum(len({v for v, _ in got[q].values()} & {v for v, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
+    assert hit >= 0.9, hit
+    exact = {(q, v): s for q, w in brute(rows, [r for r in rows if r[0] % 5 == 0], len(rows)).items() for v, s in w}
+    for q, ranks in got.items():
+        assert sorted(ranks) == list(range(1, 11))
+        assert all(abs(exact[q, v] - s) < 1e-12 for v, s in ranks.values())
+        assert list(ranks[i] for i in range(1, 11)) == sorted((ranks[i] for i in range(1, 11)), key=lambda x: (x[1], x[0]))
+
+
+def test_hot_and_unusable_vectors(spark):
+    hot = [(i, [1.0, 0.0]) for i in range(60)]
+    rest = [(100 + i, [float(np.cos(i)), float(np.sin(i))]) for i in range(30)]
+    bad = [(200, None), (201, [0.0, 0.0]), (202, [float("nan"), 1.0]), (203, [None, 1.0]), (204, [float("inf"), 1.0]), (205, [1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(hot + rest + bad + hot[:3], "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "score": F.lit("x"), "rank": F.lit(0)})
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 10 = 0"), 10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q, found in got.items():
+        if q < 100:
+            assert found == [(i, 0.0) for i in range(11) if i != q][:10]
+    assert 200 not in got and set(got) == {*range(0, 60, 10), 100, 110, 120}
+    assert ann.search(df.limit(0), df.limit(0), 10).count() == 0
+    few = df.where("vec_id in (100, 101, 102)")
+    assert ann.search(few, few, 10).count() == 6
+
+
+# --- 5 WARC -----------------------------------------------------------------------------
+
+
+def test_archives_round_trip(spark):
+    html = ["<p>a</p>", "", None, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n\r\n", "é漢😀\r\n\r\n", "<p>a</p>", "\r\n\r\n", LONG, "<p>a</p>"]
+    rows = [(i, f"https://x.org/{i}?q=\n1" if i else None, h, "x") for i, h in enumerate(html)]
+    df = spark.createDataFrame(rows + [rows[5]], "page_id long, url string, html string, type string").repartition(2)
+    path = new_folder(spark, "t")
+    warc.write_archives(df, path)
+    records = warc.read_archives(spark, path)
+    assert records.count() == 30
+    assert sorted(bytes(r["block"]).decode() for r in records.where("type = 'response'").collect()) == sorted({h or "" for h in html})
+    assert records.where("type = 'response' and payload_digest <> stated_digest").count() == 0
+    got = warc.assemble(records).select(warc.field("page-id").alias("p"), "capture.type", "request", warc.field("refers-to-page").alias("to"), "capture.refers_to", "capture.record_id").collect()
+    assert len(got) == 10 and all(r["request"] is not None for r in got)
+    types = {int(r["p"]): (r["type"], r["to"]) for r in got}
+    assert types[0] == ("response", None) and types[5] == ("revisit", "0") and types[8] == ("revisit", "0") and types[2] == ("revisit", "1")
+    ids = {r["record_id"] for r in got if r["type"] == "response"}
+    assert all(r["refers_to"] in ids for r in got if r["type"] == "revisit")
+    empty = new_folder(spark, "t")
+    warc.write_archives(df.limit(0), empty)
+    assert warc.assemble(warc.read_archives(spark, empty)).count() == 0
+
+
+# --- 6 SentencePiece ------------------------------------------------------------------------
+
+
+def test_marked_words_like_the_library():
+    m = spiece.MarkedWords(SPM)
+    texts = [*ODD, LONG, "", " ", "  ", "▁", "a▁ b", "a "]
+    assert [np.frombuffer(x, "<u4").tolist() for x in m.encode(texts)] == m.sp.encode(texts)
+
+
+def test_pieces_round_trip(spark, empty):
+    texts = [*ODD, None, ""]
+    got = {r["doc_id"]: r for r in spiece.decode_pieces(spiece.encode_pieces(docs_of(spark, texts), SPM), SPM).collect()}
+    sp = spiece.processor(SPM)
+    for i, t in enumerate(texts):
+        ids = [1, *sp.encode(t or ""), 2]
+        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == ids
+        assert got[i]["text"] == sp.decode(ids)
+    assert spiece.encode_pieces(awkward(spark), SPM).count() == 11 and spiece.encode_pieces(empty, SPM).count() == 0
+
+
+# --- 7 secrets ------------------------------------------------------------------------------
+
+
+def test_base_spans_by_brute_force():
+    kinds = {0: (re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 12), 1: (re.compile("AKIA[A-Z0-9]+"), 18), 2: (re.compile("[0-9a-f]+"), 16)}
+    r = random.Random(2)
+    parts = ["password", "PassWd", "secret", "toKen", "api_key", "APIKEY", "=", ": ", '"', "'", " ", "AKIA", "ABCDEFGH1234567", "0123456789abcdef", "deadbeef", "é", "ſecret", "toKen", "=abcdefghijklm", "x", "\n", "short"]
+    for _ in range(400):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        want = []
+        for kind, (pat, least) in kinds.items():
+            want += [(m.start(), m.end(), kind) for m in pat.finditer(t) if len(m[1] if kind == 0 else m[0]) >= least]
+        assert [(s, e, k) for s, e, k, _ in secrets.base_spans(t)] == sorted(want)
+
+
+def test_ownership_separates_examples(spark, empty):
+    shared, own, loose = "password=" + "Example123456789", "token: abcdefabcdef1234", "Zx9Qw8Er7Ty6Ui5Op4Lk3Jh2"
+    texts = [f"see {shared} here"] * 6 + [f"mine {own}", f"blob {loose} end", f"é {shared}", None, ""]
+    df = docs_of(spark, texts)
+    got = {r["doc_id"]: r["found"] for r in secrets.scan_secrets(df).collect()}
+    assert [s["live"] for s in got[0]] == [False] and got[0][0]["owners"] == 5 and got[0][0]["repositories"] == 7
+    assert got[6][0]["live"] and [s["kind"] for s in got[7]] == [3]
+    assert got[8][0]["start"] == 2 and got[9] == [] and got[10] == []
+    both = secrets.scan_secrets(df.union(df.where("doc_id = 7").withColumn("source", F.lit("other")))).where("doc_id = 7").collect()
+    assert all(r["found"] == [] for r in both)
+    clean = {r["doc_id"]: r for r in secrets.redact_secrets(df).collect()}
+    assert clean[0]["text"] == "see [EXAMPLE] here" and clean[6]["text"] == "mine [SECRET]" and clean[7]["n_chars"] == len("blob [SECRET] end") and clean[9]["text"] is None
+    w = awkward(spark)
+    out = secrets.redact_secrets(w)
+    assert out.columns == w.columns and out.count() == 11 and secrets.redact_secrets(empty).count() == 0
+    assert secrets.scan_secrets(w.drop("source")).count() == 11
+
+
+# --- 8, 9 classifiers -----------------------------------------------------------------------
+
+
+def labelled(spark, label):
+    d = "/root/testdata/sf0.01"
+    t = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "text", label).collect()
+    held = [r for r in t if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    seen = [r for r in t if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    return seen, held
+
+
+def test_quality_on_held_out_rows(spark):
+    seen, held = labelled(spark, "quality")
+    model = quality.fit([r["text"] for r in seen], [r["quality"] for r in seen])
+    score = np.array([model.score(r["text"]) for r in held])
+    y = np.array([r["quality"] for r in held])
+    assert ((score >= 0.7) == (y == 1)).mean() >= 0.88
+    assert (score[y == 1][:, None] > score[y == 0][None]).mean() >= 0.95
+    rows = queries.op8_naive_bayes_svm(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 1000
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_dual_descent_reaches_the_optimum():
+    r = np.random.default_rng(0)
+    rows = [np.sort(r.choice(40, 8, replace=False)).astype(np.int32) for _ in range(60)]
+    values = [np.ones(8) for _ in rows]
+    y = np.where(np.array([x.sum() for x in rows]) > 160, 1.0, -1.0)
+    w = quality.hinge_dual(rows, values, y, np.full(60, 1.0), epochs=2000)
+
+    def loss(v):
+        m = np.array([yi * (v[x].sum() + v[-1]) for yi, x in zip(y, rows, strict=True)])
+        return 0.5 * (v @ v) + (np.maximum(1 - m, 0) ** 2).sum()
+
+    base = loss(w)
+    for i in [*range(40), -1]:
+        for step in (1e-3, -1e-3):
+            v = w.copy()
+            v[i] += step
+            assert loss(v) >= base - 1e-9
+
+
+def test_toxicity_on_held_out_rows(spark):
+    seen, held = labelled(spark, "toxic")
+    model = toxicity.fit([r["text"] for r in seen], [r["toxic"] for r in seen])
+    above = np.array([model.above(r["text"]) for r in held])
+    y = np.array([r["toxic"] for r in held])
+    assert list(model.thresholds) == sorted(model.thresholds) and (np.diff(above, axis=1) <= 0).all()
+    assert ((above[:, 0] >= 0.5) & (y == 0)).sum() == 0 and (above[y == 1, 0] >= 0.5).mean() >= 0.6
+    assert (above.sum(1)[y == 1][:, None] > above.sum(1)[y == 0][None]).mean() >= 0.9
+
+
+def test_ordinal_fit_recovers_order():
+    r = np.random.default_rng(1)
+    x = (r.random((3000, 3)) < 0.5).astype(np.float32)
+    z = x @ np.array([2.0, -1.0, 0.0]) + r.logistic(size=3000)
+    w, cuts = toxicity.fit_cumulative(x, np.digitize(z, [0.0, 2.0]), 2)
+    assert abs(w[0] - 2) < 0.35 and abs(w[1] + 1) < 0.35 and abs(w[2]) < 0.25 and abs(cuts[0]) < 0.35 and abs(cuts[1] - 2) < 0.35
+
+
+def test_classifiers_take_awkward_rows(spark, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    w = awkward(spark)
+    for labels in (none, spark.createDataFrame([(3, 1, 1), (6, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")):
+        q, t = quality.fit_quality(w, labels), toxicity.fit_toxicity(w, labels)
+        assert quality.score_quality(w, q).where("score between 0 and 1").count() == 11
+        assert toxicity.score_toxicity(w, t).count() == 11
+    assert quality.score_quality(empty, quality.fit([], [])).count() == 0
+    assert toxicity.score_toxicity(w, toxicity.fit([], [])).where("toxic").count() == 0
+
+
+# --- 10 near duplicates --------------------------------------------------------------------
+
+
+def brute_components(texts, percent, size=5):
+    def sh(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+    s = [sh(t) for t in texts]
+    comp = list(range(len(s)))
+    find = lambda i: i if comp[i] == i else find(comp[i])
+    for i in range(len(s)):
+        for j in range(i):
+            if s[i] and s[j] and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j]):
+                a, b = find(i), find(j)
+                comp[max(a, b)] = min(a, b)
+    return [len(x) for x in s], [find(i) for i in range(len(s))]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_match_brute_force(spark, percent, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    r = random.Random(percent)
+    base = [" ".join(r.choice("abcdefghijklmnop") * r.randint(1, 3) for _ in range(80)) for _ in range(5)]
+    texts = [None, "", " ", "a b", "A B", "a b c"]
+    for _ in range(90):
+        w = r.choice(base).split()
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice("xyz") * 3
+        texts.append(" ".join(w))
+    got = {x["doc_id"]: x for x in neardup.near_duplicates(docs_of(spark, texts, component_id="x", u=1), percent).collect()}
+    n, comp = brute_components(texts, percent)
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == n
+    assert [got[i]["component_id"] for i in range(len(texts))] == comp
+    assert all(got[i]["kept"] == (comp[i] == i) for i in range(len(texts)))
+
+
+def test_near_duplicates_take_awkward_rows(spark, empty):
+    rows = neardup.near_duplicates(awkward(spark)).collect()
+    assert len(rows) == 11 and [r["kept"] for r in rows if r["doc_id"] is None] == [True]
+    assert {r["component_id"] for r in rows if r["doc_id"] in (6, 7)} == {6}
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    mul, add = neardup.permutations(1000)
+    r = np.random.default_rng(3)
+    x = r.integers(0, 2**64, 300, dtype=np.uint64)
+    a, b = neardup.min_max_signature(x[:250], mul, add), neardup.min_max_signature(x[50:], mul, add)
+    assert abs((a == b).mean() - 200 / 300) < 0.04
