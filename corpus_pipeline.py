@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gaitspark.llm import neardup, packing, quality, secrets, toxicity
 from gaitspark.llm.common import materialize
 
-TOXIC_FROM = 0.3
+TOXIC_FROM = 0.5
 QUALITY_FROM = 0.3
 SIMILARITY = 80
 
