@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,19 +60,10 @@ def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _piece_digests(batches):
-    for batch in batches:
-        ids, texts = batch.column("ids").to_pylist(), batch.column("text").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
 def op6_marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECE_BPE)
     decoded = spiece.decode_pieces(spiece.encode_pieces(table(spark, sf_dir, "documents"), path), path)
-    return decoded.mapInArrow(_piece_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ example that is copied around. The same count marks the base finds.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -145,7 +144,3 @@ def redact_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     hit = hit.select(*[F.col("text") if c == "text" else F.length("text").cast(fields[c]).alias(c) if c == "n_chars" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
     clean = found.where(F.size("found") == 0).select(*[F.col("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
     return clean.unionByName(hit)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

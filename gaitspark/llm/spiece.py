@@ -8,7 +8,6 @@ bounded; a worker that has seen too many distinct words starts a new one.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -102,7 +101,3 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and text, decoded by the library; null ids are empty."""
     worker_path(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, ids binary, text string")
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
