@@ -51,7 +51,8 @@ def migrate_labels(episodes: DataFrame) -> DataFrame:
 
 def explode_samples(episodes: DataFrame) -> DataFrame:
     """episode_id, frame, x, y, w, h, conf: the parallel arrays as one row per sample, NaN as null."""
-    z = F.arrays_zip(F.col("frames").alias("frame"), F.col("centroids_px").alias("c"), F.col("bbox_wh_px").alias("b"), F.col("detection_confidence").alias("conf"))
+    full = {c: F.coalesce(F.col(c), F.array().cast(EPISODE[c].dataType)) for c in ("frames", "centroids_px", "bbox_wh_px", "detection_confidence")}
+    z = F.arrays_zip(full["frames"].alias("frame"), full["centroids_px"].alias("c"), full["bbox_wh_px"].alias("b"), full["detection_confidence"].alias("conf"))
     rows = episodes.select("episode_id", F.explode(z).alias("s"))
     number = lambda c: F.when(~F.isnan(c), c)
     return rows.select(

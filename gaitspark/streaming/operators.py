@@ -27,7 +27,7 @@ def scene_window_stream(samples: DataFrame, window: str = "2 seconds", stride: s
     return samples.withWatermark("ts", late).groupBy(F.window("ts", window, stride).alias("w"), "scene").agg(F.approx_count_distinct("episode_id").alias("episodes"), F.count("*").alias("samples")).select("scene", "w.start", "w.end", "episodes", "samples")
 
 
-def track_stream(dets: DataFrame, jump: float = 60.0, gap: int = 8, idle: str = "30 seconds") -> DataFrame:
+def track_stream(dets: DataFrame, jump: float = 60.0, gap: int = 8, idle_ms: int = 30_000) -> DataFrame:
     """T-1, T-3, T-7: points of closed tracks of each video (video_id, frame, x1, y1, x2, y2, confidence), append mode.
 
     Frames of a video come in order of micro-batches; within one they are sorted. A
@@ -48,7 +48,7 @@ def track_stream(dets: DataFrame, jump: float = 60.0, gap: int = 8, idle: str =
         closed = [t for t in tracker.tracks if last - t.frame > gap]
         tracker.tracks = [t for t in tracker.tracks if last - t.frame <= gap]
         state.update((pickle.dumps(tracker),))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         if closed:
             yield track_points(key[0], closed)
 
