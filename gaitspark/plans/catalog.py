@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import share_package
 from . import motion, scenes
 
 
+def _shared(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        share_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return motion.QUERIES | scenes.QUERIES
+    return {name: _shared(f) for name, f in (motion.QUERIES | scenes.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
