@@ -29,7 +29,7 @@ def finite(samples: DataFrame) -> DataFrame:
 def _islands(rows: DataFrame, order: str, flag: str) -> DataFrame:
     """Gaps and islands: run numbers runs of equal flag within an episode."""
     by = episode().orderBy(order)
-    return rows.withColumn("change", F.when(F.lag(flag).over(by) == F.col(flag), 0).otherwise(1)).withColumn("run", F.sum("change").over(by))
+    return rows.withColumn("change", F.when(F.lag(flag).over(by) == F.col(flag), 0).otherwise(1)).withColumn("run", F.sum("change").over(by.rowsBetween(W.unboundedPreceding, 0)))
 
 
 def run_lengths(rows: DataFrame, order: str, flag: str) -> DataFrame:
@@ -38,21 +38,25 @@ def run_lengths(rows: DataFrame, order: str, flag: str) -> DataFrame:
 
 
 def moving_flags(velocity: DataFrame) -> DataFrame:
-    """Adds moving, speed over a tenth of the episode's median (of at least 1e-9)."""
-    half = F.percentile("v", 0.5).over(episode())
-    return velocity.withColumn("moving", F.col("v") > 0.1 * F.greatest(half, F.lit(1e-9)))
+    """Adds dv, the episode's 90th percentile and moving, speed over a tenth of the median (of at least 1e-9).
+
+    The ordered window comes first, so one sort by (episode, i) serves all windows.
+    """
+    rows = velocity.withColumn("dv", F.col("v") - F.lag("v").over(episode().orderBy("i")))
+    rows = rows.withColumn("_p", F.percentile("v", F.array(F.lit(0.5), F.lit(0.9))).over(episode()))
+    return rows.withColumns({"moving": F.col("v") > 0.1 * F.greatest(F.col("_p")[0], F.lit(1e-9)), "p90": F.col("_p")[1]}).drop("_p")
 
 
-def _speed_stats(rows: DataFrame, order: str, rate: Column, jump: Column) -> DataFrame:
-    """What speed alone tells, for rows with v and moving: aggregates per episode over its runs."""
-    rows = _islands(rows.withColumn("dv", F.col("v") - F.lag("v").over(episode().orderBy(order))), order, "moving")
+def _speed_stats(rows: DataFrame, order: str) -> DataFrame:
+    """What speed alone tells, for rows with v, dv, p90 and moving: aggregates per episode over its runs."""
+    rows = _islands(rows, order, "moving")
     per_run = rows.groupBy("episode_id", "run").agg(
-        F.first("moving").alias("moving"), F.count("*").alias("n"), F.sum("v").alias("sv"), F.sum(F.col("v") * F.col("v")).alias("svv"), F.sum(F.col("dv") * F.col("dv")).alias("sdd"), F.count("dv").alias("nd"),
+        F.first("moving").alias("moving"), F.count("*").alias("n"), F.sum("v").alias("sv"), F.sum(F.col("v") * F.col("v")).alias("svv"), F.sum(F.col("dv") * F.col("dv")).alias("sdd"), F.count("dv").alias("nd"), F.first("p90").alias("p90"),
     )
     n, mean = F.sum("n"), F.sum("sv") / F.sum("n")
     spread = F.sqrt(F.greatest(F.sum("svv") / n - mean * mean, F.lit(0.0)))
     return per_run.groupBy("episode_id").agg(
-        n.alias("n"), F.sum("sv").alias("sum_v"), mean.alias("speed_mean"), F.when(mean > 0, spread / mean).otherwise(0.0).alias("speed_cv"),
+        n.alias("n"), F.sum("sv").alias("sum_v"), mean.alias("speed_mean"), F.when(mean > 0, spread / mean).otherwise(0.0).alias("speed_cv"), F.first("p90").alias("speed_p90"),
         F.when(F.sum("nd") > 0, F.sqrt(F.sum("sdd") / F.sum("nd"))).otherwise(0.0).alias("dv_rms"),
         (F.sum(F.when(F.col("moving"), F.col("n")).otherwise(0)) / n).alias("frac_time_moving"),
         F.count_if(~F.col("moving")).cast("double").alias("n_pauses"),
@@ -61,14 +65,12 @@ def _speed_stats(rows: DataFrame, order: str, rate: Column, jump: Column) -> Dat
 
 
 def velocity_features(velocity: DataFrame, fps: float = 100.0, compat: bool = False) -> DataFrame:
-    """A2: the sixteen features of speed series (episode_id, i, v).
+    """A2: the sixteen features of speed series (episode_id, i, v), in one shuffle.
 
     Directional features are 0. With compat the two pause features are 0 as well, as
     the published implementation has them. Null speeds are left out.
     """
-    rows = moving_flags(velocity.where("v is not null"))
-    top = rows.groupBy("episode_id").agg(F.percentile("v", 0.9).alias("speed_p90"))
-    s = _speed_stats(rows, "i", F.lit(fps), F.lit(1)).join(top, "episode_id")
+    s = _speed_stats(moving_flags(velocity.where("v is not null")), "i")
     zero = F.lit(0.0)
     return s.select(
         "episode_id", (F.col("dv_rms") * fps).alias("accel_rms"), zero.alias("curvature_mean"), (F.col("sum_v") / fps).alias("distance"), (F.col("n") / fps).alias("duration_s"), "frac_time_moving",
@@ -119,11 +121,12 @@ def trajectory_features(samples: DataFrame, compat: bool = False) -> DataFrame:
     geometry = rows.groupBy("episode_id").agg(
         F.count("*").alias("points"), F.first("dt").alias("dt"), F.min_by(F.struct("x", "y"), "frame").alias("a"), F.max_by(F.struct("x", "y"), "frame").alias("b"),
         F.sum(F.when(F.col("valid"), F.col("len"))).alias("path"), F.avg(F.try_divide(F.abs("turn"), F.col("dt"))).alias("turn_rate_mean"), F.percentile(F.try_divide(F.abs("turn"), F.col("dt")), 0.9).alias("turn_rate_p90"),
-        F.avg(F.abs("turn") / F.greatest("len", F.lit(1e-9))).alias("curvature_mean"), F.percentile("v", 0.9).alias("speed_p90"),
+        F.avg(F.abs("turn") / F.greatest("len", F.lit(1e-9))).alias("curvature_mean"),
     ).where("points >= 2")
-    half = F.percentile("v", 0.5).over(episode())
-    kept = rows.where("valid").withColumn("moving", F.col("v") > F.greatest(0.1 * half, F.lit(1e-9)))
-    speed = _speed_stats(kept, "frame", F.col("fps"), F.col("step"))
+    kept = rows.where("valid").withColumn("dv", F.col("v") - F.lag("v").over(episode().orderBy("frame")))
+    kept = kept.withColumn("_p", F.percentile("v", F.array(F.lit(0.5), F.lit(0.9))).over(episode()))
+    kept = kept.withColumns({"moving": F.col("v") > F.greatest(0.1 * F.col("_p")[0], F.lit(1e-9)), "p90": F.col("_p")[1]})
+    speed = _speed_stats(kept, "frame")
     g = everyone.join(geometry, "episode_id", "left").join(speed, "episode_id", "left")
     net = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
     path = F.coalesce("path", F.lit(0.0))

@@ -21,8 +21,9 @@ def label_of(user: str):
 
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """episode_id, i, v: the events of a user in order of time."""
-    by = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), (F.row_number().over(by) - 1).alias("i"), F.col("value").alias("v"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), "ts", "event_id", F.col("value").alias("v"))
+    by = W.partitionBy("episode_id").orderBy("ts", "event_id")
+    return e.select("episode_id", (F.row_number().over(by) - 1).alias("i"), "v")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
