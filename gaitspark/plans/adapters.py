@@ -23,7 +23,7 @@ def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """episode_id, i, v: the events of a user in order of time."""
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), "ts", "event_id", F.col("value").alias("v"))
     by = W.partitionBy("episode_id").orderBy("ts", "event_id")
-    return e.select("episode_id", (F.row_number().over(by) - 1).alias("i"), "v")
+    return e.select("episode_id", (F.row_number().over(by) - 1).cast("long").alias("i"), "v")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ trk AS (SELECT user_id AS episode_id, frame, x, y, (user_id % 10)::VARCHAR || '@
 SQL["vfeat"] = SQL["vel"] + """,
 vm AS (SELECT *, v > 0.1 * greatest(quantile_cont(v, 0.5) OVER (PARTITION BY episode_id), 1e-9) AS moving, v - lag(v) OVER (PARTITION BY episode_id ORDER BY i) AS dv FROM vel WHERE v IS NOT NULL),
 vc AS (SELECT *, CASE WHEN lag(moving) OVER (PARTITION BY episode_id ORDER BY i) = moving THEN 0 ELSE 1 END AS chg FROM vm),
-vr AS (SELECT *, sum(chg) OVER (PARTITION BY episode_id ORDER BY i) AS run FROM vc),
+vr AS (SELECT *, (sum(chg) OVER (PARTITION BY episode_id ORDER BY i))::BIGINT AS run FROM vc),
 vruns AS (SELECT episode_id, run, any_value(moving) AS moving, count(*) AS n FROM vr GROUP BY ALL),
 vpr AS (SELECT episode_id, count(*) FILTER (NOT moving)::DOUBLE AS n_pauses, coalesce(avg(n) FILTER (NOT moving), 0) / 100 AS pause_run_mean_s, coalesce(avg(n) FILTER (moving), 0) / 100 AS move_run_mean_s FROM vruns GROUP BY 1),
 vfeat AS (SELECT episode_id, coalesce(sqrt(avg(dv * dv)), 0) * 100 AS accel_rms, 0.0::DOUBLE AS curvature_mean, sum(v) / 100 AS distance, count(*) / 100 AS duration_s, avg(CASE WHEN moving THEN 1.0 ELSE 0.0 END) AS frac_time_moving,

@@ -385,4 +385,4 @@ def atlas_slim(spark, d):
 def scene_sizes(spark, d):
     """J2."""
     s = A.samples(spark, d).withColumn("rn", F.row_number().over(W.partitionBy("episode_id").orderBy("frame")))
-    return s.groupBy("scene").agg(F.count_distinct("episode_id").alias("episodes"), F.count("*").alias("samples"), F.max("rn").alias("longest"))
+    return s.groupBy("scene").agg(F.count_distinct("episode_id").alias("episodes"), F.count("*").alias("samples"), F.max("rn").cast("long").alias("longest"))
