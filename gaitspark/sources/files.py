@@ -74,9 +74,10 @@ def save_index(entries: DataFrame, path: str, version: str) -> None:
 
 def newest_version(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the newest version; only its folder is read."""
-    rows = spark.read.parquet(path)
-    last = rows.agg(F.max(F.col("version_id").cast("string"))).first()[0]
-    return rows.where(F.col("version_id").cast("string") == last)
+    schema = spark.read.parquet(path).drop("version_id").schema.add("version_id", "string")  # never a number
+    rows = spark.read.schema(schema).parquet(path)
+    last = rows.agg(F.max("version_id")).first()[0]
+    return rows.where(F.col("version_id") == last)
 
 
 def save_model(spark: SparkSession, path: str, name: str, model: Projection) -> None:
