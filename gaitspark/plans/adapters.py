@@ -68,16 +68,16 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("n_regionkey").alias("site"), F.col("c_nationkey").alias("session"), F.col("c_custkey").alias("video"), F.col("o_orderkey").alias("episode_id"), F.col("o_totalprice").cast("double").alias("value"))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to so many digits, negative zero as zero, so that engines agree."""
-    return df.select(*[(F.round(F.col(n), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles to so many digits, negative zero as zero, so that engines agree; nudge moves values off the ties that short decimals have."""
+    return df.select(*[(F.round(F.col(n) + nudge, digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
 _ARRAY = "['siler','ant','other_spider','other_arthropod','unknown']"
 
 SQL = {
     "vel": "vel AS (SELECT user_id AS episode_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS v FROM events)",
-    "trk": f"""ev AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS t, value AS x, regexp_extract(props, '(-?[0-9]+)', 1)::DOUBLE AS y FROM events),
+    "trk": f"""ev AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t, value AS x, regexp_extract(props, '(-?[0-9]+)', 1)::DOUBLE AS y FROM events),
 evf AS (SELECT *, (t - (SELECT min(t) FROM ev)) // 3600 AS frame FROM ev),
 trk AS (SELECT user_id AS episode_id, frame, x, y, (user_id % 10)::VARCHAR || '@' || (user_id % 2)::VARCHAR AS scene, {_ARRAY}[(user_id // 10) % 5 + 1] AS label
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id, frame ORDER BY t, event_id) AS rn FROM evf) WHERE rn = 1)""",
@@ -112,7 +112,7 @@ pf AS (SELECT scene, focal, radius, frame, any_value(focal_label) AS label, min(
   count(*) FILTER (distance <= radius AND neighbor_label = 'ant') AS n_ants, avg(neighbor_speed) FILTER (distance <= radius AND neighbor_label = 'ant') AS ant_speed
   FROM pairs, (SELECT unnest([20.0, 40.0, 80.0]::DOUBLE[]) AS radius) GROUP BY ALL),
 ctx AS (SELECT scene, focal, radius, any_value(label) AS label, count(*) AS n_frames, avg(nearest) AS nearest_mean, min(nearest_ant) AS nearest_ant_min, avg(n_near) AS mean_near, max(n_ants) AS max_ants, avg(n_ants) AS mean_ants, avg(ant_speed) AS ant_speed,
-  avg(CASE WHEN n_ants > 0 THEN 1.0 ELSE 0.0 END) >= 0.5 AS has_ant FROM pf GROUP BY scene, focal, radius)"""
+  avg(CASE WHEN n_ants > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS ant_share, avg(CASE WHEN n_ants > 0 THEN 1.0 ELSE 0.0 END) >= 0.5 AS has_ant FROM pf GROUP BY scene, focal, radius)"""
 
 
 def sql(select: str, *names: str) -> str:

@@ -18,7 +18,7 @@ from . import adapters as A
 QUERIES: dict = {}
 ORACLES: dict = {}
 FPS = A.FPS
-_R = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
+_R = lambda names: ", ".join(f"round({n} + 1e-9, 6) AS {n}" for n in names)
 DIMS = ("speed_mean", "speed_cv", "frac_time_moving", "accel_rms", "speed_p90", "move_run_mean_s")
 GROUPS = {"trajectory_geometry": ("distance",), "speed_dynamics": ("speed_mean", "speed_p90", "accel_rms"), "stop_go_rhythm": ("frac_time_moving", "n_pauses", "pause_run_mean_s", "move_run_mean_s"), "intermittency": ("speed_cv",)}
 
@@ -44,13 +44,13 @@ A.SQL["lf"] = A.SQL["vfeat"] + ",\n" + _LF
 @query(A.sql(f"SELECT episode_id, {_R(FEATURES)} FROM vfeat", "vfeat"))
 def velocity_features(spark, d):
     """A2."""
-    return A.rounded(K.velocity_features(A.velocity(spark, d)))
+    return A.rounded(K.velocity_features(A.velocity(spark, d)), nudge=1e-9)
 
 
 @query(A.sql(f"SELECT episode_id, {_R([f for f in FEATURES if f not in ('n_pauses', 'pause_run_mean_s')])}, 0.0::DOUBLE AS n_pauses, 0.0::DOUBLE AS pause_run_mean_s FROM vfeat", "vfeat"))
 def velocity_features_compat(spark, d):
     """A2 as published, without pauses."""
-    return A.rounded(K.velocity_features(A.velocity(spark, d), compat=True))
+    return A.rounded(K.velocity_features(A.velocity(spark, d), compat=True), nudge=1e-9)
 
 
 @query(A.sql("SELECT episode_id, run, moving, n FROM vruns", "vfeat"))

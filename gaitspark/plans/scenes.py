@@ -45,7 +45,7 @@ def pair_geometry(spark, d):
     return A.rounded(I.pair_geometry(A.samples(spark, d)))
 
 
-_CTX = "SELECT scene, focal, radius, label, n_frames, round(nearest_mean, 6) AS nearest_mean, round(nearest_ant_min, 6) AS nearest_ant_min, round(mean_near, 6) AS mean_near, max_ants, round(mean_ants, 6) AS mean_ants, round(ant_speed, 6) AS ant_speed, has_ant FROM ctx"
+_CTX = "SELECT scene, focal, radius, label, n_frames, round(nearest_mean, 6) AS nearest_mean, round(nearest_ant_min, 6) AS nearest_ant_min, round(mean_near, 6) AS mean_near, max_ants, round(mean_ants, 6) AS mean_ants, round(ant_speed, 6) AS ant_speed, round(ant_share, 6) AS ant_share, has_ant FROM ctx"
 
 
 @query(A.sql(_CTX, "ctx"))
@@ -88,14 +88,14 @@ def d_ant(spark, d):
 
 
 _ANT = """,
-cl AS (SELECT c.radius, c.focal AS episode_id, CASE WHEN has_ant THEN 'a' ELSE 'b' END AS side, u.metric, u.value FROM ctx c JOIN dant USING (label) JOIN lf f ON f.episode_id = c.focal, LATERAL (SELECT * FROM (VALUES ('speed_mean', f.speed_mean), ('frac_time_moving', f.frac_time_moving)) t(metric, value)) u WHERE c.label IN ('siler', 'other_spider') AND dant.episode_id = c.focal)
+cl AS (SELECT c.radius, c.focal AS episode_id, CASE WHEN ant_share >= 0.1 THEN 'a' ELSE 'b' END AS side, u.metric, u.value FROM ctx c JOIN dant USING (label) JOIN lf f ON f.episode_id = c.focal, LATERAL (SELECT * FROM (VALUES ('speed_mean', f.speed_mean), ('frac_time_moving', f.frac_time_moving)) t(metric, value)) u WHERE c.label IN ('siler', 'other_spider') AND dant.episode_id = c.focal)
 SELECT radius, metric, count(*) FILTER (side = 'a') AS n_a, count(*) FILTER (side = 'b') AS n_b, round(quantile_cont(value, 0.5) FILTER (side = 'a'), 6) AS median_a, round(quantile_cont(value, 0.5) FILTER (side = 'b'), 6) AS median_b FROM cl GROUP BY ALL HAVING count(*) FILTER (side = 'a') >= 3 AND count(*) FILTER (side = 'b') >= 3"""
 
 
 @query("WITH " + A.SQL["ctx"] + ",\n" + A.SQL["dant"] + _ANT)
 def distance_response(spark, d):
-    """Medians with and without ants near, at each radius."""
-    context = I.neighbor_context(A.samples(spark, d), RADII)
+    """Medians with and without ants near in a tenth of the frames, at each radius."""
+    context = I.neighbor_context(A.samples(spark, d), RADII, 0.1)
     out = I.ant_contrast(context, labelled_features(spark, d).select("episode_id", "speed_mean", "frac_time_moving"), ("speed_mean", "frac_time_moving"), ("siler", "other_spider"), 50)
     return A.rounded(out.select("radius", "metric", "n_a", "n_b", "median_a", "median_b"))
 
@@ -103,7 +103,7 @@ def distance_response(spark, d):
 @query()
 def distance_response_null(spark, d):
     """With the permutation envelope."""
-    context = I.neighbor_context(A.samples(spark, d), RADII)
+    context = I.neighbor_context(A.samples(spark, d), RADII, 0.1)
     return A.rounded(I.ant_contrast(context, labelled_features(spark, d).select("episode_id", *DIMS), DIMS, ("siler", "other_spider"), 100))
 
 
