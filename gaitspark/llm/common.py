@@ -15,8 +15,27 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+_TABLE: dict = {}
+
+
+def worker_table(make, *key):
+    """The one large table a worker keeps between tasks: make(*key), made anew when another one is asked for."""
+    if (make, *key) not in _TABLE:
+        _TABLE.clear()
+        _TABLE[make, *key] = make(*key)
+    return _TABLE[make, *key]
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def worker_path(spark: SparkSession) -> None:
-    """Let Python workers import this package even where the driver found it by sys.path."""
+    """Let Python workers import this package even where the driver found it by sys.path.
+
+    Batches of whole texts are kept small, unless the session says otherwise.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if _ROOT not in paths:

@@ -38,7 +38,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word)
         return got
@@ -182,6 +182,36 @@ def _confirm(size: int, percent: int):
     return run
 
 
+MARKS = 1 << 23
+
+
+def _marked(bits: bytes):
+    """Rows whose id's place is set in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            place = np.asarray(batch.column("place"))
+            yield batch.filter(pa.array((mark[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+
+    return run
+
+
+def only_likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) whose doc_id may be among ids (class_id); none that is gets lost.
+
+    A bitmap of 1 MB, whatever the number of ids, spares the join the texts of most
+    other documents. With very many ids it lets more rows pass.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    words = ids.select(place("class_id").alias("p")).groupBy(F.expr("p div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b")).collect()
+    mark = np.zeros(MARKS // 32, np.uint32)
+    mark[[r["w"] for r in words]] = [r["b"] for r in words]
+    bits = docs.sparkSession.sparkContext.broadcast(mark.astype("<u4").tobytes())
+    rows = docs.where("doc_id is not null").withColumn("place", place("doc_id"))
+    return rows.mapInArrow(_marked(bits), "doc_id long, text string, place long").drop("place")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, values: int = 360) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -217,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, values
     placed = groups.join(sizes, "component").select(
         F.col("component").alias("grp"), F.col("node").alias("class_id"), "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block")
     )
-    found = placed.join(classes.select("class_id", "set_key"), "class_id").join(docs.withColumnRenamed("doc_id", "class_id"), "class_id")
+    found = placed.join(classes.select("class_id", "set_key"), "class_id").join(only_likely(docs, groups.select(F.col("node").alias("class_id"))).withColumnRenamed("doc_id", "class_id"), "class_id")
     dealt = (
         found.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "set_key", "text")

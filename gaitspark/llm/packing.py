@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_path
+from .common import materialize, worker_path, worker_table
 
 SPECIAL = re.compile(r"<\|[^|]*\|>")
 BLANKS = re.compile(r" (?:\s|$)")
 BEFORE_WORD = re.compile(r"(?= \S)")
-TABLE = 600_000
+TABLE = 250_000
 # Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -122,34 +122,30 @@ class WordIds:
         return out
 
 
-@lru_cache(1)
-def word_ids(path: str) -> WordIds:
-    """One table for all tasks of a worker."""
-    return WordIds(path)
-
-
 def _pieces(path: str, size: int, end: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_ids(path)
+        table, part, seen = worker_table(WordIds, path), TaskContext.get().partitionId(), {}
         for batch in batches:
             texts, keep = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for at in range(0, len(texts), 512):
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], []]
                 encoded = table.encode([t or "" for t in texts[at : at + 512]])
                 for doc_id, ids in zip(keep[at : at + 512], encoded, strict=True):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % size or size, n, size), n]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        for col, x in zip(cols, (doc_id, k, a, b - a, ids[4 * a : 4 * b]), strict=True):
+                        nth = seen[b - a] = seen.get(b - a, -1) + 1
+                        for col, x in zip(cols, (doc_id, k, a, b - a, ids[4 * a : 4 * b], nth), strict=True):
                             col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+                arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(cols[0]), pa.int64())], ["doc_id", "piece", "start", "length", "ids", "nth", "part"])
 
     return run
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every row of docs.
+    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every row of docs, with nth and part for pack().
 
     A null text is empty and gives its end id alone. A document longer than size is
     cut so that all pieces but the first are full. doc_id may be null or repeated:
@@ -157,7 +153,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2)
     """
     worker_path(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return docs.mapInArrow(_pieces(path, size, np.array([end_id], "<u4").tobytes()), "doc_id long, piece int, start long, length long, ids binary")
+    return docs.mapInArrow(_pieces(path, size, np.array([end_id], "<u4").tobytes()), "doc_id long, piece int, start long, length long, ids binary, nth long, part long")
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -218,18 +214,20 @@ def _ranked(names: list[str]):
     return run
 
 
-def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, numbered: bool = False) -> DataFrame:
     """pieces with sequence_id and offset: every piece has a place of its own, gapless from 0.
 
     pieces needs a column length of 1 to size (others raise an error); all other
     columns go along, but sequence_id, offset, part and nth are replaced. Equal
-    lengths are told apart by their order alone. No pieces give no rows.
+    lengths are told apart by their order alone. No pieces give no rows. Pieces of
+    token_pieces() come numbered (nth within length and part); with numbered=False that
+    is done here.
     """
     worker_path(pieces.sparkSession)
-    pieces = pieces.drop("sequence_id", "offset", "part", "nth")
-    names = pieces.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    ranked = materialize(pieces.mapInArrow(_ranked(names), f"{kinds}, part long, nth long"), "pieces")
+    pieces = pieces.drop("sequence_id", "offset") if numbered else pieces.drop("sequence_id", "offset", "part", "nth")
+    names = [n for n in pieces.columns if n not in ("part", "nth")]
+    kinds = ", ".join(f"`{n}` {pieces.schema[n].dataType.simpleString()}" for n in names)
+    ranked = materialize(pieces if numbered else pieces.mapInArrow(_ranked(names), f"{kinds}, part long, nth long"), "pieces")
     parts = ranked.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = materialize(parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "parts")

@@ -93,7 +93,7 @@ class NbSvm:
 
 def _train(rows: list[np.ndarray], y: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
     ratio = log_count_ratios(rows, y)
-    values = [ratio[r] / np.sqrt(max(len(r), SHORT)) for r in rows]
+    values = [(ratio[r] / np.sqrt(max(len(r), SHORT))).astype(np.float32) for r in rows]
     share = np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1)))
     w = hinge_dual(rows, values, np.where(y == 1, 1.0, -1.0), cost * share)
     return ratio * w[:-1], float(w[-1])

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import worker_path
+from .common import worker_path, worker_table
 
 MARK = "▁"
 MARKED = re.compile(f"{MARK}+[^{MARK}]*")
@@ -53,15 +53,9 @@ class MarkedWords(dict):
         return [b"".join(map(self.__getitem__, words)) for words in cut]
 
 
-@lru_cache(1)
-def marked_words(path: str) -> MarkedWords:
-    """One table for all tasks of a worker."""
-    return MarkedWords(path)
-
-
 def _encode(path: str, bounds: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = marked_words(path)
+        table = worker_table(MarkedWords, path)
         first = np.array([table.sp.bos_id()], "<u4").tobytes() if bounds else b""
         last = np.array([table.sp.eos_id()], "<u4").tobytes() if bounds else b""
         for batch in batches:

@@ -40,10 +40,10 @@ class Signs(dict):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: str) -> frozenset[str]:
-        if len(self) > 400_000:
+    def __missing__(self, word: str) -> tuple[str, ...] | None:
+        if len(self) > 200_000:
             self.clear()
-        got = self[word] = frozenset(f for f in (word, *(word[:n] + "*" for n in STARTS if len(word) > n)) if f in self.weights)
+        got = self[word] = tuple(f for f in (word, *(word[:n] + "*" for n in STARTS if len(word) > n)) if f in self.weights) or None
         return got
 
 
@@ -62,25 +62,32 @@ class CumulativeLink:
         return 1 / (1 + np.exp(-np.clip(z - np.array(self.thresholds), -30, 30)))
 
 
-def severity_grades(rows: list[set[str]], toxic: np.ndarray, candidates: list[str]) -> np.ndarray:
+def severity_grades(many: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Grades from binary labels: 0 for clean rows, 1 for toxic ones, 2 for those with more signs than the median toxic row."""
-    signs = set(candidates)
-    many = np.array([len(r & signs) for r in rows])
     if not toxic.any():
-        return np.zeros(len(rows), np.int64)
+        return np.zeros(len(toxic), np.int64)
     return np.where(toxic == 1, 1 + (many > np.median(many[toxic == 1])), 0)
 
 
-def candidates(rows: list[set[str]], toxic: np.ndarray, most: int = 1500, least: int = 3) -> list[str]:
-    """Features whose share among toxic rows is at least four times that among clean rows, by significance."""
-    seen = [Counter(), Counter()]
-    for r, t in zip(rows, toxic, strict=True):
-        seen[int(t)].update(r)
-    n1, n0 = max(int(toxic.sum()), 1), max(len(rows) - int(toxic.sum()), 1)
+def candidates(texts: list[str | None], toxic: np.ndarray, most: int = 1500, least: int = 3) -> list[str]:
+    """Features whose share among toxic rows is at least four times that among clean rows, by significance.
+
+    Only features of enough toxic rows are counted among the others, so the counts stay small.
+    """
+    bad: Counter[str] = Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        if y:
+            bad.update(features(t))
+    bad = Counter({f: a for f, a in bad.items() if a >= least})
+    clean: Counter[str] = Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        if not y:
+            clean.update(f for f in features(t) if f in bad)
+    n1, n0 = max(int(toxic.sum()), 1), max(len(texts) - int(toxic.sum()), 1)
     scored = []
-    for f, a in seen[1].items():
-        p, q = (a + 0.1) / n1, (seen[0][f] + 0.5) / n0
-        if a >= least and p >= 4 * q:
+    for f, a in bad.items():
+        p, q = (a + 0.1) / n1, (clean[f] + 0.5) / n0
+        if p >= 4 * q:
             scored.append((-a * np.log(p / q), f))
     return [f for _, f in sorted(scored)[:most]]
 
@@ -118,14 +125,13 @@ def fit(texts: list[str | None], toxic: list[int], grades: list[int] | None = No
     y = (np.array(toxic, np.int64) > 0).astype(np.int64)
     if len(y) == 0 or y.min() == y.max():
         return CumulativeLink()
-    rows = [features(t) for t in texts]
-    names = candidates(rows, y)
-    grade = np.array(grades, np.int64) if grades is not None else severity_grades(rows, y, names)
-    levels = int(grade.max())
+    names = candidates(texts, y)
     at = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, [at[f] for f in r & at.keys()]] = 1
+    x = np.zeros((len(texts), len(names)), np.float32)
+    for i, t in enumerate(texts):
+        x[i, [at[f] for f in features(t) if f in at]] = 1
+    grade = np.array(grades, np.int64) if grades is not None else severity_grades(x.sum(1), y)
+    levels = int(grade.max())
     w, cuts = fit_cumulative(x, grade, levels)
     return CumulativeLink({f: float(v) for f, v in zip(names, w, strict=True)}, [float(c) for c in cuts])
 

@@ -112,8 +112,9 @@ def check_packed(rows, docs, size):
 
 def test_packing_places_every_piece(spark):
     texts = ODD + [LONG, None, ""]
-    rows = packing.pack(packing.token_pieces(docs_of(spark, texts), BPE, 128), 128).collect()
-    check_packed(rows, list(enumerate(texts)), 128)
+    for numbered in (True, False):
+        rows = packing.pack(packing.token_pieces(docs_of(spark, texts), BPE, 128), 128, numbered).collect()
+        check_packed(rows, list(enumerate(texts)), 128)
 
 
 def test_packing_takes_awkward_rows(spark, empty):
