@@ -55,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of 1024: doc_id, piece, start, length, ids, sequence_id, offset."""
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), 1024)
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), 1024, numbered=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
