@@ -18,6 +18,7 @@ group's number of *different* sets (exact copies are one class).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,6 +183,13 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def bands_for(percent: int, rows: int, miss: float = 1e-4) -> int:
+    """Bands of so many rows (an even number of values in all) that miss a pair at the threshold less often than miss."""
+    hit = min((percent / 100) ** rows, 1 - 1e-12)
+    bands = max(1, math.ceil(math.log(miss) / math.log1p(-hit)))
+    return bands + bands * rows % 2
+
+
 MARKS = 1 << 23
 
 
@@ -212,7 +220,7 @@ def only_likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(_marked(bits), "doc_id long, text string, place long").drop("place")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, values: int = 360) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, rows: int = 9) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     docs needs doc_id and text; other columns are left alone. Two documents are
@@ -225,14 +233,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, values
     the component of its own text, and texts with the same smallest doc_id count
     as linked.
 
-    Signatures have ``values`` numbers from half as many permutations; rows in a
-    band are chosen so that a pair at the threshold is missed with a probability
-    below 1 in 10,000.
+    A band has ``rows`` values, and there are as many bands as let a pair at the
+    threshold be missed with a probability below 1 in 10,000. Nine rows keep documents
+    that only share a passage from being chained into one group of candidates.
     """
     worker_path(docs.sparkSession)
-    rows = 1
-    while rows < 60 and (1 - (percent / 100) ** (rows + 1)) ** (values // (rows + 1)) < 1e-4:
-        rows += 1
+    values = rows * bands_for(percent, rows)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     signed = materialize(docs.mapInArrow(_sign(shingle, values, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
