@@ -49,11 +49,14 @@ def op4_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_archives(spark, path))
+    records = warc.read_archives(spark, path)
+    # What follows needs no payloads, so they stay out of the joins.
+    light = F.when(~F.col("type").isin("response", "revisit"), F.col("block"))
+    captures = warc.assemble(records.withColumn("block", light))
     number = warc.field("payload-bytes").cast("long")
     return captures.select(
         warc.field("page-id").cast("long").alias("page_id"),
-        F.when(F.col("capture.type") == "response", F.octet_length("capture.block").cast("long")).otherwise(number).alias("payload_bytes"),
+        F.when(F.col("capture.type") == "response", F.col("capture.block_bytes")).otherwise(number).alias("payload_bytes"),
         F.coalesce("capture.payload_digest", "capture.stated_digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
         warc.field("refers-to-page").cast("long").alias("refers_to"),

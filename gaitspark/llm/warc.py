@@ -11,6 +11,7 @@ through their concurrent-to identifiers.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import worker_path
+from .common import materialize, worker_path
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -47,7 +48,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, records_in_file:
     """Write the captures of pages (page_id, url, html) as WARC files under path.
 
     Pages with payloads of equal SHA-1 and at least ``least`` bytes share one response,
-    that of the smallest page_id (of repeated rows any one); the others are revisits
+    that of the smallest page_id (repeated rows share it); the others are revisits
     that refer to it. A null html is an empty payload, a null page_id comes last and
     is written as an empty field, a null url leaves the target out. Files hold at most
     records_in_file records.
@@ -58,7 +59,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, records_in_file:
     # A response that others refer to is named after its payload and page; the others' names are random.
     order = F.coalesce(F.col("page_id"), F.lit(2**63 - 1))
     shared = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    rows = rows.join(shared.drop("copies"), "digest", "left")
+    # Written first, so that Spark knows its size: if it is small, no payload is shuffled for the join.
+    rows = rows.join(materialize(shared.drop("copies"), "digests"), "digest", "left")
     rows = rows.withColumn("uid", F.expr("uuid()")).withColumn("is_first", F.col("first").isNull() | (order == F.col("first")))
     named = F.concat(F.lit("urn:capture:"), F.col("digest"), F.lit(":"), F.col("first").cast("string"))
     own = F.when(F.col("first").isNotNull() & F.col("is_first"), named).otherwise(F.concat(F.lit("urn:uuid:"), F.col("uid")))
@@ -74,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, records_in_file:
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\nrefers-to-page: "), F.when(F.col("is_first"), "").otherwise(F.col("first").cast("string")), F.lit("\r\npayload-bytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", F.concat(own, F.lit("-m")), [target, to, ("Content-Type", F.lit("application/warc-fields"))], fields)
     records = rows.select(F.explode(F.array(F.when(F.col("is_first"), response).otherwise(revisit), request, metadata)).alias("value"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", records_in_file).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", records_in_file).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -94,19 +96,21 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
-FIELDS = ["record_id", "type", "target_uri", "date", "concurrent_to", "refers_to", "stated_digest", "payload_digest", "block"]
+FIELDS = ["record_id", "type", "target_uri", "date", "concurrent_to", "refers_to", "stated_digest", "payload_digest", "block_bytes", "block"]
+KINDS = {"block_bytes": ("long", pa.int64()), "block": ("binary", pa.binary())}
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             cols: list[list] = [[] for _ in FIELDS]
-            for h, block in parse_records(content.as_py()):
+            data = content.as_py()
+            for h, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 kind = h.get("warc-type", "")
                 payload = block.partition(b"\r\n\r\n")[2] if "application/http" in h.get("content-type", "") else block
                 own = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else None
                 strip = lambda k: h[k].strip("<>") if k in h else None  # noqa: B023, E731
-                row = (strip("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-date"), strip("warc-concurrent-to"), strip("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, own, payload)
+                row = (strip("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-date"), strip("warc-concurrent-to"), strip("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, own, len(payload), payload)
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
                 if len(cols[0]) >= 256:
@@ -116,13 +120,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(cols: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols[:-1]] + [pa.array(cols[-1], pa.binary())], FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS.get(f, ("", pa.string()))[1]) for f, c in zip(FIELDS, cols, strict=True)], FIELDS)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: ids, type, target, date, stated digest, and for responses the payload and its own digest."""
     worker_path(spark)
-    kinds = ", ".join(f"{f} {'binary' if f == 'block' else 'string'}" for f in FIELDS)
+    kinds = ", ".join(f"{f} {KINDS.get(f, ('string',))[0]}" for f in FIELDS)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, kinds)
 
 
