@@ -128,8 +128,9 @@ kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _split(spark, d):
+    """The stated queries, and the whole table as the index; searches leave out the query's own id."""
     v = A.vectors(spark, d)
-    return v.where("id % 25 = 0"), v.where("id % 25 <> 0")
+    return v.where("id % 25 = 0"), v
 
 
 @query(f"WITH {_Q},\n{_knn_sql(_EU.format(a='q.z', b='ix.z'), 6)}\nSELECT query_id, rank, id, round(dist, 6) AS dist, round(exp(-dist / 3), 6) AS similarity FROM kn")
@@ -180,7 +181,7 @@ def motif_retrieval(spark, d):
 @query(f"WITH {_Q}\nSELECT (p - 1)::INT AS pos, round(avg(z[p]), 6) AS mean, round(quantile_cont(z[p], 0.5), 6) AS median FROM q, range(1, 65) r(p) GROUP BY p")
 def cloud_mean_median(spark, d):
     """A25."""
-    return A.rounded(R.cloud_center(_split(spark, d)[0]))
+    return A.rounded(R.cloud_center(A.vectors(spark, d)))
 
 
 _TAXA = f"""{_Q},
@@ -236,14 +237,14 @@ def same_video_fraction(spark, d):
 @query(f"WITH {_MOT}, asg AS (SELECT id, taxon, arg_min(m, (dist, m)) AS motif FROM (SELECT ix.id, ix.taxon, mc.motif AS m, {_EU.format(a='ix.z', b='mc.c')} AS dist FROM ix, mc) GROUP BY ALL)\nSELECT id AS episode_id, motif FROM asg")
 def kmeans_assign(spark, d):
     """M4: one assignment to given centres."""
-    ix = _split(spark, d)[1]
+    ix = A.vectors(spark, d)
     return M.assign(ix.select(F.col("id").alias("episode_id"), "z"), M.centroids(ix)).select("episode_id", "motif")
 
 
 @query(f"WITH {_Q}, t AS (SELECT DISTINCT taxon FROM ix), m AS (SELECT DISTINCT motif FROM ix), c AS (SELECT t.taxon, m.motif, count(ix.id) AS n FROM t CROSS JOIN m LEFT JOIN ix ON ix.taxon = t.taxon AND ix.motif = m.motif GROUP BY ALL)\nSELECT taxon, motif, n, round(n / sum(n) OVER (PARTITION BY taxon), 6) AS share FROM c")
 def motif_occupancy(spark, d):
     """A9."""
-    return A.rounded(M.occupancy(_split(spark, d)[1].select("taxon", "motif"), "taxon"))
+    return A.rounded(M.occupancy(A.vectors(spark, d).select("taxon", "motif"), "taxon"))
 
 
 @query(A.sql("SELECT motif, count(*) AS n, round(count(*) / (SELECT count(*) FROM vec), 6) AS share FROM vec GROUP BY 1", "vec"))
