@@ -35,25 +35,46 @@ def address_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), path_of(url), query))
 
 
+def clean_path(path: Column) -> Column:
+    """A path that starts with / without its . and .. segments (RFC 3986, 5.2.4); .. at the root is dropped."""
+    parts = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda kept, part: F.when(part == ".", kept).when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part))),
+    )
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, folder), "/"))
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
     """(u, v): addresses joined by a canonical link or a refresh redirect in the page's html.
 
-    Pages without either give no row. Links without a scheme are resolved against
-    the page's host; other relative ones are left out.
+    Pages without either give no row. canonical may stand anywhere in rel. Relative
+    links are resolved against the page's url (RFC 3986, 5.2); those with a scheme but
+    no :// (mailto:) are left out.
     """
     html, url = F.col("html"), F.col("url")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     tags = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    canonical = F.when(F.col("tag").rlike(r"(?is)\brel\s*=\s*(?:[\"']?|\"[^\">]*\s|'[^'>]*\s)canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     found = tags.select("url", F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&")).alias("link")).where("link <> ''")
     # One step at a time, so that no generated method outgrows the JVM's limit.
-    found = found.withColumns({"scheme": F.regexp_extract("url", r"(?s)^(.*?)://", 1), "host": host_of(url), "u": address_of(url)})
+    found = found.withColumns({"scheme": F.regexp_extract("url", r"(?s)^(.*?)://", 1), "host": host_of(url), "path": path_of(url), "u": address_of(url)}).where("u is not null")
     link = F.col("link")
+    # The path of a link to a path; that of the page up to its last / comes before relative ones.
+    at = F.regexp_extract(link, r"^[^?#]*", 0)
+    folder = F.when(link.startswith("/"), "").when(F.instr("path", "/") > 0, F.regexp_extract("path", r"(?s)^.*/", 0)).otherwise("/")
+    found = found.withColumns({"to": F.concat(folder, at), "rest": F.regexp_extract(link, r"^[^?#]*(.*)$", 1)})
+    root = F.concat("scheme", F.lit("://"), "host")
     whole = (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat("scheme", F.lit(":"), link))
-        .when(link.startswith("/"), F.concat("scheme", F.lit("://"), "host", link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("#"), F.col("u"))
+        .when(link.startswith("?"), F.concat(root, "path", link))
+        .otherwise(F.concat(root, clean_path(F.col("to")), "rest"))
     )
     return found.withColumn("whole", whole).where("whole is not null").select("u", address_of(F.col("whole")).alias("v")).where("u is not null and v is not null and u <> v")
 
