@@ -1,9 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Base patterns find credentials by their form. Loose candidates, long mixed tokens
-without such a form, count only by who has them: a value that stands in documents
-of one owner alone looks live and owner-specific, one that many owners share is an
-example that is copied around. The same count marks the base finds.
+without such a form, count only by who has them: a value that few owners have looks
+owner-specific, one that many owners share is an example that is copied around. The
+same count marks the base finds, and so does the number of different texts.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ KINDS = ("assign", "access", "hex", "owned")
 
 LOOSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 WIDE = 3  # owners from which on a value is a copied example
+SPREAD = 100  # different texts from which on it is one even with fewer owners
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -84,8 +85,9 @@ def scan_secrets(docs: DataFrame, owner: str = "source", keep: tuple[str, ...] =
     kind indexes KINDS. owners and repositories count the distinct values of those
     columns, over the whole corpus, whose documents hold the same secret value; a
     missing column or null value counts as one unknown owner. live: fewer than three
-    owners. Spans of the kind "owned" are loose candidates of a single owner; those of
-    more owners are left out, base spans always stay. Offsets are code points, ends
+    owners and fewer than a hundred different texts; exact copies are one text. Spans of
+    the kind "owned" are loose candidates of fewer than three owners; those of more
+    owners are left out, base spans always stay. Offsets are code points, ends
     exclusive. A null text is empty. Every row of docs gives one row, repeated ones too.
     """
     worker_path(docs.sparkSession)
@@ -94,14 +96,15 @@ def scan_secrets(docs: DataFrame, owner: str = "source", keep: tuple[str, ...] =
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     scanned = docs.mapInArrow(_scan(names), f"{kinds}, _uid long, _found array<{SPAN}>")
     who = {"_owner": F.coalesce(F.col(owner).cast("string"), F.lit("")) if owner in names else F.lit(""), "_repo": F.coalesce(F.col(repository).cast("string"), F.lit("")) if repository in names else F.lit("")}
-    scanned = materialize(scanned.withColumns(who).select(*keep, "_uid", "_found", "_owner", "_repo"), "secrets")
+    scanned = materialize(scanned.withColumns(who | {"_text": F.xxhash64("text")}).select(*keep, "_uid", "_found", "_owner", "_repo", "_text"), "secrets")
     hits = scanned.where(F.size("_found") > 0)
-    each = hits.select("_uid", "_owner", "_repo", F.explode("_found").alias("s"))
+    each = hits.select("_uid", "_owner", "_repo", "_text", F.explode("_found").alias("s"))
     by_owner = each.groupBy(F.col("s.value_hash").alias("h"), "_owner").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("owners"))
     by_repo = each.groupBy(F.col("s.value_hash").alias("h"), "_repo").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("repositories"))
-    known = each.select("_uid", "s", F.col("s.value_hash").alias("h")).join(by_owner, "h").join(by_repo, "h")
-    known = known.where((F.col("s.kind") < 3) | (F.col("owners") == 1))
-    one = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "owners", "repositories", (F.col("owners") < WIDE).alias("live"))
+    by_text = each.groupBy(F.col("s.value_hash").alias("h"), "_text").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("texts"))
+    known = each.select("_uid", "s", F.col("s.value_hash").alias("h")).join(by_owner, "h").join(by_repo, "h").join(by_text, "h")
+    known = known.where((F.col("s.kind") < 3) | (F.col("owners") < WIDE))
+    one = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "owners", "repositories", ((F.col("owners") < WIDE) & (F.col("texts") < SPREAD)).alias("live"))
     spans = known.groupBy("_uid").agg(F.sort_array(F.collect_list(one)).alias("found"))
     none = spans.schema["found"].dataType
     without = scanned.where(F.size("_found") == 0).select(*keep, F.array().cast(none).alias("found"))
