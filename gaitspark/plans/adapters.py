@@ -26,16 +26,22 @@ def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("episode_id", (F.row_number().over(by) - 1).cast("long").alias("i"), "v")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """episode_id, frame, x, y, fps, px_per_cm, scene, label: one sample per user and hour, its first event."""
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, episode_id, frame, x, y, scene, label: every event of a user, its frame the hour."""
     e = read(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
     start = e.agg(F.min("t").alias("t0"))
     e = e.crossJoin(F.broadcast(start)).withColumn("frame", F.floor((F.col("t") - F.col("t0")) / 3600))
-    first = e.groupBy(F.col("user_id").alias("episode_id"), "frame").agg(F.min_by(F.struct("x", "y"), F.struct("t", "event_id")).alias("p"))
-    return first.select(
-        "episode_id", "frame", "p.x", "p.y", F.lit(1.0).alias("fps"), F.lit(None).cast("double").alias("px_per_cm"),
-        F.concat((F.col("episode_id") % 10).cast("string"), F.lit("@"), (F.col("episode_id") % 2).cast("string")).alias("scene"), label_of("episode_id").alias("label"),
-    )
+    return e.select("event_id", F.col("user_id").alias("episode_id"), "frame", "x", "y", *_places("user_id"))
+
+
+def _places(user: str) -> list:
+    return [F.concat((F.col(user) % 10).cast("string"), F.lit("@"), (F.col(user) % 2).cast("string")).alias("scene"), label_of(user).alias("label")]
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """episode_id, frame, x, y, fps, px_per_cm, scene, label: one sample per user and hour, the mean place of all its events."""
+    mean = points(spark, sf_dir).groupBy("episode_id", "frame").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return mean.select("episode_id", "frame", "x", "y", F.lit(1.0).alias("fps"), F.lit(None).cast("double").alias("px_per_cm"), *_places("episode_id"))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

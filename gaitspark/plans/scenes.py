@@ -257,8 +257,8 @@ def motif_share(spark, d):
 
 
 def detections(spark, d):
-    """Every sample of the event tracks as a box; the confidence follows the frame."""
-    s = A.samples(spark, d)
+    """Every event as a box in the frame of its hour; the confidence follows the frame."""
+    s = A.points(spark, d)
     return s.select(F.col("scene").alias("video_id"), (F.col("frame") % 97).alias("frame"), (F.col("x") - 3).alias("x1"), (F.col("y") - 3).alias("y1"), (F.col("x") + 3).alias("x2"), (F.col("y") + 3).alias("y2"), ((F.col("frame") * 7 + F.col("episode_id")) % 100 / 100.0).alias("confidence"), F.col("label").alias("cls"))
 
 
@@ -360,7 +360,7 @@ def tracking_cost(spark, d):
 @query(A.sql("SELECT b::INT AS bin, l.label, count(x.label) AS n FROM range(24) t(b) CROSS JOIN (SELECT DISTINCT label FROM trk) l LEFT JOIN (SELECT label, frame % 24 AS hour FROM trk) x ON x.hour = b AND x.label = l.label GROUP BY ALL", "trk"))
 def activity_by_hour(spark, d):
     """The river of labels over the day."""
-    return AT.river(A.samples(spark, d).select("label", (F.col("frame") % 24).alias("hour")))
+    return AT.river(A.points(spark, d).select("label", (F.col("frame") % 24).alias("hour")))
 
 
 @query(A.sql("SELECT episode_id, round(duration_s, 6) AS duration_s FROM vfeat ORDER BY (episode_id % 3 = 0) DESC, least(duration_s, 0.7) DESC, episode_id LIMIT 1", "vfeat"))
@@ -385,5 +385,5 @@ def atlas_slim(spark, d):
 @query(A.sql("SELECT scene, count(DISTINCT episode_id) AS episodes, count(*) AS samples, max(rn) AS longest FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY frame) AS rn FROM trk) GROUP BY scene", "trk"))
 def scene_sizes(spark, d):
     """J2."""
-    s = A.samples(spark, d).withColumn("rn", F.row_number().over(W.partitionBy("episode_id").orderBy("frame")))
+    s = A.points(spark, d).withColumn("rn", F.row_number().over(W.partitionBy("episode_id").orderBy("frame", "event_id")))
     return s.groupBy("scene").agg(F.count_distinct("episode_id").alias("episodes"), F.count("*").alias("samples"), F.max("rn").cast("long").alias("longest"))
