@@ -259,7 +259,7 @@ def motif_share(spark, d):
 def detections(spark, d):
     """Every event as a box in the frame of its hour; the confidence follows the frame."""
     s = A.points(spark, d)
-    return s.select(F.col("scene").alias("video_id"), (F.col("frame") % 97).alias("frame"), (F.col("x") - 3).alias("x1"), (F.col("y") - 3).alias("y1"), (F.col("x") + 3).alias("x2"), (F.col("y") + 3).alias("y2"), ((F.col("frame") * 7 + F.col("episode_id")) % 100 / 100.0).alias("confidence"), F.col("label").alias("cls"))
+    return s.select("event_id", F.col("scene").alias("video_id"), (F.col("frame") % 97).alias("frame"), (F.col("x") - 3).alias("x1"), (F.col("y") - 3).alias("y1"), (F.col("x") + 3).alias("x2"), (F.col("y") + 3).alias("y2"), ((F.col("frame") * 7 + F.col("episode_id")) % 100 / 100.0).alias("confidence"), F.col("label").alias("cls"))
 
 
 A.SQL["det"] = A.SQL["trk"] + ",\ndet AS (SELECT scene AS video_id, frame % 97 AS frame, x - 3 AS x1, y - 3 AS y1, x + 3 AS x2, y + 3 AS y2, ((frame * 7 + episode_id) % 100 / 100.0)::DOUBLE AS confidence, label AS cls FROM trk)"
@@ -275,9 +275,9 @@ def chaos_guard(spark, d):
 
 @query(A.sql("""SELECT count(*) AS n, round(max(o), 6) AS max_iou, round(sum(o), 4) AS sum_iou FROM (SELECT i / greatest(72 - i, 1e-9) AS o FROM (SELECT greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i FROM det a JOIN det b ON a.video_id = b.video_id AND a.frame = b.frame AND a.x1 < b.x1))""", "det"))
 def iou_matrix(spark, d):
-    """Overlaps of the boxes of a frame."""
-    x = detections(spark, d).select("video_id", "frame", F.struct("x1", "y1", "x2", "y2").alias("a"))
-    o = x.join(x.withColumnRenamed("a", "b"), ["video_id", "frame"]).where("a.x1 < b.x1").select(iou(F.col("a"), F.col("b")).alias("o"))
+    """Overlaps of the boxes of a frame, each pair once."""
+    x = detections(spark, d).select("video_id", "frame", F.struct("event_id", "x1", "y1", "x2", "y2").alias("a"))
+    o = x.join(x.withColumnRenamed("a", "b"), ["video_id", "frame"]).where("a.event_id < b.event_id").select(iou(F.col("a"), F.col("b")).alias("o"))
     return o.agg(F.count("*").alias("n"), F.round(F.max("o"), 6).alias("max_iou"), F.round(F.sum("o"), 4).alias("sum_iou"))
 
 

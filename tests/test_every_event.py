@@ -29,3 +29,16 @@ def test_every_event_is_counted(spark, tables):
     assert sum(r["n"] for r in run("activity_by_hour")) == len(EVENTS)
     assert [(r["episodes"], r["samples"], r["longest"]) for r in run("scene_sizes")] == [(2, 6, 4)]
     assert len(run("chaos_guard")) == len(EVENTS)
+
+
+def test_boxes_with_equal_edges_are_compared(spark, tables):
+    boxes = [((u % 10, t // 3600 % 97), v - 3, k - 3) for t, u, v, k in EVENTS]
+    want = []
+    for i, (at, x, y) in enumerate(boxes):
+        for other, p, q in boxes[:i]:
+            if at == other:
+                shared = max(6 - abs(x - p), 0) * max(6 - abs(y - q), 0)
+                want.append(shared / (72 - shared))
+    assert any(a[0] == b[0] and a[1] == b[1] for a, b in zip(boxes, boxes[4:], strict=False))
+    (got,) = catalog.queries()["iou_matrix"](spark, tables).collect()
+    assert got["n"] == len(want) == 7 and got["max_iou"] == pytest.approx(max(want), abs=1e-5) and got["sum_iou"] == pytest.approx(sum(want), abs=1e-3)
