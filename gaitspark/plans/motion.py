@@ -277,7 +277,7 @@ pp AS (SELECT dim, quantile_cont(dd, 0.025) AS null_lo, quantile_cont(dd, 0.975)
 @query("WITH " + A.SQL["long"] + _PERM + "\nSELECT dim, n_a, n_b, round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(median_a - median_b, 6) AS diff, round(null_lo, 6) AS null_lo, round(null_hi, 6) AS null_hi, round(p_perm, 6) AS p_perm FROM rl JOIN pp USING (dim)")
 def permutation_contrast(spark, d):
     """A17."""
-    return A.rounded(S.permutation_contrast(_sides(spark, d), ["dim"], order="episode_id", shuffles=60))
+    return A.rounded(S.permutation_contrast(_sides(spark, d), ["dim"], order="episode_id"))
 
 
 @query("WITH " + A.SQL["long"] + """,
@@ -330,5 +330,5 @@ def motif_clusters(spark, d):
     """K-means motifs and their share in each label."""
     f = labelled_features(spark, d)
     z = K.feature_matrix(f).join(f.select("episode_id", "label"), "episode_id")
-    centre, _ = M.kmeans(z, 6, 40)
+    centre, _ = M.kmeans(z, 6)
     return A.rounded(M.occupancy(M.assign(z, M.centre_table(spark, centre))))

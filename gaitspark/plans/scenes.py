@@ -104,7 +104,7 @@ def distance_response(spark, d):
 def distance_response_null(spark, d):
     """With the permutation envelope."""
     context = I.neighbor_context(A.samples(spark, d), RADII, 0.1)
-    return A.rounded(I.ant_contrast(context, labelled_features(spark, d).select("episode_id", *DIMS), DIMS, ("siler", "other_spider"), 100))
+    return A.rounded(I.ant_contrast(context, labelled_features(spark, d).select("episode_id", *DIMS), DIMS, ("siler", "other_spider")))
 
 
 @query(A.sql("""SELECT scene, focal, neighbor, n_frames, round(mean_distance, 6) AS mean_distance, label, row_number() OVER (PARTITION BY scene, focal ORDER BY mean_distance, neighbor)::INT AS rank
@@ -269,7 +269,7 @@ A.SQL["det"] = A.SQL["trk"] + ",\ndet AS (SELECT scene AS video_id, frame % 97 A
 CASE WHEN contains(cls, 'ant') THEN 'ant' WHEN contains(cls, 'spider') THEN 'spider' ELSE 'unknown' END AS class FROM (SELECT *, count(*) OVER (PARTITION BY video_id, frame) AS n FROM det) WHERE n <= 10""", "det"))
 def chaos_guard(spark, d):
     """P13, P14, P15, S9."""
-    rows = T.chaos_guard(detections(spark, d), 10)
+    rows = T.chaos_guard(detections(spark, d))
     return A.rounded(rows.select("video_id", "frame", "cls", "confidence", recalibrated_confidence(F.col("confidence")).alias("recalibrated"), confidence_band(F.col("confidence")).alias("band"), normalize_class(F.col("cls")).alias("class")))
 
 
@@ -377,7 +377,7 @@ def atlas_slim(spark, d):
     f = labelled_features(spark, d)
     z = K.feature_matrix(f)
     emb = z.select("episode_id", M.fit_pca(z, 2).transform(F.col("z")).alias("z"))
-    centre, _ = M.kmeans(z, 6, 20)
+    centre, _ = M.kmeans(z, 6)
     near = R.all_knn(M.standardized(f, DIMS).select(F.col("episode_id").alias("id"), F.array(*DIMS).alias("z")))
     return AT.slim(f.select("episode_id", "label"), emb, M.assign(z, M.centre_table(spark, centre)), near)
 
