@@ -85,8 +85,8 @@ SQL = {
     "vel": "vel AS (SELECT user_id AS episode_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS v FROM events)",
     "trk": f"""ev AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t, value AS x, regexp_extract(props, '(-?[0-9]+)', 1)::DOUBLE AS y FROM events),
 evf AS (SELECT *, (t - (SELECT min(t) FROM ev)) // 3600 AS frame FROM ev),
-trk AS (SELECT user_id AS episode_id, frame, x, y, (user_id % 10)::VARCHAR || '@' || (user_id % 2)::VARCHAR AS scene, {_ARRAY}[(user_id // 10) % 5 + 1] AS label
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, frame ORDER BY t, event_id) AS rn FROM evf) WHERE rn = 1)""",
+pts AS (SELECT event_id, user_id AS episode_id, frame, x, y, (user_id % 10)::VARCHAR || '@' || (user_id % 2)::VARCHAR AS scene, {_ARRAY}[(user_id // 10) % 5 + 1] AS label FROM evf),
+trk AS (SELECT episode_id, frame, scene, label, avg(x) AS x, avg(y) AS y FROM pts GROUP BY episode_id, frame, scene, label)""",
     "ann": f"""ann AS (SELECT user_id AS episode_id, CASE WHEN k % 7 = 0 THEN NULL ELSE {_ARRAY}[k % 5 + 1] END AS human_label,
   CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'unreviewed' WHEN 'purchase' THEN 'rejected' WHEN 'signup' THEN 'edge_effect' ELSE 'too_short' END AS qc_state,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM (SELECT *, regexp_extract(props, '(-?[0-9]+)', 1)::BIGINT AS k FROM events))""",

@@ -268,10 +268,10 @@ def mimicry_fingerprint(spark, d):
 _PERM = f""",
 pj AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY episode_id) - 1 AS j, count(*) FILTER (side = 'a') OVER (PARTITION BY dim) AS n_a, count(*) OVER (PARTITION BY dim) AS n FROM long),
 rl AS (SELECT dim, any_value(n_a) AS n_a, any_value(n - n_a) AS n_b, quantile_cont(value, 0.5) FILTER (side = 'a') AS median_a, quantile_cont(value, 0.5) FILTER (side = 'b') AS median_b FROM pj GROUP BY 1),
-px AS (SELECT pj.*, b, {_X.format(b='b', j='j')} AS x FROM pj, range(60) t(b)),
+px AS (SELECT pj.*, b, {_X.format(b='b', j='j')} AS x FROM pj, range(200) t(b)),
 ph AS (SELECT *, row_number() OVER (PARTITION BY dim, b ORDER BY {_HASH}, j) <= n_a AS first FROM px),
 nl AS (SELECT dim, b, quantile_cont(value, 0.5) FILTER (first) - quantile_cont(value, 0.5) FILTER (NOT first) AS dd FROM ph GROUP BY ALL),
-pp AS (SELECT dim, quantile_cont(dd, 0.025) AS null_lo, quantile_cont(dd, 0.975) AS null_hi, (count(*) FILTER (abs(dd) >= abs(median_a - median_b) - 1e-12) + 1) / 61 AS p_perm FROM nl JOIN rl USING (dim) GROUP BY 1)"""
+pp AS (SELECT dim, quantile_cont(dd, 0.025) AS null_lo, quantile_cont(dd, 0.975) AS null_hi, (count(*) FILTER (abs(dd) >= abs(median_a - median_b) - 1e-12) + 1) / 201 AS p_perm FROM nl JOIN rl USING (dim) GROUP BY 1)"""
 
 
 @query("WITH " + A.SQL["long"] + _PERM + "\nSELECT dim, n_a, n_b, round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(median_a - median_b, 6) AS diff, round(null_lo, 6) AS null_lo, round(null_hi, 6) AS null_hi, round(p_perm, 6) AS p_perm FROM rl JOIN pp USING (dim)")

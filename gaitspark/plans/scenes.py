@@ -116,7 +116,7 @@ def scene_neighbors(spark, d):
 
 # --- retrieval --------------------------------------------------------------------
 
-_Q = A.SQL["vec"] + ",\nq AS (SELECT * FROM vec WHERE id % 25 = 0), ix AS (SELECT * FROM vec WHERE id % 25 <> 0)"
+_Q = A.SQL["vec"] + ",\nq AS (SELECT * FROM vec WHERE id % 50 = 0), ix AS (SELECT * FROM vec)"
 _EU = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
 _COS = f"1 - {_DOT.format(a='q.z', b='ix.z')} / greatest(sqrt({_DOT.format(a='q.z', b='q.z')}) * sqrt({_DOT.format(a='ix.z', b='ix.z')}), 1e-12)"
@@ -130,7 +130,7 @@ kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 def _split(spark, d):
     """The stated queries, and the whole table as the index; searches leave out the query's own id."""
     v = A.vectors(spark, d)
-    return v.where("id % 25 = 0"), v
+    return v.where("id % 50 = 0"), v
 
 
 @query(f"WITH {_Q},\n{_knn_sql(_EU.format(a='q.z', b='ix.z'), 6)}\nSELECT query_id, rank, id, round(dist, 6) AS dist, round(exp(-dist / 3), 6) AS similarity FROM kn")
@@ -161,7 +161,7 @@ def internal_nn(spark, d):
 
 
 @query(f"""WITH {_Q}, nn AS (SELECT a.id, min({_EU.format(a='a.z', b='b.z')}) AS m FROM ix a, ix b WHERE a.id <> b.id GROUP BY 1), th AS (SELECT quantile_cont(m, 0.95) AS t FROM nn),
-near AS (SELECT q.id AS query_id, min({_EU.format(a='q.z', b='ix.z')}) AS nearest FROM q, ix GROUP BY 1) SELECT query_id, round(nearest, 6) AS nearest, round(t, 6) AS threshold, nearest > t AS ood FROM near, th""")
+near AS (SELECT q.id AS query_id, min({_EU.format(a='q.z', b='ix.z')}) AS nearest FROM q, ix WHERE q.id <> ix.id GROUP BY 1) SELECT query_id, round(nearest, 6) AS nearest, round(t, 6) AS threshold, nearest > t AS ood FROM near, th""")
 def ood_flag(spark, d):
     """A23."""
     return A.rounded(R.ood_flags(*_split(spark, d)))
@@ -178,7 +178,7 @@ def motif_retrieval(spark, d):
     return A.rounded(R.motif_hits(q, M.centroids(ix)))
 
 
-@query(f"WITH {_Q}\nSELECT (p - 1)::INT AS pos, round(avg(z[p]), 6) AS mean, round(quantile_cont(z[p], 0.5), 6) AS median FROM q, range(1, 65) r(p) GROUP BY p")
+@query(f"WITH {A.SQL['vec']}\nSELECT (p - 1)::INT AS pos, round(avg(z[p]), 6) AS mean, round(quantile_cont(z[p], 0.5), 6) AS median FROM vec, range(1, 65) r(p) GROUP BY p")
 def cloud_mean_median(spark, d):
     """A25."""
     return A.rounded(R.cloud_center(A.vectors(spark, d)))
@@ -193,7 +193,7 @@ bo AS (SELECT taxon, p, x, 0 AS a, 1 AS b FROM il UNION ALL SELECT taxon, p, x,
 pv AS (SELECT taxon, p, x, sum(a) AS a, sum(b) AS b FROM bo GROUP BY ALL),
 pc AS (SELECT taxon, p, x, sum(a) OVER w / sum(a) OVER t AS fa, sum(b) OVER w / sum(b) OVER t AS fb, lead(x) OVER w AS nx FROM pv WINDOW w AS (PARTITION BY taxon, p ORDER BY x), t AS (PARTITION BY taxon, p)),
 w1 AS (SELECT taxon, avg(w / sd) AS w1_mean FROM (SELECT taxon, p, sum(abs(fa - fb) * (nx - x)) AS w FROM pc GROUP BY ALL) JOIN sd USING (p) GROUP BY 1),
-be AS (SELECT taxon, avg(exp(-dm / 3)) AS mean_best FROM (SELECT ix.taxon, q.id, min({_EU.format(a='q.z', b='ix.z')}) AS dm FROM q, ix GROUP BY ix.taxon, q.id) GROUP BY 1),
+be AS (SELECT taxon, avg(exp(-dm / 3)) AS mean_best FROM (SELECT ix.taxon, q.id, min({_EU.format(a='q.z', b='ix.z')}) AS dm FROM q, ix WHERE q.id <> ix.id GROUP BY ix.taxon, q.id) GROUP BY 1),
 al AS (SELECT *, mean_best * n / (n + 5) AS score FROM sz JOIN ce USING (taxon) JOIN w1 USING (taxon) JOIN be USING (taxon))
 SELECT taxon, n, n_human, round(centroid_dist, 6) AS centroid_dist, round(w1_mean, 6) AS w1_mean, round(mean_best, 6) AS mean_best, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, taxon)::INT AS rank FROM al) WHERE rank <= 6"""
 
@@ -219,7 +219,7 @@ def similarity_breakdown(spark, d):
     return A.rounded(out.withColumn("level", similarity_level(F.col("mean_diff"))))
 
 
-@query(f"WITH {_Q},\n{_knn_sql(_EU.format(a='q.z', b='ix.z'), 6)},\nkd2 AS (SELECT q.id AS query_id, ix.id AS id, {_EU.format(a='q.z[1:32]', b='ix.z[1:32]')} AS dist FROM q, ix), kn2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM kd2) WHERE rank <= 6)\nSELECT a.query_id, round(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))), 6) AS jaccard FROM (SELECT query_id, list(id) AS l FROM kn GROUP BY 1) a JOIN (SELECT query_id, list(id) AS l FROM kn2 GROUP BY 1) b USING (query_id)")
+@query(f"WITH {_Q},\n{_knn_sql(_EU.format(a='q.z', b='ix.z'), 6)},\nkd2 AS (SELECT q.id AS query_id, ix.id AS id, {_EU.format(a='q.z[1:32]', b='ix.z[1:32]')} AS dist FROM q, ix WHERE q.id <> ix.id), kn2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM kd2) WHERE rank <= 6)\nSELECT a.query_id, round(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))), 6) AS jaccard FROM (SELECT query_id, list(id) AS l FROM kn GROUP BY 1) a JOIN (SELECT query_id, list(id) AS l FROM kn2 GROUP BY 1) b USING (query_id)")
 def neighbor_jaccard(spark, d):
     """The whole vectors against their first halves."""
     q, ix = _split(spark, d)
@@ -262,18 +262,18 @@ def detections(spark, d):
     return s.select("event_id", F.col("scene").alias("video_id"), (F.col("frame") % 97).alias("frame"), (F.col("x") - 3).alias("x1"), (F.col("y") - 3).alias("y1"), (F.col("x") + 3).alias("x2"), (F.col("y") + 3).alias("y2"), ((F.col("frame") * 7 + F.col("episode_id")) % 100 / 100.0).alias("confidence"), F.col("label").alias("cls"))
 
 
-A.SQL["det"] = A.SQL["trk"] + ",\ndet AS (SELECT scene AS video_id, frame % 97 AS frame, x - 3 AS x1, y - 3 AS y1, x + 3 AS x2, y + 3 AS y2, ((frame * 7 + episode_id) % 100 / 100.0)::DOUBLE AS confidence, label AS cls FROM trk)"
+A.SQL["det"] = A.SQL["trk"] + ",\ndet AS (SELECT event_id, scene AS video_id, frame % 97 AS frame, x - 3 AS x1, y - 3 AS y1, x + 3 AS x2, y + 3 AS y2, ((frame * 7 + episode_id) % 100 / 100.0)::DOUBLE AS confidence, label AS cls FROM pts)"
 
 
 @query(A.sql("""SELECT video_id, frame, cls, round(confidence, 6) AS confidence, round(greatest(0.5, least(0.95, 0.5 + 0.45 * (confidence - 0.3) / 0.7)), 6) AS recalibrated, CASE WHEN confidence >= 0.5 THEN 'high' WHEN confidence >= 0.15 THEN 'low' ELSE 'none' END AS band,
-CASE WHEN contains(cls, 'ant') THEN 'ant' WHEN contains(cls, 'spider') THEN 'spider' ELSE 'unknown' END AS class FROM (SELECT *, count(*) OVER (PARTITION BY video_id, frame) AS n FROM det) WHERE n <= 10""", "det"))
+CASE WHEN contains(cls, 'ant') THEN 'ant' WHEN contains(cls, 'spider') THEN 'spider' ELSE 'unknown' END AS class FROM (SELECT *, count(*) OVER (PARTITION BY video_id, frame) AS n FROM det) WHERE n <= 40""", "det"))
 def chaos_guard(spark, d):
     """P13, P14, P15, S9."""
     rows = T.chaos_guard(detections(spark, d))
     return A.rounded(rows.select("video_id", "frame", "cls", "confidence", recalibrated_confidence(F.col("confidence")).alias("recalibrated"), confidence_band(F.col("confidence")).alias("band"), normalize_class(F.col("cls")).alias("class")))
 
 
-@query(A.sql("""SELECT count(*) AS n, round(max(o), 6) AS max_iou, round(sum(o), 4) AS sum_iou FROM (SELECT i / greatest(72 - i, 1e-9) AS o FROM (SELECT greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i FROM det a JOIN det b ON a.video_id = b.video_id AND a.frame = b.frame AND a.x1 < b.x1))""", "det"))
+@query(A.sql("""SELECT count(*) AS n, round(max(o), 6) AS max_iou, round(sum(o), 4) AS sum_iou FROM (SELECT i / greatest(72 - i, 1e-9) AS o FROM (SELECT greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i FROM det a JOIN det b ON a.video_id = b.video_id AND a.frame = b.frame AND a.event_id < b.event_id))""", "det"))
 def iou_matrix(spark, d):
     """Overlaps of the boxes of a frame, each pair once."""
     x = detections(spark, d).select("video_id", "frame", F.struct("event_id", "x1", "y1", "x2", "y2").alias("a"))
@@ -357,7 +357,7 @@ def tracking_cost(spark, d):
     return A.rounded(T.benchmark_cost(T.match_truth(points.withColumnRenamed("video_id", "scene"), truth), truth, episodes, 10.0))
 
 
-@query(A.sql("SELECT b::INT AS bin, l.label, count(x.label) AS n FROM range(24) t(b) CROSS JOIN (SELECT DISTINCT label FROM trk) l LEFT JOIN (SELECT label, frame % 24 AS hour FROM trk) x ON x.hour = b AND x.label = l.label GROUP BY ALL", "trk"))
+@query(A.sql("SELECT b::INT AS bin, l.label, count(x.label) AS n FROM range(24) t(b) CROSS JOIN (SELECT DISTINCT label FROM pts) l LEFT JOIN (SELECT label, frame % 24 AS hour FROM pts) x ON x.hour = b AND x.label = l.label GROUP BY ALL", "trk"))
 def activity_by_hour(spark, d):
     """The river of labels over the day."""
     return AT.river(A.points(spark, d).select("label", (F.col("frame") % 24).alias("hour")))
@@ -382,7 +382,7 @@ def atlas_slim(spark, d):
     return AT.slim(f.select("episode_id", "label"), emb, M.assign(z, M.centre_table(spark, centre)), near)
 
 
-@query(A.sql("SELECT scene, count(DISTINCT episode_id) AS episodes, count(*) AS samples, max(rn) AS longest FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY frame) AS rn FROM trk) GROUP BY scene", "trk"))
+@query(A.sql("SELECT scene, count(DISTINCT episode_id) AS episodes, count(*) AS samples, max(rn) AS longest FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY frame, event_id) AS rn FROM pts) GROUP BY scene", "trk"))
 def scene_sizes(spark, d):
     """J2."""
     s = A.points(spark, d).withColumn("rn", F.row_number().over(W.partitionBy("episode_id").orderBy("frame", "event_id")))
