@@ -11,11 +11,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaitspark.llm import neardup, packing, quality, secrets, toxicity
-from gaitspark.llm.common import materialize
+from gaitspark.llm.common import marked, materialize
 
 TOXIC_FROM = 0.5
 QUALITY_FROM = 0.3
@@ -41,11 +40,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id, once. Documents without doc_id stay."""
-    kept = neardup.near_duplicates(docs, SIMILARITY).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"], "left_semi")
-    once = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn("_nth", once).where("_nth = 1").drop("_nth").unionByName(docs.where(docs["doc_id"].isNull()))
+    """One document of each group: that with the smallest doc_id, once. Documents without doc_id stay.
+
+    A repeated row (doc_id and text) stays once, whatever its other columns. Different
+    texts under one doc_id are judged each by itself.
+    """
+    found = neardup.near_duplicates(docs, SIMILARITY).where("doc_id is not null")
+    texts = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.first("kept").alias("kept"), F.first("group").alias("group"))
+    texts = materialize(texts, "judged")
+    first = texts.where("kept and group is not null").groupBy("group").agg(F.min("text_hash").alias("first"))
+    kept = texts.where("kept").join(first, "group", "left").withColumn("stays", F.coalesce(F.col("text_hash") == F.col("first"), F.lit(True)))
+    # Texts that go, or stay as one of several rows; all others need no shuffle.
+    act = kept.where("not stays or n > 1").select("doc_id", "text_hash", "stays").union(texts.where("not kept").select("doc_id", "text_hash", F.lit(False)))
+    act = materialize(act, "dropped").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("stays").alias("_stays"))
+    key = F.xxhash64("_id", "_hash")
+    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_hash"), F.struct("*").alias("_row"))
+    rows = marked(rows, F.when(F.col("_id").isNotNull(), key), act, key)
+    likely = rows.where("_marked").join(act, ["_id", "_hash"], "left")
+    once = likely.where("_stays").groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+    return rows.where("not _marked").select("_row.*").union(likely.where("_stays is null").select("_row.*")).union(once.select("_row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,7 +93,8 @@ def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, miss=1e-6)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -471,8 +471,8 @@ def brute_components(texts, percent, size=5):
     return [len(x) for x in s], [find(i) for i in range(len(s))]
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_near_duplicates_match_brute_force(spark, percent, monkeypatch):
+@pytest.mark.parametrize("percent, exact", [(80, False), (85, False), (85, True), (60, True)])
+def test_near_duplicates_match_brute_force(spark, percent, exact, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     r = random.Random(percent)
     base = [" ".join(r.choice("abcdefghijklmnop") * r.randint(1, 3) for _ in range(80)) for _ in range(5)]
@@ -482,13 +482,31 @@ def test_near_duplicates_match_brute_force(spark, percent, monkeypatch):
         for _ in range(r.randint(0, 4)):
             w[r.randrange(len(w))] = r.choice("xyz") * 3
         texts.append(" ".join(w))
-    got = {x["doc_id"]: x for x in neardup.near_duplicates(docs_of(spark, texts, component_id="x", u=1), percent).collect()}
+    got = {x["doc_id"]: x for x in neardup.near_duplicates(docs_of(spark, texts, component_id="x", u=1), percent, exact=exact).collect()}
     n, comp = brute_components(texts, percent)
     assert [got[i]["n_shingles"] for i in range(len(texts))] == n
     assert [got[i]["component_id"] for i in range(len(texts))] == comp
     assert all(got[i]["kept"] == (comp[i] == i) for i in range(len(texts)))
 
 
+def test_chained_texts_are_compared_with_few_others(spark):
+    """Each text shares 0.55 of its shingles with the next: one long chain, but small groups."""
+    words = [f"w{i}" for i in range(30 * 2001 + 110)]
+    texts = [" ".join(words[30 * i : 30 * i + 107]) for i in range(2000)]
+    docs = docs_of(spark, texts).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    classes = neardup.set_classes(neardup.signatures(docs, 80, 5, 9, 1e-4, False))
+    sizes = [r["count"] + 1 for r in neardup.candidate_stars(classes).groupBy("grp").count().collect()]
+    assert sum(n * n for n in sizes) < 4 * len(texts) and max(sizes) <= 5
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(3, a), (3, b), (4, a + " x"), (5, b), (3, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == 3 for r in got) and sorted(r["doc_id"] for r in got if r["kept"]) == [3, 3, 3]
+    assert len({r["group"] for r in got}) == 2
+
+
 def test_near_duplicates_take_awkward_rows(spark, empty):
     rows = neardup.near_duplicates(awkward(spark)).collect()
     assert len(rows) == 11 and [r["kept"] for r in rows if r["doc_id"] is None] == [True]

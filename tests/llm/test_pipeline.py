@@ -60,7 +60,8 @@ def test_stages_take_awkward_rows(spark):
         assert out.columns == w.columns
         out.collect()
     once = corpus_pipeline.drop_near_duplicates(spark, w, SF)
-    assert once.where(F.col("doc_id") == 3).count() == 1 and once.where("doc_id is null").count() == 1
+    # Its two texts are unlike; the repeated one stays once.
+    assert sorted(r["text"] for r in once.where(F.col("doc_id") == 3).collect()) == ["another text", "one"] and once.where("doc_id is null").count() == 1
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
