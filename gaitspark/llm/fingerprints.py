@@ -1,14 +1,14 @@
 """Order MinHash fingerprints, in DataFrame operations alone.
 
-A text is its sequence of words. Each k-mer of words is numbered by occurrence, so
-that repeats differ. Selection number j takes the k-mers whose hashes come next on
-the hash circle behind the point j/m, which is the minimum under the j-th rotation
-of the hash order; it keeps the selected ones in text order and hashes the tuple.
-Two texts agree on a selection only if they share these k-mers in the same order,
+A text is its sequence of words, and an edit within a word counts like its
+replacement. Each k-mer of words is numbered by occurrence, so that repeats differ.
+Under each of 32 permutations, hashes seeded by the permutation's number, the two
+k-mers with the least values are selected; they keep their order in the text, and
+the tuple is hashed. Two texts agree on a selection only if they share these k-mers in the same order,
 so the share of equal selections falls with edits and with moved passages.
 
-Hashes are packed with positions into one long each (40 and 24 bits), so that
-sorting runs on primitive arrays.
+A script without spaces has long words; a text of fewer words than a k-mer is
+taken as its characters instead, so that such texts differ by degrees, too.
 """
 
 from __future__ import annotations
@@ -21,44 +21,46 @@ KMER, SELECTIONS, TUPLE = 3, 32, 2
 _LOW = 0xFFFFFF
 
 
-def packed_kmers(text: Column) -> Column:
-    """array<long>: 40 bits of the k-mer's hash above 24 bits of its position (modulo 2^24), sorted."""
+def units(text: Column) -> Column:
+    """array<long>: hashes of the words; of the characters where there are fewer than three words."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    chosen = F.when((F.size(words) < KMER) & (F.size(words) > 0), F.split(F.array_join(words, " "), "")).otherwise(words)
+    return F.transform(chosen, lambda w: F.xxhash64(w))
 
 
 def fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
     """docs with column out: the selections' hashes, an array of 32 longs, for the text column (null: empty).
 
-    A text of fewer than three words is one k-mer; one without words gets a constant
-    fingerprint. With fewer k-mers than a tuple holds, the tuple is all of them.
+    A text of fewer than three words and characters is one k-mer; one without words
+    gets a constant fingerprint. With a single k-mer the tuple is that one. Occurrences are numbered in the order of
+    the text; beyond 2^24 words equal k-mers stay numbered, but a number may belong to another of them.
     """
     t = f"_{out}_"
-    docs = docs.withColumn(t + "h", packed_kmers(F.coalesce(F.col(text), F.lit(""))))
+    docs = docs.withColumn(t + "h", units(F.coalesce(F.col(text), F.lit(""))))
     docs = docs.withColumn(t + "n", F.size(t + "h"))
     kmers = f"""case when {t}n = 0 then cast(array() as array<bigint>) when {t}n < {KMER} then array(xxhash64({t}h))
         else transform(sequence(0, {t}n - {KMER}), i -> xxhash64({", ".join(f"get({t}h, i + {k})" for k in range(KMER))})) end"""
     docs = docs.withColumn(t + "k", F.expr(kmers))
+    # 40 bits of the k-mer's hash above 24 bits of its place, so that sorting runs on longs.
     docs = docs.withColumn(t + "s", F.expr(f"sort_array(transform({t}k, (h, i) -> (h & ~{_LOW}L) | (i & {_LOW})))")).drop(t + "k", t + "h")
     # Equal hashes stand side by side: the first of a run is occurrence 0, the others get new hashes by their number in the run.
     docs = docs.withColumn(t + "f", F.expr(f"filter({t}s, (x, i) -> i = 0 or (x >> 24) <> (get({t}s, i - 1) >> 24))"))
     docs = docs.withColumn(t + "r", F.expr(f"case when size({t}f) = size({t}s) then cast(array() as array<bigint>) else filter({t}s, (x, i) -> i > 0 and (x >> 24) = (get({t}s, i - 1) >> 24)) end")).drop(t + "s")
     starts = f"filter(transform({t}r, (x, i) -> i), i -> i = 0 or (get({t}r, i) >> 24) <> (get({t}r, i - 1) >> 24))"
     docs = docs.withColumn(t + "b", F.expr(starts))
-    numbered = f"""case when size({t}r) = 0 then {t}f else sort_array(concat({t}f, flatten(transform({t}b, (b, q) ->
-        transform(slice({t}r, b + 1, coalesce(get({t}b, q + 1), size({t}r)) - b), (x, o) -> (xxhash64(x >> 24, o + 1) & ~{_LOW}L) | (x & {_LOW})))))) end"""
+    numbered = f"""case when size({t}r) = 0 then {t}f else concat({t}f, flatten(transform({t}b, (b, q) ->
+        transform(slice({t}r, b + 1, coalesce(get({t}b, q + 1), size({t}r)) - b), (x, o) -> (xxhash64(x >> 24, o + 1) & ~{_LOW}L) | (x & {_LOW}))))) end"""
     docs = docs.withColumn(t + "e", F.expr(numbered)).drop(t + "f", t + "r", t + "b")
-    # Only the first TUPLE of each of the m arcs can be selected: those are kept, then every point takes the next ones on the circle.
-    arc = f"(x >> {64 - (SELECTIONS.bit_length() - 1)})"
-    arc_of = arc.replace("x ", f"get({t}e, i - {TUPLE}) ")
-    docs = docs.withColumn(t + "c", F.expr(f"filter({t}e, (x, i) -> i < {TUPLE} or {arc} <> {arc_of})")).drop(t + "e")
-    half = SELECTIONS // 2
-    at = f"aggregate({t}c, 0, (a, x) -> a + case when {arc} < j then 1 else 0 end)"
-    picked = f"transform(sequence(0, least({TUPLE}, size({t}c)) - 1), g -> get({t}c, cast(pmod(p + g, size({t}c)) as int)))"
-    ordered = f"transform(array_sort(transform({picked}, x -> named_struct('pos', x & {_LOW}, 'h', x >> 24))), x -> x.h)"
-    select = f"""case when size({t}c) = 0 then transform(sequence(0, {SELECTIONS - 1}), j -> 0L)
-        else transform(transform(sequence({-half}, {half - 1}), j -> {at}), p -> xxhash64({ordered})) end"""
-    return docs.withColumn(out, F.expr(select)).drop(t + "c", t + "n")
+    docs = docs.withColumn(t + "m", F.expr(f"transform({t}e, x -> x >> 24)"))
+    # One row of values for each permutation; the places of its least and second least value are those of the k-mers.
+    least = "named_struct('a', array_min(v), 'b', array_min(array_remove(v, array_min(v))), 'v', v)"
+    places = "named_struct('a', cast(array_position(p.v, p.a) as int) - 1, 'b', coalesce(cast(array_position(p.v, p.b) as int) - 1, -1))"
+    found = f"transform(transform(transform(sequence(1, {SELECTIONS}), j -> transform({t}m, h -> xxhash64(h, j))), v -> {least}), p -> {places})"
+    at = lambda side: f"get({t}e, q.{side})"
+    h = lambda side: f"shiftright({at(side)}, 24)"
+    pair = f"""case when q.b < 0 then xxhash64({h("a")}) when ({at("a")} & {_LOW}) <= ({at("b")} & {_LOW}) then xxhash64({h("a")}, {h("b")}) else xxhash64({h("b")}, {h("a")}) end"""
+    select = f"case when size({t}e) = 0 then transform(sequence(1, {SELECTIONS}), j -> 0L) else transform({found}, q -> {pair}) end"
+    return docs.withColumn(out, F.expr(select)).drop(t + "e", t + "m", t + "n")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -75,26 +77,50 @@ def in_order(docs: DataFrame, rows_in_bucket: int = 1000) -> tuple[DataFrame, Wi
 
     Rows go to buckets by ranges of doc_id and are ordered within their bucket; behind
     its last row every bucket gets a copy of the first row of the bucket below. Null
-    ids come last; equal ids are ordered by text. A single row is its own successor.
+    ids come last; equal ids are ordered by the hash of their text. An id that fills
+    buckets, null too, has some to itself, dealt by that hash. A single row is its own successor.
     Null texts are empty. Rows with _guest = 1 are the copies, to be left out after
     the last lead(); windows behind one another need no further shuffle or sort.
+    There are at most 20,000 ranges of ids, so in larger tables buckets grow, and sort on disk.
     """
-    spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
+    docs = docs.withColumns({"_key": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "_hash": F.xxhash64("text")})
     total = docs.agg(F.count("*").alias("n")).first()["n"]
     buckets = max(1, min(20_000, total // rows_in_bucket))
-    bounds: list[int] = []
+    bounds: set[int] = set()
     if buckets > 1:
-        bounds = sorted(set(docs.agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]))
-    limits = F.lit(bounds).cast("array<long>") if bounds else F.array().cast("array<long>")
-    docs = docs.withColumn("_bucket", F.size(F.filter(limits, lambda b: b < F.col("_key"))))
-    tops = sorted((r["_bucket"], r["top"]) for r in docs.groupBy("_bucket").agg(F.max("_key").alias("top")).collect())
-    below = spark.createDataFrame([(b, tops[i - 1][1]) for i, (b, _) in enumerate(tops)], "_at int, _key long")
-    guests = docs.join(F.broadcast(below), "_key").groupBy("_at").agg(F.min("text").alias("text"))
-    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("_at").alias("_bucket"), F.lit(1).alias("_guest"))
-    rows = docs.select("doc_id", "text", "_bucket", F.lit(0).alias("_guest")).union(guests)
-    down = W.partitionBy("_bucket").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "text")
+        cuts = docs.agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
+        # A range ends with its bound. A bound that comes twice is a frequent id, and gets a range of its own.
+        bounds = set(cuts) | {b - 1 for a, b in zip(cuts, cuts[1:], strict=False) if a == b and b > -(2**63)}
+    limits = sorted(bounds)
+    # The number of bounds below the key, by halving.
+    steps = max(len(limits).bit_length(), 1)
+    array = F.lit(limits).cast("array<long>") if limits else F.array().cast("array<long>")
+    docs = docs.withColumn("_limits", array)
+    below = f"aggregate(sequence({steps - 1}, 0, -1), 0, (at, s) -> if(coalesce(get(_limits, at + shiftleft(1, s) - 1) < _key, false), at + shiftleft(1, s), at))"
+    docs = docs.withColumn("_range", F.expr(below)).drop("_limits")
+    # At most 20,000 ranges and as many parts of long ranges that are one id.
+    counts = docs.groupBy("_range").agg(F.count("*").alias("n"), (F.min("_key") == F.max("_key")).alias("one")).where(F.col("one") & (F.col("n") > 2 * rows_in_bucket)).collect()
+    parts = {r["_range"]: min(14, int(r["n"] // rows_in_bucket).bit_length()) for r in counts}
+    if parts:
+        split = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+        bits = F.coalesce(F.try_element_at(split, F.col("_range")), F.lit(0))
+        docs = docs.withColumn("_bits", bits).withColumn("_part", F.expr("if(_bits = 0, 0, cast(shiftrightunsigned(_hash, 64 - _bits) as int))"))
+        docs = docs.withColumn("_part", F.expr("if(_bits = 0, 0, cast(pmod(_part + shiftleft(1, _bits - 1), shiftleft(1, _bits)) as int))")).drop("_bits")
+    else:
+        docs = docs.withColumn("_part", F.lit(0))
+    # Signed hashes ascend with their part, and both ascend with _bucket; the order runs downwards.
+    docs = docs.withColumn("_bucket", F.struct("_range", "_part"))
+    order = F.struct("_key", "_hash")
+    tops = sorted((tuple(r["_bucket"]), tuple(r["top"])) for r in docs.groupBy("_bucket").agg(F.max(order).alias("top")).collect())
+    spark = docs.sparkSession
+    rows = [(*b, *tops[i - 1][1]) for i, (b, _) in enumerate(tops)]
+    ends = spark.createDataFrame(rows, "_r int, _p int, _key long, _hash long")
+    # The first row of the bucket below, where more than one has this id and hash they have one text.
+    guests = docs.select("_key", "_hash", "text").join(F.broadcast(ends), ["_key", "_hash"]).groupBy("_r", "_p").agg(F.min("text").alias("text"))
+    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.struct(F.col("_r").alias("_range"), F.col("_p").alias("_part")).alias("_bucket"), F.lit(1).alias("_guest"), F.lit(0).cast("long").alias("_hash"))
+    rows = docs.select("doc_id", "text", "_bucket", F.lit(0).alias("_guest"), "_hash").union(guests)
+    down = W.partitionBy("_bucket").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("_hash").desc(), "text")
     return rows, down
 
 
