@@ -1,26 +1,33 @@
 """SentencePiece ids by a table of distinct marked words.
 
 The model's pieces never hold a white-space marker behind another character, so no
-merge crosses the start of a marked word. Each distinct marked word is segmented
-once for a worker's table, and the ids are joined back by position. The table is
-bounded; a worker that has seen too many distinct words starts a new one.
+merge crosses the start of a marked word. Each distinct marked word of the corpus is
+segmented once, into a written table. Frequent words, a bounded number of them, go to
+every task; ids of the others are joined back by row and position, so no word's rows
+meet in one task.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import worker_path, worker_table
+from .common import is_empty, materialize, worker_path
 
 MARK = "▁"
 MARKED = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE = 400_000
+#: Frequent words that are broadcast, and the longest of them: 150,000 of 64 characters at most, under 40 MB.
+HEAD, LONGEST = 150_000, 64
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 100_000
 
 
 @lru_cache(2)
@@ -30,52 +37,150 @@ def processor(path: str):
     return SentencePieceProcessor(model_file=path)
 
 
-class MarkedWords(dict):
-    """Ids of marked words as little-endian 32-bit bytes."""
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        byte = data[at]
+        value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+        if byte < 128:
+            return value, at
+
+
+def message(data: bytes) -> dict[int, list]:
+    """Fields of a serialized message by number: integers, or bytes of nested ones and strings."""
+    out: dict[int, list] = {}
+    at = 0
+    while at < len(data):
+        key, at = _varint(data, at)
+        if key & 7 == 0:
+            value, at = _varint(data, at)
+        else:
+            size, at = _varint(data, at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = data[at : at + size], at + size
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+def check_model(path: str) -> None:
+    """Raise ValueError if the model's pieces cross white space, or its normalizer does more than mark white space.
+
+    Fixed values: field numbers of the published format. 3 is the normalizer: 2 its
+    character map, 3 the marker put in front, 4 the removal of blanks, 5 their
+    marking; 2 is the trainer, with 24 the marker behind words.
+    """
+    sp = processor(path)
+    model = message(sp.serialized_model_proto())
+    rules, trained = (message((model.get(n) or [b""])[-1]) for n in (3, 2))
+    flag = lambda fields, n, default: bool((fields.get(n) or [default])[-1])
+    plain = not flag(rules, 2, b"") and flag(rules, 3, 1) and not flag(rules, 4, 1) and flag(rules, 5, 1) and not flag(trained, 24, 0)
+    if not plain or any(MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.get_piece_size())):
+        raise ValueError("pieces of this model can cross white space, or it changes texts")
+
+
+def marked_words(text: str | None) -> list[str]:
+    """The words of a text, each behind its markers; the first has one put in front."""
+    return MARKED.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def segment(sp, words: list[str]) -> list[bytes]:
+    """The library's ids of each marked word, little-endian unsigned 32-bit."""
+    lone = np.array([sp.piece_to_id(MARK)], "<u4").tobytes()
+    # The library puts the first marker back in front.
+    return [np.array(ids, "<u4").tobytes() if w != MARK else lone for w, ids in zip(words, sp.encode([w[1:] for w in words], num_threads=1), strict=True)]
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.sp = processor(path)
-        pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
-        if any(MARK in p.lstrip(MARK) for p in pieces) or self.sp.normalize("a  b ") != f"{MARK}a{MARK}{MARK}b{MARK}":
-            raise ValueError("pieces of this model can cross white space, or it changes texts")
-        self.lone = np.array([self.sp.piece_to_id(MARK)], "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of each whole text, without begin and end."""
-        if len(self) > TABLE:
-            self.clear()
-        cut = [MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({w for words in cut for w in words}.difference(self))
-        # The library puts the first marker back in front.
-        for word, ids in zip(new, self.sp.encode([w[1:] for w in new], num_threads=1), strict=True):
-            self[word] = np.array(ids, "<u4").tobytes() if word != MARK else self.lone
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter[str] = Counter()
 
+    def hand_on() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+        seen.clear()
+        return out
 
-def _encode(path: str, bounds: bool):
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            seen.update(marked_words(text))
+            if len(seen) > COUNTED:
+                yield hand_on()
+    if seen:
+        yield hand_on()
+
+
+def _segment(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(MarkedWords, path)
-        first = np.array([table.sp.bos_id()], "<u4").tobytes() if bounds else b""
-        last = np.array([table.sp.eos_id()], "<u4").tobytes() if bounds else b""
+        sp = processor(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 512):
-                ids = [first + x + last for x in table.encode([t or "" for t in texts[at : at + 512]])]
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segment(sp, batch.column("word").to_pylist()), pa.binary())], [*batch.schema.names, "ids"])
 
     return run
 
 
-def encode_pieces(docs: DataFrame, path: str, bounds: bool = True) -> DataFrame:
+def word_table(docs: DataFrame, path: str) -> DataFrame:
+    """word, n, ids: every distinct marked word of the texts of docs, how often it stands there, and its ids, each segmented once; written."""
+    worker_path(docs.sparkSession)
+    words = docs.select(docs["text"]).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return materialize(words.mapInArrow(_segment(path), "word string, n long, ids binary"), "words")
+
+
+def _look_up(head, first: bytes, last: bytes):
+    """Whole ids where all words are in the head; else runs of known ids, and the others' words with their places."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, uid = head.value, TaskContext.get().partitionId() << 40
+        get = ids.get
+        for batch in batches:
+            texts, keep = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for at in range(0, len(texts), 256):
+                cols: list[list] = [[], [], [], [], []]
+                for doc_id, text in zip(keep[at : at + 256], texts[at : at + 256], strict=True):
+                    words = marked_words(text)
+                    found = list(map(get, words))
+                    whole, runs, rare = None, None, None
+                    if None not in found:
+                        whole = first + b"".join(found) + last
+                    else:
+                        holes = [i for i, x in enumerate(found) if x is None]
+                        edges = [-1, *holes, len(found)]
+                        runs = [b"".join(found[a + 1 : b]) for a, b in zip(edges, edges[1:], strict=False)]
+                        rare = [words[i] for i in holes]
+                    for col, x in zip(cols, (doc_id, uid, whole, runs, rare), strict=True):
+                        col.append(x)
+                    uid += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "uid", "ids", "runs", "rare"])
+
+    return run
+
+
+def encode_pieces(docs: DataFrame, path: str, bounds: bool = True, head: int = HEAD) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit), one row per row of docs; with bounds, begin and end ids stand around them.
 
     A null text is empty. doc_id may be null or repeated; other columns are left out.
+    head bounds the frequent words that every task holds. The model must mark words in
+    front and leave texts as they are, see check_model().
     """
-    worker_path(docs.sparkSession)
+    check_model(path)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return docs.mapInArrow(_encode(path, bounds), "doc_id long, ids binary")
+    table = word_table(docs, path)
+    short = table.where(F.length("word") <= LONGEST)
+    picked = short.orderBy(F.desc("n"), "word").limit(head).select("word", "ids").toArrow()
+    known = dict(zip(picked.column("word").to_pylist(), picked.column("ids").to_pylist(), strict=True))
+    sc, sp = docs.sparkSession.sparkContext, processor(path)
+    first, last = (np.array([i], "<u4").tobytes() if bounds else b"" for i in (sp.bos_id(), sp.eos_id()))
+    found = docs.mapInArrow(_look_up(sc.broadcast(known), first, last), "doc_id long, uid long, ids binary, runs array<binary>, rare array<string>")
+    if table.count() <= len(known):
+        return found.select("doc_id", "ids")
+    found = materialize(found, "looked-up")
+    part = found.where("ids is null")
+    if is_empty(part):
+        return found.select("doc_id", "ids")
+    # The join by position: words that are not frequent, so none has many rows.
+    spots = part.select("uid", F.posexplode("rare").alias("place", "word"))
+    spots = spots.join(table.select("word", F.col("ids").alias("word_ids")), "word")
+    rare = spots.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word_ids"))), lambda x: x["word_ids"]).alias("rare_ids"))
+    mixed = F.transform("runs", lambda x, i: F.concat(x, F.coalesce(F.get("rare_ids", i), F.lit(b""))))
+    joined = part.drop("ids").join(rare, "uid").select("doc_id", F.unhex(F.concat(F.lit(first.hex()), F.array_join(F.transform(mixed, lambda x: F.hex(x)), ""), F.lit(last.hex()))).alias("ids"))
+    return found.where("ids is not null").select("doc_id", "ids").unionByName(joined)
 
 
 def _decode(path: str):
