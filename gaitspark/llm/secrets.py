@@ -2,8 +2,8 @@
 
 Base patterns find credentials by their form. Loose candidates, long mixed tokens
 without such a form, count only by who has them: a value that few owners have looks
-owner-specific, one that many owners share is an example that is copied around. The
-same count marks the base finds, and so does the number of different texts.
+owner-specific, one that many owners share, or many repositories with texts of their
+own, is an example that is copied around. The same counts mark the base finds.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_path
+from .common import materialize, spread_join, worker_path
 
 # The base patterns, the least length of what counts, the order of kinds.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "owned")
 
 LOOSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 WIDE = 3  # owners from which on a value is a copied example
-SPREAD = 100  # different texts from which on it is one even with fewer owners
+SPREAD = 100  # repositories with different texts from which on it is one even with fewer owners
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -85,7 +85,8 @@ def scan_secrets(docs: DataFrame, owner: str = "source", keep: tuple[str, ...] =
     kind indexes KINDS. owners and repositories count the distinct values of those
     columns, over the whole corpus, whose documents hold the same secret value; a
     missing column or null value counts as one unknown owner. live: fewer than three
-    owners and fewer than a hundred different texts; exact copies are one text. Spans of
+    owners and fewer than a hundred repositories; of repositories with the same text,
+    mirrors of one another, one counts here. Spans of
     the kind "owned" are loose candidates of fewer than three owners; those of more
     owners are left out, base spans always stay. Offsets are code points, ends
     exclusive. A null text is empty. Every row of docs gives one row, repeated ones too.
@@ -99,10 +100,13 @@ def scan_secrets(docs: DataFrame, owner: str = "source", keep: tuple[str, ...] =
     scanned = materialize(scanned.withColumns(who | {"_text": F.xxhash64("text")}).select(*keep, "_uid", "_found", "_owner", "_repo", "_text"), "secrets")
     hits = scanned.where(F.size("_found") > 0)
     each = hits.select("_uid", "_owner", "_repo", "_text", F.explode("_found").alias("s"))
-    by_owner = each.groupBy(F.col("s.value_hash").alias("h"), "_owner").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("owners"))
-    by_repo = each.groupBy(F.col("s.value_hash").alias("h"), "_repo").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("repositories"))
-    by_text = each.groupBy(F.col("s.value_hash").alias("h"), "_text").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("texts"))
-    known = each.select("_uid", "s", F.col("s.value_hash").alias("h")).join(by_owner, "h").join(by_repo, "h").join(by_text, "h")
+    each = each.withColumn("h", F.col("s.value_hash"))
+    # Each count is summed up twice, so that a value in a third of all rows is no hot key.
+    distinct = lambda c, name: each.groupBy("h", c).agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias(name), F.sum("n").alias("n"))
+    values = distinct("_owner", "owners").join(distinct("_repo", "repositories").drop("n"), "h").join(distinct("_text", "texts").drop("n"), "h")
+    values = materialize(values, "values")
+    total = values.agg(F.sum("n")).first()[0] or 0
+    known = spread_join(each.select("_uid", "s", "h"), values, "h", "n", total)
     known = known.where((F.col("s.kind") < 3) | (F.col("owners") < WIDE))
     one = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "owners", "repositories", ((F.col("owners") < WIDE) & (F.col("texts") < SPREAD)).alias("live"))
     spans = known.groupBy("_uid").agg(F.sort_array(F.collect_list(one)).alias("found"))
