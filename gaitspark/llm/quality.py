@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
 Indicators of byte n-grams are scaled by their class log-count ratios, then a
-linear model with hinge loss is fitted by dual coordinate descent. A logistic
+linear model with squared hinge loss is fitted by dual coordinate descent. A logistic
 curve over margins of rows the model did not see turns a margin into a score.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_path
+from .common import materialize, worker_path
 
 BITS = 18
 #: Texts with fewer n-grams than this say less, and their margins stay nearer to the bias.
@@ -99,34 +99,51 @@ def _train(rows: list[np.ndarray], y: np.ndarray, cost: float) -> tuple[np.ndarr
     return ratio * w[:-1], float(w[-1])
 
 
-def fit(texts: list[str | None], labels: list[int], cost: float = 1.0, folds: int = 4) -> NbSvm:
-    """Fit on texts in memory. Without rows of both classes the score is the share of label 1 (0.5 without rows)."""
-    y = np.array(labels, np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2)
-        return NbSvm(np.zeros(1 << BITS, np.float32), 0.0, 1e-3, float(np.log(p / (1 - p))))
-    rows = [ngrams(t) for t in texts]
+def folded_margins(rows: list[np.ndarray], y: np.ndarray, cost: float, folds: int) -> np.ndarray:
+    """The margin of each row (its n-grams) under a model that was not fitted on it; 0 where the others have one class only."""
     fold, margin = np.arange(len(y)) % folds, np.zeros(len(y))
     for k in range(folds):
         inside = np.flatnonzero(fold != k)
-        if y[inside].min() == y[inside].max():
+        if not len(inside) or y[inside].min() == y[inside].max():
             continue
         w, b = _train([rows[i] for i in inside], y[inside], cost)
         part = NbSvm(w, b, 1, 0)
         for i in np.flatnonzero(fold == k):
             margin[i] = part.margin(rows[i])
+    return margin
+
+
+def fit(texts: list[str | None], labels: list[int], cost: float = 1.0, folds: int = 4) -> NbSvm:
+    """Fit on texts in memory. Without rows of both classes the score is the share of label 1 (0.5 without rows)."""
+    y = np.array(labels, np.int64)
+    if len(y) == 0 or y.min() == y.max():
+        p = (y.sum() + 1) / (len(y) + 2)
+        return NbSvm(np.zeros(1 << BITS, np.float32), 0.0, 1e-3, float(np.log(p / (1 - p))))
+    rows = [ngrams(t) for t in texts]
+    slope, offset = logistic(folded_margins(rows, y, cost, folds), y)
     w, b = _train(rows, y, cost)
-    slope, offset = logistic(margin, y)
     return NbSvm(w.astype(np.float32), b, slope, offset)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], list[int]]:
-    """At most ``most`` labelled texts: those whose ids hash lowest. Rows without id, label or text are left out."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = 64 << 20) -> tuple[list[str], list[int]]:
+    """At most ``most`` labelled texts of at most most_bytes together: those whose ids hash lowest.
+
+    Rows without id, label or text are left out; of several texts of an id the first
+    counts. A text that does not fit into the rest of most_bytes is passed over.
+    """
     picked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).where("doc_id is not null and text is not null")
-    got = known.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
-    got.sort(key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))
-    return [r["text"] for r in got], [int(r["label"] > 0) for r in got]
+    got = materialize(known.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
+    sizes = got.select("doc_id", F.octet_length("text").alias("n")).collect()
+    fits, held = [], 0
+    for r in sorted(sizes, key=lambda r: (hash_order(r["doc_id"]), r["doc_id"])):
+        if held + r["n"] <= most_bytes:
+            fits.append((r["doc_id"],))
+            held += r["n"]
+    if len(fits) < len(sizes):
+        got = got.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long")), "doc_id")
+    rows = sorted(got.collect(), key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))
+    return [r["text"] for r in rows], [int(r["label"] > 0) for r in rows]
 
 
 def hash_order(n: int) -> int:
