@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, fingerprints, neardup, packing, quality, secrets, spiece, toxicity, urls, warc
-from .common import new_folder
+from .common import materialize, new_folder
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -49,17 +49,18 @@ def op4_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = warc.read_archives(spark, path)
-    # What follows needs no payloads, so they stay out of the joins.
+    # What follows needs no payloads, so they stay out of the joins; the archives are parsed once.
     light = F.when(~F.col("type").isin("response", "revisit"), F.col("block"))
-    captures = warc.assemble(records.withColumn("block", light))
+    records = materialize(warc.read_archives(spark, path).withColumn("block", light), "records")
+    captures = materialize(warc.assemble(records), "captures")
+    captures = warc.resolve(captures, {"refers_to": warc.field("page-id").cast("long")})
     number = warc.field("payload-bytes").cast("long")
     return captures.select(
         warc.field("page-id").cast("long").alias("page_id"),
         F.when(F.col("capture.type") == "response", F.col("capture.block_bytes")).otherwise(number).alias("payload_bytes"),
         F.coalesce("capture.payload_digest", "capture.stated_digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
-        warc.field("refers-to-page").cast("long").alias("refers_to"),
+        "refers_to",
     )
 
 
@@ -111,27 +112,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_OP3 = r"""
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _parts_sql(url: str) -> tuple[str, str, str, str]:
+    """scheme, host, path, address of a url that has ://."""
+    rest = f"substr({url}, instr({url}, '://') + 3)"
+    scheme, host = f"substr({url}, 1, instr({url}, '://') - 1)", _LOWER.format(f"regexp_extract({rest}, '^[^/?#]*')")
+    path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    return scheme, host, path, f"{_LOWER.format(scheme)} || '://' || {host} || {path} || coalesce(regexp_extract({rest}, '^[^?#]*(\\?[^#]*)?', 1), '')"
+
+
+def _attribute_sql(tag: str, name: str) -> str:
+    found = rf"""regexp_extract({tag}, '(?is)[\s"''/]{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)"""
+    bare = rf"""CASE WHEN {found}[1] IN ('"', '''') THEN {found}[2:-2] ELSE {found} END"""
+    return rf"nullif(trim(replace(regexp_replace({bare}, '[\t\r\n\f]', ' ', 'g'), '&amp;', '&')), '')"
+
+
+def _resolved_sql(source: str, base: str, link: str, out: str, name: str) -> str:
+    """Expressions that end in ``name``: the rows of source with ``out``, the link resolved against base."""
+    scheme, host, path, address = _parts_sql(base)
+    return rf"""{name}_a AS (SELECT *, {scheme} AS scheme_, {host} AS host_, {path} AS path_, {address} AS address_ FROM {source}),
+{name}_b AS (SELECT *, CASE WHEN {link} LIKE '/%' THEN '' WHEN contains(path_, '/') THEN regexp_extract(path_, '(?s)^.*/') ELSE '/' END || regexp_extract({link}, '^[^?#]*') AS to_ FROM {name}_a),
+{name}_c AS (SELECT *, list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(to_, '/')[2:], lambda x: [x])), lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] ELSE list_concat(a, x) END)
+  AS kept_ FROM {name}_b),
+{name} AS (SELECT * EXCLUDE (scheme_, host_, path_, address_, to_, kept_), CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link} WHEN {link} LIKE '//%' THEN scheme_ || ':' || {link}
+  WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN {link} LIKE '#%' THEN address_ WHEN {link} LIKE '?%' THEN scheme_ || '://' || host_ || path_ || {link}
+  ELSE scheme_ || '://' || host_ || '/' || array_to_string(CASE WHEN string_split(to_, '/')[-1] IN ('.', '..') THEN list_append(kept_, '') ELSE kept_ END, '/') || regexp_extract({link}, '(?s)^[^?#]*(.*)$', 1) END AS {out} FROM {name}_c)"""
+
+
+_BODY = r"""(?:"[^"]*"|''[^'']*''|[^''">])*>"""
+_URL, _WHOLE, _NODE = _parts_sql("url"), _parts_sql("whole"), _parts_sql("b")
+_OP3 = rf"""
 WITH RECURSIVE p AS (
   SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, instr(coalesce(url, ''), '://') AS spot FROM pages),
-parts AS (
-  SELECT *, CASE WHEN spot > 0 THEN translate(regexp_extract(substr(url, spot + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-    CASE WHEN spot > 0 THEN regexp_extract(substr(url, spot + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
-    CASE WHEN spot > 0 THEN regexp_extract(substr(url, spot + 3), '^[^?#]*(\?[^#]*)?', 1) ELSE '' END AS query FROM p),
+addressed AS (SELECT *, CASE WHEN spot > 0 THEN {_URL[1]} ELSE '' END AS host, CASE WHEN spot > 0 THEN {_URL[2]} ELSE '' END AS path, CASE WHEN spot > 0 THEN {_URL[3]} END AS address FROM p),
 rules(verdict, rule, rhost, rpath) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
-addressed AS (SELECT *, CASE WHEN spot > 0 THEN lower(substr(url, 1, spot - 1)) || '://' || host || path || coalesce(query, '') END AS address FROM parts),
-tags AS (SELECT url, spot, host, address, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM addressed WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
-targets AS (SELECT *, trim(replace(CASE WHEN regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&')) AS link FROM tags),
-whole AS (SELECT address, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link LIKE '//%' THEN substr(url, 1, spot - 1) || ':' || link WHEN link LIKE '/%' THEN substr(url, 1, spot - 1) || '://' || host || link END AS link FROM targets WHERE link <> ''),
-named AS (SELECT address AS u, lower(substr(link, 1, instr(link, '://') - 1)) || '://' || translate(regexp_extract(substr(link, instr(link, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || regexp_extract(substr(link, instr(link, '://') + 3), '^[^/?#]*([^?#]*)', 1) || coalesce(regexp_extract(substr(link, instr(link, '://') + 3), '^[^?#]*(\?[^#]*)?', 1), '') AS v FROM whole WHERE link IS NOT NULL AND address IS NOT NULL),
-links AS (SELECT u, v FROM named WHERE u <> v UNION SELECT v, u FROM named WHERE u <> v),
+linking AS (SELECT url, html FROM p WHERE spot > 0 AND regexp_matches(html, '(?i)canonical|http-equiv')),
+tags AS (SELECT url, list_filter(list_transform(regexp_extract_all(html, '(?is)<base\b{_BODY}'), lambda t: {_attribute_sql("t", "href")}), lambda h: h IS NOT NULL)[1] AS base, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b{_BODY}')) AS tag FROM linking),
+named AS (SELECT url, base, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches({_attribute_sql("tag", "rel")}, '(?i)(^|\s)canonical(\s|$)') THEN {_attribute_sql("tag", "href")}
+  WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches({_attribute_sql("tag", "http-equiv")}, '(?i)^refresh$') THEN trim(regexp_extract({_attribute_sql("tag", "content")}, '(?is)(?:^|[;,\s])url\s*=\s*["'']?([^"'']*)', 1)) END AS link FROM tags),
+wanted AS (SELECT * FROM named WHERE link <> ''),
+{_resolved_sql("wanted", "url", "base", "start_", "based")},
+started AS (SELECT url, link, CASE WHEN contains(start_, '://') THEN start_ ELSE url END AS start FROM based),
+{_resolved_sql("started", "start", "link", "whole", "resolved")},
+edges AS (SELECT {_URL[3]} AS u, CASE WHEN contains(whole, '://') THEN {_WHOLE[3]} END AS v FROM resolved),
+links AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
 reach AS (SELECT u AS a, u AS b FROM links UNION SELECT r.a, l.v FROM reach r JOIN links l ON r.b = l.u),
-nodes AS (SELECT DISTINCT b, translate(regexp_extract(substr(b, instr(b, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(b, instr(b, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+nodes AS (SELECT DISTINCT b, {_NODE[1]} AS host, {_NODE[2]} AS path FROM reach),
 node_fit AS (SELECT b, arg_max(verdict, length(rule)) AS verdict FROM nodes JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath) GROUP BY b),
 alias AS (SELECT a AS address, bool_or(verdict = 'allow') AS ok FROM reach JOIN node_fit USING (b) GROUP BY a),
-hosts AS (SELECT DISTINCT host, path FROM parts),
+hosts AS (SELECT DISTINCT host, path FROM addressed),
 fit AS (SELECT host, path, arg_max(verdict, length(rule)) AS verdict, arg_max(rule, length(rule)) AS rule FROM hosts JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath) GROUP BY ALL)
 SELECT page_id, d.host, d.path, rule, coalesce(verdict, CASE WHEN coalesce(ok, true) THEN 'allow' ELSE 'block' END) AS verdict
 FROM addressed d LEFT JOIN fit ON d.host = fit.host AND d.path = fit.path LEFT JOIN alias ON alias.address = d.address

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 from .graph import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,36 +47,54 @@ def clean_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.concat(kept, folder), "/"))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not, with &amp; as &, without blanks around it; null without it."""
+    found = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    bare = F.regexp_replace(found, r"(?s)^([\"'])(.*)\1$", "$2")
+    return F.nullif(F.trim(F.replace(F.regexp_replace(bare, r"[\t\r\n\f]", " "), F.lit("&amp;"), F.lit("&"))), F.lit(""))
+
+
+def resolved(rows: DataFrame, base: str, link: str, out: str) -> DataFrame:
+    """rows with column out: link resolved against the url in base (RFC 3986, 5.2); null for links with a scheme but no :// (mailto:)."""
+    # One step at a time, so that no generated method outgrows the JVM's limit.
+    rows = rows.withColumns({"_scheme": F.regexp_extract(base, r"(?s)^(.*?)://", 1), "_host": host_of(F.col(base)), "_path": path_of(F.col(base))})
+    to = F.col(link)
+    # The path of a link to a path; that of the base up to its last / comes before relative ones.
+    folder = F.when(to.startswith("/"), "").when(F.instr("_path", "/") > 0, F.regexp_extract("_path", r"(?s)^.*/", 0)).otherwise("/")
+    rows = rows.withColumns({"_to": F.concat(folder, F.regexp_extract(to, r"^[^?#]*", 0)), "_rest": F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)})
+    root = F.concat("_scheme", F.lit("://"), "_host")
+    whole = (
+        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat("_scheme", F.lit(":"), to))
+        .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(to.startswith("#"), address_of(F.col(base)))
+        .when(to.startswith("?"), F.concat(root, "_path", to))
+        .otherwise(F.concat(root, clean_path(F.col("_to")), "_rest"))
+    )
+    return rows.withColumn(out, whole).drop("_scheme", "_host", "_path", "_to", "_rest")
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
     """(u, v): addresses joined by a canonical link or a refresh redirect in the page's html.
 
     Pages without either give no row. canonical may stand anywhere in rel. Relative
-    links are resolved against the page's url (RFC 3986, 5.2); those with a scheme but
-    no :// (mailto:) are left out.
+    links are resolved against the href of the first <base> that has one, itself
+    resolved against the page's url, or against that url; those with a scheme but no
+    :// (mailto:) are left out, and such a base counts as none.
     """
-    html, url = F.col("html"), F.col("url")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
-    tags = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?is)\brel\s*=\s*(?:[\"']?|\"[^\">]*\s|'[^'>]*\s)canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    found = tags.select("url", F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&")).alias("link")).where("link <> ''")
-    # One step at a time, so that no generated method outgrows the JVM's limit.
-    found = found.withColumns({"scheme": F.regexp_extract("url", r"(?s)^(.*?)://", 1), "host": host_of(url), "path": path_of(url), "u": address_of(url)}).where("u is not null")
-    link = F.col("link")
-    # The path of a link to a path; that of the page up to its last / comes before relative ones.
-    at = F.regexp_extract(link, r"^[^?#]*", 0)
-    folder = F.when(link.startswith("/"), "").when(F.instr("path", "/") > 0, F.regexp_extract("path", r"(?s)^.*/", 0)).otherwise("/")
-    found = found.withColumns({"to": F.concat(folder, at), "rest": F.regexp_extract(link, r"^[^?#]*(.*)$", 1)})
-    root = F.concat("scheme", F.lit("://"), "host")
-    whole = (
-        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat("scheme", F.lit(":"), link))
-        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(link.startswith("#"), F.col("u"))
-        .when(link.startswith("?"), F.concat(root, "path", link))
-        .otherwise(F.concat(root, clean_path(F.col("to")), "rest"))
-    )
-    return found.withColumn("whole", whole).where("whole is not null").select("u", address_of(F.col("whole")).alias("v")).where("u is not null and v is not null and u <> v")
+    html, tag = F.col("html"), F.col("tag")
+    body = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>)"
+    pages = pages.select("url", "html").where(html.rlike("(?i)canonical|http-equiv") & (F.instr("url", "://") > 0))
+    base = F.regexp_extract_all(html, F.lit(rf"(?is)(<base\b{body}"), F.lit(1))
+    hrefs = F.filter(F.transform(base, lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+    tags = pages.select("url", F.get(hrefs, F.lit(0)).alias("base"), F.explode(F.regexp_extract_all(html, F.lit(rf"(?is)(<(?:link|meta)\b{body}"), F.lit(1))).alias("tag"))
+    canonical = F.when(tag.rlike(r"(?i)^<link") & attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), attribute(tag, "href"))
+    content = F.regexp_extract(attribute(tag, "content"), r"(?is)(?:^|[;,\s])url\s*=\s*[\"']?([^\"']*)", 1)
+    refresh = F.when(tag.rlike(r"(?i)^<meta") & attribute(tag, "http-equiv").rlike(r"(?i)^refresh$"), F.trim(content))
+    found = tags.select("url", "base", F.coalesce(canonical, refresh).alias("link")).where("link <> ''")
+    found = resolved(found, "url", "base", "from").withColumn("from", F.when(F.instr("from", "://") > 0, F.col("from")).otherwise(F.col("url")))
+    found = resolved(found, "from", "link", "whole").select(address_of(F.col("url")).alias("u"), address_of(F.col("whole")).alias("v"))
+    return found.where("u is not null and v is not null and u <> v")
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -104,10 +122,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """
     pages = pages.select("page_id", "url", "html")
     links = materialize(alias_links(pages), "aliases")
-    groups = components(links, "u", "v")
-    judged = groups.withColumn("fit", rule_for(host_of(F.col("node")), path_of(F.col("node")), rules)).where("fit is not null")
-    known = judged.groupBy("component").agg(F.max("fit.allow").alias("component_allow"))
-    known = groups.join(known, "component").select(F.col("node").alias("address"), "component_allow")
+    groups = materialize(components(links, "u", "v"), "components")
+    judged = groups.withColumn("fit", rule_for(host_of(F.col("node")), path_of(F.col("node")), rules))
+    known = judged.groupBy("component").agg(F.max("fit.allow").alias("component_allow"), F.count("*").alias("n")).where("component_allow is not null")
+    known = spread_join(groups, known, "component", "n", groups.count()).select(F.col("node").alias("address"), "component_allow")
     out = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), address_of(F.col("url")).alias("address"))
     out = out.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).join(known, "address", "left")
     allow = F.coalesce("fit.allow", "component_allow", F.lit(True))

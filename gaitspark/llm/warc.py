@@ -5,13 +5,13 @@ with an equal payload), the request and metadata, the latter two concurrent to t
 first. Archives go through Spark's text writer, whose line separator is the end of
 a WARC record, so any file system that Spark writes to will do. They are parsed by
 Content-Length, never by looking for a separator, and records are joined again
-through their concurrent-to identifiers.
+through their concurrent-to identifiers. Compressed archives are read as a stream, so
+a task holds one record, however long the file is.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_path
+from .common import materialize, spread_join, worker_path
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -44,26 +44,35 @@ def _line(value: Column) -> Column:
     return F.regexp_replace(value, r"[\x00-\x1F\x7F]", " ")
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, records_in_file: int = 3072) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 0, records_in_file: int = 100_000) -> None:
     """Write the captures of pages (page_id, url, html) as WARC files under path.
 
     Pages with payloads of equal SHA-1 and at least ``least`` bytes share one response,
-    that of the smallest page_id (repeated rows share it); the others are revisits
-    that refer to it. A null html is an empty payload, a null page_id comes last and
+    that of the smallest page_id; the others are revisits that refer to it. Repeated
+    rows of the smallest page_id are responses, too, each under an id of its own, of
+    which revisits name the first. A null html is an empty payload, a null page_id comes last and
     is written as an empty field, a null url leaves the target out. Files hold at most
     records_in_file records.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), _line(F.col("url")).alias("url"), html.alias("html"))
-    rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", payload_digest(F.col("html")))
-    # A response that others refer to is named after its payload and page; the others' names are random.
+    rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", payload_digest(F.col("html"))).withColumn("uid", F.expr("uuid()"))
     order = F.coalesce(F.col("page_id"), F.lit(2**63 - 1))
-    shared = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    # Written first, so that Spark knows its size: if it is small, no payload is shuffled for the join.
-    rows = rows.join(materialize(shared.drop("copies"), "digests"), "digest", "left")
-    rows = rows.withColumn("uid", F.expr("uuid()")).withColumn("is_first", F.col("first").isNull() | (order == F.col("first")))
+    alike = lambda t: t.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(F.struct(order.alias("first"), "uid")).alias("one"), F.count("*").alias("copies"), F.count_distinct(order).alias("pages")).where("copies > 1")
+    shared = materialize(alike(rows), "digests")
+    if shared.where("copies > pages").take(1):
+        # Rows are repeated: their random ids must hold for good, so that one of them can be named.
+        rows = materialize(rows, "captures")
+        shared = materialize(alike(rows), "digests", replaces=shared)
+        chosen = F.col("uid") == F.col("one.uid")
+    else:
+        chosen = F.lit(True)
+    total = shared.agg(F.sum("copies")).first()[0] or 0
+    rows = spread_join(rows, shared.select("digest", "one", "copies"), "digest", "copies", total, "left")
+    rows = rows.withColumn("first", F.col("one.first")).withColumn("is_first", F.col("first").isNull() | (order == F.col("first")))
+    # A response that others refer to is named after its payload and page; the others' names are random.
     named = F.concat(F.lit("urn:capture:"), F.col("digest"), F.lit(":"), F.col("first").cast("string"))
-    own = F.when(F.col("first").isNotNull() & F.col("is_first"), named).otherwise(F.concat(F.lit("urn:uuid:"), F.col("uid")))
+    own = F.when(F.col("first").isNotNull() & F.col("is_first") & chosen, named).otherwise(F.concat(F.lit("urn:uuid:"), F.col("uid")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     target = ("WARC-Target-URI", F.col("url"))
@@ -73,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, records_in_file:
     to = ("WARC-Concurrent-To", F.concat(F.lit("<"), own, F.lit(">")))
     place = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1)
     request = _record("request", F.concat(own, F.lit("-q")), [target, to, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.when(place == "", "/").otherwise(place), F.lit(" HTTP/1.1"), F.lit(END)))
-    fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\nrefers-to-page: "), F.when(F.col("is_first"), "").otherwise(F.col("first").cast("string")), F.lit("\r\npayload-bytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
+    fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\npayload-bytes: "), F.col("bytes").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", F.concat(own, F.lit("-m")), [target, to, ("Content-Type", F.lit("application/warc-fields"))], fields)
     records = rows.select(F.explode(F.array(F.when(F.col("is_first"), response).otherwise(revisit), request, metadata)).alias("value"))
     records.write.option("lineSep", END).option("maxRecordsPerFile", records_in_file).option("compression", "gzip").text(path)
@@ -98,25 +107,78 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 FIELDS = ["record_id", "type", "target_uri", "date", "concurrent_to", "refers_to", "stated_digest", "payload_digest", "block_bytes", "block"]
 KINDS = {"block_bytes": ("long", pa.int64()), "block": ("binary", pa.binary())}
+#: Records and bytes that a task hands on at once.
+ROWS, BYTES = 256, 8 << 20
+
+
+def _row(h: dict[str, str], block: bytes) -> tuple:
+    kind = h.get("warc-type", "")
+    payload = block.partition(b"\r\n\r\n")[2] if "application/http" in h.get("content-type", "") else block
+    own = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else None
+    strip = lambda k: h[k].strip("<>") if k in h else None
+    return (strip("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-date"), strip("warc-concurrent-to"), strip("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, own, len(payload), payload)
+
+
+def _batches(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    cols: list[list] = [[] for _ in FIELDS]
+    held = 0
+    for h, block in records:
+        for c, x in zip(cols, _row(h, block), strict=True):
+            c.append(x)
+        held += len(block)
+        if len(cols[0]) >= ROWS or held > BYTES:
+            yield _batch(cols)
+            cols, held = [[] for _ in FIELDS], 0
+    yield _batch(cols)
+
+
+def joined_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of archives that come cut at every empty line, which blocks may hold, too; one record is held at a time.
+
+    Raises ValueError where Content-Length doesn't lead to the end of a record.
+    """
+    end, held = END.encode(), bytearray()
+
+    def more() -> None:
+        piece = next(pieces, None)
+        if piece is None:
+            raise ValueError(f"an archive ends within a record: {bytes(held[:60])!r}")
+        held.extend(piece)
+        held.extend(end)
+
+    while True:
+        # A last line end within a block is taken for one of the two behind it, so more of them may stand between records.
+        while held[:2] == b"\r\n":
+            del held[:2]
+        if not held:
+            piece = next(pieces, None)
+            if piece is None:
+                return
+            held.extend(piece)
+            held.extend(end)
+            continue
+        head = held.find(end)
+        lines = held[:head].decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"no record at {bytes(held[:60])!r}")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        stop = head + 4 + int(headers["content-length"])
+        while len(held) < stop + 4:
+            more()
+        if held[stop : stop + 4] != end:
+            raise ValueError(f"record of {headers['content-length']} bytes isn't ended there")
+        yield headers, bytes(held[head + 4 : stop])
+        del held[: stop + 4]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            cols: list[list] = [[] for _ in FIELDS]
-            data = content.as_py()
-            for h, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                kind = h.get("warc-type", "")
-                payload = block.partition(b"\r\n\r\n")[2] if "application/http" in h.get("content-type", "") else block
-                own = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else None
-                strip = lambda k: h[k].strip("<>") if k in h else None  # noqa: B023, E731
-                row = (strip("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-date"), strip("warc-concurrent-to"), strip("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, own, len(payload), payload)
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x)
-                if len(cols[0]) >= 256:
-                    yield _batch(cols)
-                    cols = [[] for _ in FIELDS]
-            yield _batch(cols)
+            yield from _batches(parse_records(content.as_py()))
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _batches(joined_records(x for batch in batches for x in batch.column("value").to_pylist()))
 
 
 def _batch(cols: list[list]) -> pa.RecordBatch:
@@ -124,10 +186,16 @@ def _batch(cols: list[list]) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: ids, type, target, date, stated digest, and for responses the payload and its own digest."""
+    """One row per record: ids, type, target, date, stated digest, and for responses the payload and its own digest.
+
+    Files that end in .gz are read as streams, the unit that Spark cannot split. Plain archives (.warc)
+    are read whole, so each must be smaller than 2 GB.
+    """
     worker_path(spark)
     kinds = ", ".join(f"{f} {KINDS.get(f, ('string',))[0]}" for f in FIELDS)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, kinds)
+    lines = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary").alias("value"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("content")
+    return lines.mapInArrow(_stream, kinds).union(plain.mapInArrow(_parse, kinds))
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -146,6 +214,19 @@ def assemble(records: DataFrame) -> DataFrame:
     return out.drop("record_id")
 
 
+def resolve(captures: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """captures, a written table, with columns of the response that a revisit refers to by WARC-Refers-To; null for others.
+
+    columns: the new names and what they are of the response's row. A response that
+    a third of all captures refer to is no hot key.
+    """
+    referred = captures.where("capture.refers_to is not null").groupBy(F.col("capture.refers_to").alias("_to")).agg(F.count("*").alias("_n"))
+    found = captures.where("capture.type = 'response'").select(F.col("capture.record_id").alias("_to"), *[c.alias(n) for n, c in columns.items()])
+    found = found.dropDuplicates(["_to"]).join(referred, "_to")
+    total = captures.where("capture.refers_to is not null").count()
+    return spread_join(captures.withColumn("_to", F.col("capture.refers_to")), found, "_to", "_n", total, "left").drop("_to")
+
+
 def field(name: str) -> Column:
     """A field of the metadata record's block; null where it is empty."""
     return F.nullif(F.regexp_extract(F.decode("metadata.block", "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))

@@ -2,6 +2,8 @@ from urllib.parse import urljoin
 
 from gaitspark.llm import queries, urls
 
+from ..oracle import compare
+
 TARGETS = ["page2.html", "../x", "../../../x", "./", "..", ".", "a/./b/../c?q=/../1", "?id=3", "/r/../s", "/", "..x/y", "//other.org/z", "http://abs.org/k", "f?u=http://w.org/v"]
 BASES = ["https://a.org/d/e/f.html?x=1", "https://a.org/", "https://a.org", "http://a.org/g/"]
 
@@ -32,3 +34,37 @@ def test_decisions_follow_relative_links(spark):
     rows = [("https://a.org/p/1", '<link rel="canonical" href="2">'), ("https://a.org/p/2", '<link rel="alternate canonical" href="../q?id=3">'), ("https://a.org/q?id=3", '<meta http-equiv=refresh content="0;url=https://bad.net/">'), ("https://a.org/r", "")]
     got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(linked(spark, rows), queries.RULES).collect()}
     assert got == {0: "block", 1: "block", 2: "block", 3: "allow"}
+
+
+def chained(spark):
+    """Pages with chains of canonical links and redirects of all forms, to allowed, blocked and unknown ends."""
+    rows = []
+    forms = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel='alternate canonical'>", "<link rel=canonical href={}>", '<meta http-equiv="refresh" content="0; url={}">', "<meta content='3;URL={}' http-equiv=Refresh>", '<meta http-equiv=refresh content="0;url=\'{}\'">', '<link title="a > b" rel="x canonical" href=" {} ">']
+    ends = ["https://bad.net/x", "https://example.net/en/ok", "https://site.org/plain", "http://sub.example.com/de/q"]
+    for c in range(24):
+        host = f"https://h{c}.org"
+        for i in range(5):
+            to = [f"{i + 1}.html", f"./{i + 1}.html", f"/d/{i + 1}.html", f"../d/./{i + 1}.html", f"{host}/d/{i + 1}.html#top"][(c + i) % 5] if i < 4 else ends[c % 4]
+            rows.append((f"{host}/d/{i}.html", f"<head>{forms[(c * 3 + i) % 7].format(to)}</head>"))
+    rows += [
+        ("https://b.org/p/1", '<base target="_top"><base href="https://bad.net/q/"><link rel=canonical href="z">'), ("https://b.org/p/2", '<base href="/r/"><link rel=canonical href="z?a=1&amp;b=2">'), ("https://b.org/r/z?a=1&b=2", '<link rel=canonical href="//bad.net/">'),
+        ("https://b.org/p/3", '<base href="mailto:x"><link rel=canonical href="1">'), ("https://b.org/p/4", '<link rel=canonical data-href="https://bad.net/" href="?q=1">'), ("https://b.org/p/4?q=1", '<meta http-equiv=refresh content="5">'),
+        ("https://b.org/p/5", '<link rel="canonical" href="a b/../c d">'), ("https://b.org/p/c d", '<link rel="canonical" href="https://bad.net/y">'), ("https://b.org", '<link rel="canonical" href="..">'), (None, None), ("x", "canonical"), ("https://example.net/en/ok", None), ("https://BAD.net/x", ""),
+    ]
+    return linked(spark, rows)
+
+
+def test_chains_match_the_sql(spark, tmp_path):
+    chained(spark).write.parquet(f"{tmp_path}/pages.parquet")
+    compare_links(spark, str(tmp_path))
+    got = {r["page_id"]: r["verdict"] for r in queries.op3_redirect_equivalence(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(20)] == ["block"] * 5 + ["allow"] * 10 + ["block"] * 5
+    assert [got[i] for i in range(120, 128)] == ["block", "block", "block", "block", "allow", "allow", "block", "block"]
+
+
+def compare_links(spark, d):
+    import os
+
+    os.rename(f"{d}/pages.parquet", f"{d}/parts")
+    spark.read.parquet(f"{d}/parts").toPandas().to_parquet(f"{d}/pages.parquet")
+    compare(spark, "op3", queries.QUERIES["op3_redirect_equivalence"], queries.ORACLE_SQL["op3_redirect_equivalence"], d)
