@@ -139,9 +139,9 @@ def trajectory_features(samples: DataFrame, compat: bool = False) -> DataFrame:
     return g.select("episode_id", *[F.when(F.col("points").isNull(), 0.0).otherwise(F.coalesce(value[f], F.lit(0.0))).alias(f) for f in FEATURES])
 
 
-def feature_matrix(features: DataFrame) -> DataFrame:
-    """A3: episode_id and the features as one vector, in the order of their names."""
-    return features.select("episode_id", F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in FEATURES]).alias("z"))
+def feature_matrix(features: DataFrame, *keep: str) -> DataFrame:
+    """A3: episode_id, the columns ``keep``, and the features as one vector, in the order of their names."""
+    return features.select("episode_id", *keep, F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in FEATURES]).alias("z"))
 
 
 def frame_speed_heading(samples: DataFrame) -> DataFrame:

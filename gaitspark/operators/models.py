@@ -105,12 +105,15 @@ def standardized(features: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def assign(rows: DataFrame, centres: DataFrame, z: str = "z") -> DataFrame:
-    """M4: adds motif, the nearest of centres (motif, c), and d2; the lowest number of equally near ones. centres has k rows."""
-    d2 = F.aggregate(F.zip_with(F.col(z), F.col("c"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = rows.crossJoin(F.broadcast(centres)).withColumn("d2", d2)
-    others = [c for c in rows.columns if c != "episode_id"]
-    best = near.groupBy("episode_id").agg(F.min(F.struct("d2", "motif")).alias("m"), *[F.first(c).alias(c) for c in others])
-    return best.select("episode_id", *others, F.col("m.motif").alias("motif"), F.col("m.d2").alias("d2"))
+    """M4: adds motif, the nearest of centres (motif, c), and d2; the lowest number of equally near ones.
+
+    centres has k rows, which go to every task as one array; rows stay where they are.
+    """
+    every = centres.agg(F.collect_list(F.struct("motif", "c")).alias("_centres"))
+    d2 = lambda c: F.aggregate(F.zip_with(F.col(z), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("_centres", lambda s: F.struct(d2(s["c"]).alias("d2"), s["motif"].alias("motif"))))
+    near = rows.drop("motif", "d2").crossJoin(F.broadcast(every)).withColumn("_m", best)
+    return near.withColumns({"motif": F.col("_m.motif"), "d2": F.col("_m.d2")}).drop("_m", "_centres")
 
 
 def centroids(assigned: DataFrame, z: str = "z") -> DataFrame:
@@ -120,31 +123,39 @@ def centroids(assigned: DataFrame, z: str = "z") -> DataFrame:
 
 
 def kmeans(rows: DataFrame, k: int, iterations: int = 100, seed: int = 0, z: str = "z") -> tuple[np.ndarray, int]:
-    """M4: Lloyd's centres from k distinct rows; an empty cluster keeps its centre; stops early at a fixed point."""
+    """M4: Lloyd's centres from k distinct rows; an empty cluster keeps its centre; stops early at a fixed point.
+
+    rows is read once an iteration, so it should be a written table, see settled(). Each
+    task gives one row of sums for each centre.
+    """
     start = rows.select(z).distinct().orderBy(F.xxhash64(F.col(z), F.lit(seed)), z).limit(k).collect()
     centre = np.array([r[0] for r in start], np.float64)
-    sc = rows.sparkSession.sparkContext
+    if not len(centre):
+        return centre, 0
+    sc, vectors = rows.sparkSession.sparkContext, rows.select(F.col(z).alias("z"))
+    width = centre.shape[1]
     for it in range(iterations):
         c = sc.broadcast(centre)
 
         def part(batches, c=c):
-            import pandas as pd
+            import pyarrow as pa
 
             m = c.value
             total, count = np.zeros_like(m), np.zeros(len(m))
-            for pdf in batches:
-                if len(pdf):
-                    x = np.stack(pdf["z"].to_numpy())
+            for batch in batches:
+                if len(batch):
+                    x = np.asarray(batch.column("z").flatten()).reshape(len(batch), -1)
                     near = ((x**2).sum(1)[:, None] - 2 * x @ m.T + (m**2).sum(1)[None]).argmin(1)
                     np.add.at(total, near, x)
                     count += np.bincount(near, minlength=len(m))
-            yield pd.DataFrame({"motif": np.arange(len(m)), "s": total.tolist(), "n": count})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(m), dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(count)], ["motif", "s", "n"])
 
-        got = rows.select(F.col(z).alias("z")).mapInPandas(part, "motif int, s array<double>, n double").select("motif", "n", F.posexplode("s").alias("j", "x")).groupBy("motif", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+        sums = vectors.mapInArrow(part, "motif int, s array<double>, n double").groupBy("motif").agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(j))).alias(f"s{j}") for j in range(width)])
         new = centre.copy()
-        for r in got:
+        for r in sums.collect():
             if r["n"]:
-                new[r["motif"], r["j"]] = r["x"] / r["n"]
+                new[r["motif"]] = np.array([r[f"s{j}"] for j in range(width)]) / r["n"]
+        c.unpersist()
         if np.array_equal(new, centre):
             return centre, it + 1
         centre = new

@@ -14,27 +14,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cosine_distance, euclidean, similarity
+from ..session import settled
 from .stats import wasserstein
 
 K = 8
 #: Query rows that one broadcast block holds; 4,000 rows of 64 dimensions are 2 MB.
 QUERY_BLOCK = 4000
+#: Pivots that every task holds; 2,048 of 64 dimensions are 1 MB.
+MOST_CELLS = 2048
+#: Queries up to this many rows are broadcast: with 64 dimensions 10 MB.
+BROADCAST_ROWS = 20_000
+
+
+def small(rows: DataFrame) -> bool:
+    """Whether rows may be broadcast; reads no more than one row beyond the bound."""
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def against(index: DataFrame, queries: DataFrame, exclude_self: bool = True) -> DataFrame:
+    """Every index row beside every query (query_id, qz): the stated query set against all rows.
+
+    A few queries are broadcast. More go out in blocks: each index row meets each
+    block, and the rows of a block are shuffled to it.
+    """
+    q = queries.select(F.col("id").alias("query_id"), F.col("z").alias("qz"))
+    other = F.col("id") != F.col("query_id") if exclude_self else F.lit(True)
+    if small(queries):
+        return index.join(F.broadcast(q), other)
+    blocks = max(2, -(-queries.count() // QUERY_BLOCK))
+    q = q.withColumn("_b", F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)"))
+    # Index rows are salted, so that a block's pairs are spread over tasks.
+    salt = max(1, -(-index.count() // QUERY_BLOCK))
+    x = index.withColumn("_s", F.expr(f"cast(pmod(xxhash64(id), {salt}) as int)")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return x.join(q.hint("shuffle_hash"), ["_b", "_s"]).where(other).drop("_b", "_s")
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int = K, metric: str = "euclidean", exclude_self: bool = True) -> DataFrame:
     """The k nearest index rows (id, z) of each query (id, z): query_id, rank, id, dist, similarity.
 
     Ties go to the smaller id. Rows with the query's id are left out if exclude_self.
-    The queries are the small side and are broadcast.
     """
     dist = {"euclidean": euclidean, "cosine": cosine_distance}[metric]
-    q = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("z").alias("qz")))
-    pairs = index.select("id", "z").join(q, F.col("id") != F.col("query_id")) if exclude_self else index.select("id", "z").crossJoin(q)
-    pairs = pairs.select("query_id", "id", dist(F.col("qz"), F.col("z")).alias("dist"))
+    pairs = against(index.select("id", "z"), queries, exclude_self).select("query_id", "id", dist(F.col("qz"), F.col("z")).alias("dist"))
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "dist", similarity(F.col("dist")).alias("similarity"))
 
 
+def _id_kind(index: DataFrame) -> str:
+    return index.schema["id"].dataType.simpleString()
+
+
 def _best(k: int, x: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, metric: str) -> pd.DataFrame:
     """Exact best k: candidates by matrix product with slack for rounding, then distances by differences."""
     if metric == "cosine":
@@ -55,27 +85,85 @@ def _best(k: int, x: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray
     return pd.DataFrame(out, columns=["query_id", "id", "dist"])
 
 
+def _stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack(pdf["z"].to_numpy()), np.array(pdf["id"].tolist())
+
+
 def all_knn(index: DataFrame, k: int = K, metric: str = "euclidean", blocks: int | None = None) -> DataFrame:
-    """The k nearest others of every row (id long, z), exact.
+    """The k nearest others of every row (id, z), exact; ids keep their type.
 
-    Rows are dealt into blocks by a hash of their id, and every pair of blocks is one
-    group, so a task holds two blocks whatever the table's size.
+    Rows are dealt to the cells of a few pivots, and each finds its k nearest in its own
+    block first. Their distance bounds what it still needs: only blocks of cells whose pivot, less
+    the cell's radius, is within it. Index rows stay in their block, queries go to the
+    blocks they need, and a task holds a block of each.
     """
-    total = index.count()
-    n = blocks or max(1, -(-total // QUERY_BLOCK))
-    rows = index.select(F.col("id").cast("long").alias("id"), F.col("z").cast("array<double>").alias("z"), F.expr(f"cast(pmod(xxhash64(id), {n}) as int)").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select(F.col("id").alias("qid"), F.col("z").alias("qz"), F.col("b").alias("qb"), every.alias("xb"))
-    right = rows.select(F.col("id").alias("xid"), F.col("z").alias("xz"), every.alias("qb"), F.col("b").alias("xb"))
+    spark, kind = index.sparkSession, _id_kind(index)
+    rows = index.select("id", F.col("z").cast("array<double>").alias("z")).where("id is not null and z is not null")
+    total = rows.count()
+    cells = blocks or max(1, min(MOST_CELLS, -(-total // QUERY_BLOCK)))
+    none = {"query_id": kind, "id": kind, "dist": "double"}
+    found_kind = ", ".join(f"{n} {t}" for n, t in none.items())
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = _stacked(pdf)
+        return _best(k, x, ids, x, ids, metric)
+
+    rank = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
+    if cells == 1 and total <= QUERY_BLOCK:
+        return rank(rows.groupBy(F.lit(0).alias("b")).applyInPandas(own, found_kind))
+
+    def flat(z: np.ndarray) -> np.ndarray:
+        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12) if metric == "cosine" else z
+
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(cells).select("z").collect()
+    pivots = flat(np.array([r["z"] for r in picked], np.float64))
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def deal(batches):
+        for pdf in batches:
+            if len(pdf):
+                z = flat(np.stack(pdf["z"].to_numpy()))
+                d = np.sqrt(np.maximum((z**2).sum(1)[:, None] - 2 * z @ sent.value.T + (sent.value**2).sum(1)[None], 0))
+                yield pdf.assign(cell=d.argmin(1).astype(np.int32), far=d.min(1))
+
+    dealt = settled(rows.mapInPandas(deal, f"id {kind}, z array<double>, cell int, far double"), "cells")
+    # At most MOST_CELLS rows.
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"), F.max("far").alias("radius"))
+    sizes = settled(sizes, "sizes")
+    radius, count = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+    for r in sizes.collect():
+        radius[r["cell"]], count[r["cell"]] = r["radius"], r["blocks"]
+    placed = dealt.join(F.broadcast(sizes.select("cell", "blocks")), "cell").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    first = settled(placed.groupBy("cell", "block").applyInPandas(lambda pdf: own(pdf), found_kind), "nearest")
+    # The distance of the k-th in the own block; without k of them, everything may be nearer.
+    bound = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound")).withColumnRenamed("query_id", "id")
+    reach = spark.sparkContext.broadcast((radius, count))
+
+    def need(batches):
+        r, n = reach.value
+        for pdf in batches:
+            if len(pdf):
+                z, b = flat(np.stack(pdf["z"].to_numpy())), pdf["bound"].fillna(np.inf).to_numpy()
+                b = np.sqrt(2 * b) if metric == "cosine" else b
+                d = np.sqrt(np.maximum((z**2).sum(1)[:, None] - 2 * z @ sent.value.T + (sent.value**2).sum(1)[None], 0))
+                near = d - r[None] <= b[:, None] + 1e-6
+                yield pdf[["id", "z", "cell", "block"]].assign(cells=[np.flatnonzero(x & (n > 0)).astype(np.int32).tolist() for x in near])
+
+    asked = placed.join(bound, "id", "left").select("id", "z", "cell", "block", "bound").mapInPandas(need, f"id {kind}, z array<double>, cell int, block int, cells array<int>")
+    asked = asked.select("id", "z", F.col("cell").alias("c0"), F.col("block").alias("b0"), F.explode("cells").alias("cell")).join(F.broadcast(sizes.select("cell", "blocks")), "cell")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("cell <> c0 or block <> b0").select("id", "z", "cell", "block")
+    asked = settled(asked, "asked")
+    turns = asked.groupBy("cell", "block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("turns"))
+    left = asked.join(turns, ["cell", "block"]).withColumn("turn", F.expr("cast(pmod(xxhash64(id), turns) as int)")).select("cell", "block", "turn", "id", "z")
+    right = placed.join(turns, ["cell", "block"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("cell", "block", "turn", "id", "z")
 
     def part(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        return _best(k, np.stack(x["xz"].to_numpy()), x["xid"].to_numpy(), np.stack(q["qz"].to_numpy()), q["qid"].to_numpy(), metric)
+            return pd.DataFrame({"query_id": q["id"][:0], "id": x["id"][:0], "dist": np.empty(0)})
+        return _best(k, *_stacked(x), *_stacked(q), metric)
 
-    got = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(part, "query_id long, id long, dist double")
-    ranked = got.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "dist")
+    more = left.groupBy("cell", "block", "turn").cogroup(right.groupBy("cell", "block", "turn")).applyInPandas(part, found_kind)
+    return rank(first.unionByName(more))
 
 
 def internal_nn(index: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -115,8 +203,7 @@ def taxa_ranking(queries: DataFrame, index: DataFrame, k: int = 6, prior: float
     taxa = index.select("taxon").distinct()
     both = ilong.select("taxon", "pos", F.col("x").alias("value"), F.lit("b").alias("side")).unionByName(qlong.crossJoin(F.broadcast(taxa)).select("taxon", "pos", F.col("x").alias("value"), F.lit("a").alias("side")))
     w = wasserstein(both, ["taxon", "pos"]).join(F.broadcast(spread), "pos").groupBy("taxon").agg(F.avg(F.col("w1") / F.col("sd")).alias("w1_mean"))
-    q = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("z").alias("qz")))
-    best = index.select("id", "z", "taxon").join(q, F.col("id") != F.col("query_id")).groupBy("taxon", "query_id").agg(F.min(euclidean(F.col("qz"), F.col("z"))).alias("d")).groupBy("taxon").agg(F.avg(similarity(F.col("d"))).alias("mean_best"))
+    best = against(index.select("id", "z", "taxon"), queries).groupBy("taxon", "query_id").agg(F.min(euclidean(F.col("qz"), F.col("z"))).alias("d")).groupBy("taxon").agg(F.avg(similarity(F.col("d"))).alias("mean_best"))
     size = index.groupBy("taxon").agg(F.count("*").alias("n"), F.count_if(F.col("label_source") == "human").alias("n_human"))
     out = size.join(centre, "taxon").join(w, "taxon").join(best, "taxon").withColumn("score", F.col("mean_best") * F.col("n") / (F.col("n") + prior))
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "taxon"))).where(F.col("rank") <= k)

@@ -12,12 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-
 # --- detections ---------------------------------------------------------------
 
 
@@ -39,20 +38,46 @@ def nms(dets: DataFrame, threshold: float = 0.45) -> DataFrame:
 
     dets: video_id, frame, x1, y1, x2, y2, confidence, cls. Equal confidences go by
     box, so the result does not depend on the order of rows.
+    A task walks its frames in order and holds one at a time.
     """
     cols = ["video_id", "frame", "x1", "y1", "x2", "y2", "confidence", "cls"]
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True], ignore_index=True)
-        over = _box_iou(*[pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)] * 2) >= threshold
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if not over[i, kept].any():
-                kept.append(i)
-        return pdf.iloc[kept][cols]
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        frames = (rows for _, rows in _runs(batches, ["video_id", "frame"]))
+        for rows in frames:
+            box = np.stack([np.asarray(rows.column(c), float) for c in ("x1", "y1", "x2", "y2")], 1)
+            gone = np.zeros(len(box), bool)
+            for i in range(len(box)):
+                if not gone[i] and i + 1 < len(box):
+                    gone[i + 1 :] |= _box_iou(box[i : i + 1], box[i + 1 :])[0] >= threshold
+            yield rows.filter(pa.array(~gone))
 
     kinds = ", ".join(f"`{c}` {dets.schema[c].dataType.simpleString()}" for c in cols)
-    return dets.select(*cols).groupBy("video_id", "frame").applyInPandas(keep, kinds)
+    sort = ["video_id", "frame", F.desc("confidence"), "x1", "y1", "x2", "y2"]
+    return dets.select(*cols).repartition("video_id", "frame").sortWithinPartitions(*sort).mapInArrow(keep, kinds)
+
+
+def _runs(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterable[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) of rows that come sorted by key, across batches."""
+    now, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = [batch.column(c).to_pylist() for c in key]
+        cuts = [0, *[i for i in range(1, len(batch)) if any(c[i] != c[i - 1] for c in cols)], len(batch)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            k = tuple(c[a] for c in cols)
+            if held and k != now:
+                yield now, _one(held)
+                held = []
+            now = k
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def tile_windows(frames: DataFrame, tile: int = 1024, overlap: float = 0.2) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import models as M
 from ..operators import stats as S
 from ..operators.roles import SEED_ROLES, seed_roles
 from ..schema import FEATURES, QC_STATES, REJECTED_STATES
+from ..session import settled
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -328,7 +329,6 @@ def shape_encoding(spark, d):
 @query()
 def motif_clusters(spark, d):
     """K-means motifs and their share in each label."""
-    f = labelled_features(spark, d)
-    z = K.feature_matrix(f).join(f.select("episode_id", "label"), "episode_id")
+    z = settled(K.feature_matrix(labelled_features(spark, d), "label"), "matrix")
     centre, _ = M.kmeans(z, 6)
     return A.rounded(M.occupancy(M.assign(z, M.centre_table(spark, centre))))

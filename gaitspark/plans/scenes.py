@@ -13,6 +13,7 @@ from ..operators import kinematics as K
 from ..operators import models as M
 from ..operators import retrieval as R
 from ..operators import tracking as T
+from ..session import settled
 from ..sources.synthetic import default_scenes
 from . import adapters as A
 from .motion import DIMS, GROUPS, labelled_features
@@ -374,8 +375,8 @@ def hero(spark, d):
 @query()
 def atlas_slim(spark, d):
     """K8."""
-    f = labelled_features(spark, d)
-    z = K.feature_matrix(f)
+    f = settled(labelled_features(spark, d), "features")
+    z = settled(K.feature_matrix(f), "matrix")
     emb = z.select("episode_id", M.fit_pca(z, 2).transform(F.col("z")).alias("z"))
     centre, _ = M.kmeans(z, 6)
     near = R.all_knn(M.standardized(f, DIMS).select(F.col("episode_id").alias("id"), F.array(*DIMS).alias("z")))

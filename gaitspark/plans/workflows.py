@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import effective_label, heuristic_label, label_source, similarity_level
 from ..operators import atlas, hierarchy, interaction, kinematics, labels, models, retrieval, stats, tracking
 from ..schema import FEATURES
+from ..session import settled
 from ..sources import default_scenes
 
 # What the fingerprint and the breakdown compare.
@@ -42,7 +43,7 @@ def analyze(episodes: DataFrame, features: DataFrame, log: DataFrame | None = No
     machine = features.select("episode_id", label.alias("_label"), sure.cast("double").alias("_sure"))
     rows = rows.join(machine, "episode_id", "left").withColumns({"machine_label": F.coalesce("machine_label", "_label"), "machine_confidence": F.coalesce("machine_confidence", "_sure")}).drop("_label", "_sure")
     labelled = rows.select("episode_id", effective_label().alias("label"), label_source().alias("source"))
-    z = kinematics.feature_matrix(features)
+    z = settled(kinematics.feature_matrix(features), "matrix")
     pca = models.fit_pca(z, 2)
     embedding = z.select("episode_id", pca.transform(F.col("z")).alias("z"))
     centre, _ = models.kmeans(z, k)
@@ -72,6 +73,7 @@ def build_reference(episodes: DataFrame, features: DataFrame, policy: str = "not
     coded = z.select("episode_id", encoder.transform(F.col("z")).alias("z"))
     rows = episodes.join(features.select("episode_id", "duration_s"), "episode_id").withColumn("kept", labels.accepts(F.col("duration_s"), policy, min_duration))
     entries = rows.where("kept").join(coded, "episode_id").select(F.col("episode_id").alias("id"), "z", effective_label().alias("taxon"), label_source().alias("label_source"))
+    entries = settled(entries, "entries")
     centre, _ = models.kmeans(entries, k)
     assigned = models.assign(entries.withColumnRenamed("id", "episode_id"), models.centre_table(z.sparkSession, centre)).select(F.col("episode_id").alias("id"), "z", "taxon", "label_source", "motif")
     return {
@@ -105,7 +107,7 @@ def evaluate_retrieval(samples: DataFrame, groups: DataFrame, encoder: models.Pr
 
     def near(rows: DataFrame) -> DataFrame:
         z = kinematics.feature_matrix(kinematics.trajectory_features(rows))
-        return retrieval.all_knn(z.select(F.col("episode_id").cast("long").alias("id"), encoder.transform(F.col("z")).alias("z")), k)
+        return retrieval.all_knn(z.select(F.col("episode_id").alias("id"), encoder.transform(F.col("z")).alias("z")), k)
 
     base = near(samples)
     changed = {"rotate": kinematics.rotate(samples, 0.7), "translate": kinematics.translate(samples, 40.0, -25.0), "jitter": kinematics.jitter(samples, 0.5, seed)}

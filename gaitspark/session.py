@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def share_package(spark: SparkSession) -> None:
@@ -15,3 +20,34 @@ def share_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written to the folder that driver and executors share, and read back.
+
+    The folder is spark.checkpoint.dir; a local session without it takes a temporary
+    one, a cluster without it is refused. Files go when the driver ends.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/gaitspark-settled-{os.getuid()}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            if spark.sparkContext._jsc is not None:
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone by now
+            return
+
+
+atexit.register(_clean)
