@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and held-out rows, with the awkward rows each must take."""
 
+import os
 import random
 import re
 import zlib
@@ -337,6 +338,45 @@ def test_recall_and_scores(spark):
         assert list(ranks[i] for i in range(1, 11)) == sorted((ranks[i] for i in range(1, 11)), key=lambda x: (x[1], x[0]))
 
 
+BIG = "/root/testdata/check_l/embeddings.parquet"
+
+
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="no large table")
+def test_recall_and_share_of_a_large_table(spark):
+    """With the query's own settings: recall of 0.9 from less than a fifth of the candidates, in lists of bounded size."""
+    t = spark.read.parquet(BIG)
+    assert t.count() > 50_000
+    index, asked = ann.build_index(t), t.where("vec_id % 100 = 0")
+    got = defaultdict(set)
+    for r in ann.search_index(index, asked).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    rows = t.select("vec_id", "embedding").toArrow()
+    x, ids = np.asarray(rows["embedding"].combine_chunks().flatten(), dtype=float).reshape(len(rows), -1), np.asarray(rows["vec_id"])
+    hits = []
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits.append(len(set(ids[np.argsort(d)[:10]].tolist()) & got[ids[i]]))
+    assert np.mean(hits) >= 9, np.mean(hits)
+    read = ann.probes(index, asked).select("query_id", "list").join(index.posts.select("list", "entry"), "list").groupBy("query_id").agg(F.count_distinct("entry").alias("n")).agg(F.avg("n")).first()[0]
+    assert read / index.entries < 0.2
+    assert index.posts.groupBy("list", "block", "part").count().agg(F.max("count")).first()[0] <= 64
+
+
+def test_exact_search_and_long_lists(spark, monkeypatch):
+    """All lists, few of them, so that blocks, parts and turns are met."""
+    for name, value in (("BLOCK", 40), ("ASKED", 5)):
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(4)
+    rows = [(i, x.tolist()) for i, x in enumerate(np.round(r.normal(size=(400, 5)), 1))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for settings in ({"recall": 1.0}, {"recall": 1.0, "most_lists": 3, "posting": 16}):
+        got = defaultdict(list)
+        for x in ann.search(df, df.where("vec_id % 7 = 0"), 10, **settings).orderBy("query_id", "rank").collect():
+            got[x["query_id"]].append((x["vec_id"], round(x["score"], 9)))
+        assert got == {q: [(v, round(float(s), 9)) for v, s in w] for q, w in brute(rows, rows[::7], 10).items()}
+
+
 def test_hot_and_unusable_vectors(spark):
     hot = [(i, [1.0, 0.0]) for i in range(60)]
     rest = [(100 + i, [float(np.cos(i)), float(np.sin(i))]) for i in range(30)]
