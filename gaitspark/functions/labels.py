@@ -50,9 +50,27 @@ def normalize_class(name: Column) -> Column:
 
 
 def shamble_label(species: Column) -> Column:
-    """Label of an imported species name."""
-    s = F.lower(F.trim(species))
-    return F.when(s.startswith("siler"), "siler").when(s.contains("ant"), "ant").when(s.contains("mimic"), "mimic").when(s.contains("spider"), "other_spider")
+    """Label of an imported species name; null for calibration objects and unknown ones."""
+    return F.when(species.startswith("ANT"), "ant").when(species.contains("Myrmarachne"), "mimic").when(species.contains("Salticus"), "other_spider")
+
+
+def trajectory_usable(coverage: Column, flags: Column) -> Column:
+    """At least half of the frames have a place, and no flag tells of large gaps."""
+    return (coverage >= 0.5) & ~F.coalesce(F.array_contains(flags, "large_gaps"), F.lit(False))
+
+
+def interaction_label(human_only: bool = False, required: bool = False) -> Column:
+    """The label an interaction works with: the effective one; the human one or unannotated with human_only; unannotated without a human one if it is required."""
+    given = _given("human_label")
+    if human_only:
+        return F.coalesce(given, F.lit("unannotated"))
+    label = effective_label()
+    return F.when(given.isNull(), "unannotated").otherwise(label) if required else label
+
+
+def is_reviewed(status: Column) -> Column:
+    """P24."""
+    return F.coalesce(status, F.lit("unreviewed")) != "unreviewed"
 
 
 def clip_kind(has_video: Column, points: Column) -> Column:

@@ -167,6 +167,29 @@ def resample(rows: DataFrame, order: str, points: int) -> DataFrame:
     return rows.where(hit if points > 1 else F.col("pos") == 0).drop("pos", "n")
 
 
+def scalar_series(velocity: DataFrame, points: int = 160) -> DataFrame:
+    """(episode_id, i, speed, turn, moving) of speed series at ``points`` even places at most; a speed series has no turn."""
+    moving = F.col("v") > 0.1 * F.greatest(F.median("v").over(episode()), F.lit(1e-9))
+    rows = resample(velocity.withColumn("moving", F.when(moving, 1.0).otherwise(0.0)), "i", points)
+    return rows.select("episode_id", "i", F.round("v", 4).alias("speed"), F.lit(0.0).alias("turn"), "moving")
+
+
+def track_series(samples: DataFrame, points: int = 160) -> DataFrame:
+    """The same of tracks: speed and turn of each step by the true gap."""
+    rows = frame_speed_heading(samples)
+    turn = F.coalesce(F.abs(wrap_angle(F.col("heading") - F.lag("heading").over(episode().orderBy("frame")))), F.lit(0.0))
+    rows = rows.withColumns({"v": F.coalesce("speed", F.lit(0.0)), "turn": turn, "i": F.col("frame")})
+    moving = F.col("v") > 0.1 * F.greatest(F.median("v").over(episode()), F.lit(1e-9))
+    rows = resample(rows.withColumn("moving", F.when(moving, 1.0).otherwise(0.0)), "i", points)
+    return rows.select("episode_id", "i", F.round("v", 4).alias("speed"), F.round("turn", 4).alias("turn"), "moving")
+
+
+def median_step(samples: DataFrame) -> DataFrame:
+    """The median of an episode's positive frame steps, 1 without any."""
+    step = F.col("frame") - F.lag("frame").over(episode().orderBy("frame"))
+    return finite(samples).withColumn("d", step).groupBy("episode_id").agg(F.coalesce(F.median(F.when(F.col("d") > 0, F.col("d"))), F.lit(1.0)).alias("step"))
+
+
 def sliding_windows(velocity: DataFrame, fps: float = 100.0, window_s: float = 3.0, stride_s: float = 1.0, least: int = 10, **kw) -> DataFrame:
     """Velocity features of overlapping stretches, by window number; episodes too short for one are one window."""
     width, stride = int(window_s * fps), max(int(stride_s * fps), 1)

@@ -76,6 +76,25 @@ def review_queue(episodes: DataFrame) -> DataFrame:
     return episodes.crossJoin(F.broadcast(some)).where(todo | ~F.col("_some")).drop("_some")
 
 
+def session_state(episodes: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A review session's episodes with the log applied, and the queue of what to review next."""
+    now = apply_annotations(episodes, log)
+    return now, review_queue(now)
+
+
+def overlapping_splits(splits: DataFrame) -> DataFrame:
+    """U4: items of (split, item) that stand in more than one split, with these; none means the splits are disjoint."""
+    found = splits.groupBy("item").agg(F.sort_array(F.collect_set("split")).alias("splits"))
+    return found.where(F.size("splits") > 1)
+
+
+def label_counts(episodes: DataFrame, labels: tuple[str, ...] = BIO_LABELS) -> DataFrame:
+    """Episodes of each effective label, zeros included."""
+    domain = episodes.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    got = episodes.groupBy(effective_label().alias("label")).agg(F.count("*").alias("n"))
+    return domain.join(got, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def look_up_roles(taxa: DataFrame, roles: DataFrame) -> DataFrame:
     """Taxon, role and matched taxon: exact match, else either name begins with the other (the longest, then the first by name), else 'ant' in the name means model, else unknown.
 

@@ -243,3 +243,22 @@ def build_index(episodes: DataFrame, accepted, version: str) -> DataFrame:
     """Rows of a versioned index; kept and rejected counts stand on every row's version."""
     rows = episodes.withColumn("kept", accepted)
     return rows.where("kept").drop("kept").withColumn("version_id", F.lit(version))
+
+
+def index_metadata(episodes: DataFrame, accepted) -> DataFrame:
+    """Kept and rejected episodes and the kept ones of each taxon: (kind, name, n)."""
+    rows = episodes.withColumn("kept", F.coalesce(accepted, F.lit(False)))
+    counts = rows.groupBy(F.when(F.col("kept"), "kept").otherwise("rejected").alias("name")).agg(F.count("*").alias("n")).select(F.lit("status").alias("kind"), "name", "n")
+    taxa = rows.where("kept").groupBy(F.col("taxon").alias("name")).agg(F.count("*").alias("n")).select(F.lit("taxon").alias("kind"), "name", "n")
+    return counts.unionByName(taxa)
+
+
+#: Searches by name; each takes (queries, index, k, metric) and gives what knn() does.
+BACKENDS: dict = {"exact": knn}
+
+
+def search(queries: DataFrame, index: DataFrame, k: int = K, metric: str = "euclidean", backend: str = "exact") -> DataFrame:
+    """knn() by a registered backend."""
+    if backend not in BACKENDS:
+        raise ValueError(f"no search backend {backend!r}; there are {sorted(BACKENDS)}")
+    return BACKENDS[backend](queries, index, k, metric)

@@ -16,5 +16,9 @@ SEED_ROLES = [
 ]
 
 
+#: The registry's columns: a seed row fills the first four; curated rows say what the judgement rests on.
+ROLE = "taxon string, role string, system string, source string, putative_model_taxon string, mimicry_evidence string, evidence_kind string, confidence double, lineage_note string"
+
+
 def seed_roles(spark):
-    return spark.createDataFrame(SEED_ROLES, "taxon string, role string, system string, source string")
+    return spark.createDataFrame([(*r, None, None, None, 0.0, None) for r in SEED_ROLES], ROLE)

@@ -7,7 +7,7 @@ independent and spread over the cluster.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +20,43 @@ from pyspark.sql import functions as F
 # --- detections ---------------------------------------------------------------
 
 
+def scan_detections(dets: DataFrame, stride: int = 1, region: tuple[float, float, float, float] | None = None, last_frame: int | None = None) -> DataFrame:
+    """Detections of every ``stride``-th frame up to last_frame, with their centre in region (x, y, width, height), moved to its corner.
+
+    Frame numbers stay those of the source.
+    """
+    rows = dets.where(F.col("frame") % max(stride, 1) == 0)
+    if last_frame:
+        rows = rows.where(F.col("frame") <= last_frame)
+    if region:
+        x, y, w, h = region
+        cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+        rows = rows.where((cx >= x) & (cx < x + w) & (cy >= y) & (cy < y + h))
+        rows = rows.withColumns({"x1": F.col("x1") - x, "x2": F.col("x2") - x, "y1": F.col("y1") - y, "y2": F.col("y2") - y})
+    return rows
+
+
+def frame_skip(fps: float, target: float) -> int:
+    """The stride that leaves about ``target`` frames a second; halves go to the even number."""
+    return max(1, round(fps / max(target, 1.0)))
+
+
+def detect_tiles(tiles: DataFrame, detect: Callable[[dict], Iterable[tuple[float, float, float, float, float, str]]], threshold: float = 0.45) -> DataFrame:
+    """Detections of a callable that takes a tile (a row of tiles as a dictionary: video_id, frame, x, y, w, h and what else it has) and gives boxes in the tile's coordinates with confidence and class; moved to the frame, seams suppressed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            out = [(t["video_id"], t["frame"], t["x"], t["y"], *(float(v) for v in d[:5]), d[5]) for t in batch.to_pylist() for d in detect(t)]
+            cols = list(zip(*out, strict=True)) or [()] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    names = ["video_id", "frame", "tile_x", "tile_y", "x1", "y1", "x2", "y2", "confidence", "cls"]
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), *[pa.float64()] * 5, pa.string()]
+    rows = tiles.withColumns({"video_id": F.col("video_id").cast("string"), "frame": F.col("frame").cast("long"), "x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    found = rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, ["string", "long", *["double"] * 7, "string"], strict=True)))
+    return merge_tiles(found, threshold)
+
+
 def chaos_guard(dets: DataFrame, most: int = 40) -> DataFrame:
     """Leaves out frames with more than ``most`` detections."""
     return dets.withColumn("_n", F.count("*").over(W.partitionBy("video_id", "frame"))).where(F.col("_n") <= most).drop("_n")

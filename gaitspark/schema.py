@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 BIO_LABELS = ("siler", "ant", "other_spider", "other_arthropod", "unknown")
 QC_STATES = ("unreviewed", "accepted", "rejected", "tracking_failure", "severe_occlusion", "edge_effect", "too_short", "ambiguous_taxon")
 REJECTED_STATES = ("rejected", "tracking_failure", "severe_occlusion")
-ROLES = ("model", "mimic", "control", "unknown")
+ROLES = ("model", "mimic", "phylogenetic_control", "ecological_control", "unknown")
 
 #: Names of the sixteen kinematic features, in the order of a feature vector.
 FEATURES = (

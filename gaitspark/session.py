@@ -22,13 +22,12 @@ def share_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: written to the folder that driver and executors share, and read back.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that nobody uses yet in the folder that driver and executors share; what is written there goes when the driver ends.
 
     The folder is spark.checkpoint.dir; a local session without it takes a temporary
-    one, a cluster without it is refused. Files go when the driver ends.
+    one, a cluster without it is refused.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -36,8 +35,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
         base = f"file://{tempfile.gettempdir()}/gaitspark-settled-{os.getuid()}"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
+    return path
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written to the shared folder and read back."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _clean() -> None:

@@ -11,9 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.labels import validated
 from ..operators.models import Projection
+from ..operators.roles import ROLE, seed_roles
 from ..schema import ANNOTATION, EPISODE, migrate_labels
 
 
@@ -39,20 +41,27 @@ def append_runs(rows: DataFrame, path: str, run_id: str) -> None:
     rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_annotation_log(spark: SparkSession, path: str) -> DataFrame:
     """The log's records with seq, their order in the file.
 
-    New logs carry seq. An old one is read as lines with their place in the file; a
-    file of a size that one task can hold. A missing file gives no rows.
+    New logs carry seq. A line of an old one is numbered by where its split of the file
+    begins and its place in the split, so a log of any size is read in parallel. A
+    missing file gives no rows.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], ANNOTATION.add("seq", "long"))
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("trim(line) <> ''")
+    if not exists(spark, path):
+        return spark.createDataFrame([], T.StructType([*ANNOTATION.fields, T.StructField("seq", T.LongType())]))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    # A split has fewer lines than bytes, so numbers of one split end before those of the next begin.
+    place = F.col("start") + F.row_number().over(W.partitionBy("file", "start").orderBy("at")) - 1
     fields = {f.name: f for f in ANNOTATION.fields}
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in fields.items() if n != "seq") + ", seq long"
-    rows = lines.select(F.from_json("line", schema).alias("r"), "pos")
-    return rows.select(*[F.col(f"r.{n}") for n in fields if n != "seq"], F.coalesce("r.seq", F.col("pos").cast("long")).alias("seq")).where("episode_id is not null")
+    rows = lines.where("trim(value) <> ''").select(F.from_json("value", schema).alias("r"), place.alias("pos"))
+    return rows.select(*[F.col(f"r.{n}") for n in fields if n != "seq"], F.coalesce("r.seq", F.col("pos")).alias("seq")).where("episode_id is not null")
 
 
 def append_annotations(records: DataFrame, path: str) -> None:
@@ -98,3 +107,65 @@ def read_model(spark: SparkSession, path: str, name: str) -> Projection:
 def write_json(rows: DataFrame, path: str) -> None:
     """A small payload as one JSON file per partition."""
     rows.write.mode("append").json(path)
+
+
+# --- small documents: read where they are, defaults where they are missing -----------------
+
+
+def _document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    if not exists(spark, path):
+        return None
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_projection(spark: SparkSession, path: str) -> Projection | None:
+    """The plane of an atlas (mu, sd, components, explained) as a projection; None if the file is missing."""
+    doc = _document(spark, path, "mu array<double>, sd array<double>, components array<array<double>>, explained array<double>")
+    r = doc.first() if doc is not None else None
+    return None if r is None else Projection(np.array(r["mu"]), np.array(r["sd"]), np.array(r["components"]), np.array(r["explained"] or []))
+
+
+def write_projection(spark: SparkSession, model: Projection, path: str) -> None:
+    """K8: the plane beside the slim rows."""
+    row = [(model.mean.tolist(), model.spread.tolist(), model.components.tolist(), model.explained.tolist())]
+    spark.createDataFrame(row, "mu array<double>, sd array<double>, components array<array<double>>, explained array<double>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame | None:
+    """One row with available, n_records and n_scene_windows of an interaction summary; not available if the file is missing."""
+    doc = _document(spark, path, "n_records long, n_scene_windows long, n_velocity_excluded long")
+    if doc is None:
+        return spark.createDataFrame([(False, 0, 0, 0)], "available boolean, n_records long, n_scene_windows long, n_velocity_excluded long")
+    return doc.fillna(0).select(F.lit(True).alias("available"), "*")
+
+
+def read_roles(spark: SparkSession, path: str) -> DataFrame:
+    """A curated registry, its roles as rows; the seed registry if the file is missing."""
+    names = [f.split(" ")[0] for f in ROLE.split(", ")]
+    stored = {"system": "mimicry_system_id", "source": "reference_source"}
+    fields = ", ".join(f"{stored.get(n, n)}: {'double' if n == 'confidence' else 'string'}" for n in names)
+    doc = _document(spark, path, f"roles array<struct<{fields}>>")
+    if doc is None:
+        return seed_roles(spark)
+    return doc.select(F.explode("roles").alias("r")).select(*[F.col(f"r.{stored.get(n, n)}").alias(n) for n in names])
+
+
+def write_roles(roles: DataFrame, path: str) -> None:
+    """The registry, a dimension table of a few hundred rows, as one document with the time it was saved."""
+    stored = {"system": "mimicry_system_id", "source": "reference_source"}
+    one = F.struct(*[F.col(c).alias(stored.get(c, c)) for c in roles.columns])
+    roles.agg(F.sort_array(F.collect_list(one)).alias("roles")).withColumn("saved_utc", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_motif_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Names and notes of motifs; none if the file is missing."""
+    schema = "motif long, name string, notes string, annotator string, timestamp string"
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def append_ratings(ratings: DataFrame, path: str) -> None:
+    """Ratings of query hits (query_id, episode_id, rating from 1 to 5, note) with the time they came; a rating outside the range fails."""
+    ok = F.col("rating").between(1, 5)
+    checked = F.when(ok, F.col("rating")).otherwise(F.raise_error(F.concat(F.lit("no rating from 1 to 5: "), F.coalesce(F.col("rating").cast("string"), F.lit("null")))))
+    ratings.select("query_id", "episode_id", checked.cast("int").alias("rating"), F.substring("note", 1, 500).alias("note")).withColumn("rated", F.current_timestamp()).write.mode("append").json(path)

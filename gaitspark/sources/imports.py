@@ -1,18 +1,60 @@
 """Published data sets as sources: MATLAB trials and spreadsheet speed series.
 
-The libraries that read these files are optional; without them the format is
-registered and says so when it is used.
+MATLAB files need scipy, which is optional: without it the format is registered and
+says so when it is used. Spreadsheets are read from their XML.
 """
 
 from __future__ import annotations
 
+import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.labels import shamble_label
+
+# Sheets of the gait workbook with their label and species; frame rates of both sets.
+SHEETS = {
+    "Siler collingwoodi_normal": ("siler", "Siler collingwoodi"),
+    "Siler collingwoodi_blackened": ("siler", "Siler collingwoodi (blackened control)"),
+    "Phintelloides versicolor": ("other_spider", "Phintelloides versicolor"),
+    "Crematogaster egidyi": ("ant", "Crematogaster egidyi"),
+    "Meranoplus bicolor": ("ant", "Meranoplus bicolor"),
+    "Technomyrmex sp.": ("ant", "Technomyrmex sp."),
+    "Polyrhachis jianghuaensis": ("ant", "Polyrhachis jianghuaensis"),
+    "Polyrhachis dives": ("ant", "Polyrhachis dives"),
+}
+GAIT_FPS, ARENA_FPS = 100.0, 120.0
+
+ARENA = "episode_id string, species string, file_name string, date string, time string, first_frame long, last_frame long, frame long, x double, y double"
+
+
+def trial_rows(trial, name: str) -> Iterator[tuple]:
+    """Samples of one trial of the arena data: positions in cm, species, file, date and the range of source frames.
+
+    trial has the data set's own fields: Rcm_mm, species_name, file_name, date, time,
+    data_first_frame, data_last_frame. An unknown range is the sample numbers. A trial
+    without positions gives no rows.
+    """
+    places = getattr(trial, "Rcm_mm", None)
+    if places is None or not hasattr(places, "__len__"):
+        return
+    if len(places) and not hasattr(places[0], "__len__"):
+        places = [places]
+    text = lambda field: str(getattr(trial, field, "")).strip()
+    frame = lambda field: int(getattr(trial, field, -1) or -1)
+    first, last = frame("data_first_frame"), frame("data_last_frame")
+    if last <= first:
+        first, last = 0, len(places) - 1
+    for i, p in enumerate(places):
+        if len(p) >= 2:
+            yield (name, text("species_name"), text("file_name"), text("date"), text("time"), first, last, i, float(p[0]), float(p[1]))
+
 
 class ShambleReader(DataSourceReader):
     def __init__(self, path: str):
@@ -28,9 +70,7 @@ class ShambleReader(DataSourceReader):
             raise RuntimeError("reading .mat files needs scipy") from e
         trials = loadmat(partition.value, squeeze_me=True, struct_as_record=False)["data"]
         for i, t in enumerate(trials):
-            xy = getattr(t, "xy", None)
-            for frame, p in enumerate(xy if xy is not None else []):
-                yield (f"{partition.value}#{i}", str(getattr(t, "species", "")), frame, float(p[0]), float(p[1]))
+            yield from trial_rows(t, f"{partition.value}#{i}")
 
 
 class ShambleSource(DataSource):
@@ -41,35 +81,76 @@ class ShambleSource(DataSource):
         return "shamble"
 
     def schema(self) -> str:
-        return "episode_id string, species string, frame long, x double, y double"
+        return ARENA
 
     def reader(self, schema) -> DataSourceReader:
         return ShambleReader(self.options["path"])
 
 
+def _column(reference: str) -> int:
+    """0 for A, 25 for Z, 26 for AA."""
+    n = 0
+    for c in re.match("[A-Z]+", reference)[0]:
+        n = 26 * n + ord(c) - 64
+    return n - 1
+
+
+def sheet_rows(path: str) -> Iterator[tuple[str, int, dict[int, str]]]:
+    """(sheet, row number from 1, cells by column) of a workbook; text and numbers as text, empty cells left out."""
+    plain = lambda tag: tag.rpartition("}")[2]
+    text_of = lambda node: "".join(t.text or "" for t in node.iter() if plain(t.tag) == "t")
+    with zipfile.ZipFile(path) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = [text_of(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if plain(x.tag) == "si"]
+        links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        sheets = [x for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if plain(x.tag) == "sheet"]
+        for sheet in sheets:
+            target = links[next(v for k, v in sheet.attrib.items() if plain(k) == "id")]
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            with book.open(part) as f:
+                at = 0
+                for _, row in ElementTree.iterparse(f):
+                    if plain(row.tag) != "row":
+                        continue
+                    at, cells = int(row.get("r", at + 1)), {}
+                    for i, c in enumerate(row):
+                        kind, value = c.get("t"), next((x.text for x in c if plain(x.tag) == "v"), None)
+                        text = text_of(c) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value is not None else value
+                        if text is not None and kind not in ("b", "e"):
+                            cells[_column(c.get("r")) if c.get("r") else i] = ("" if kind in (None, "n") else "'") + text
+                    yield sheet.get("name"), at, cells
+                    row.clear()
+
+
+def _number(cell: str | None) -> float | None:
+    """A numeric cell; text, even of digits, is none."""
+    return None if cell is None or cell.startswith("'") else float(cell)
+
+
 class ZengReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def read(self, partition) -> Iterator[tuple]:
-        try:
-            from openpyxl import load_workbook
-        except ImportError as e:
-            raise RuntimeError("reading .xlsx files needs openpyxl") from e
-        for sheet in load_workbook(self.path, read_only=True, data_only=True):
-            for i, row in enumerate(sheet.iter_rows(min_row=2, values_only=True)):
-                yield (sheet.title, str(row[0]), i, None if row[1] is None else str(row[1]))
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(p) for p in self.path.split(",")]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for sheet, at, cells in sheet_rows(partition.value):
+            name = cells.get(0)
+            if sheet in SHEETS and at > 1 and name is not None:
+                yield (sheet, name.removeprefix("'").strip(), at, *(_number(cells.get(i)) for i in (1, 2, 3)))
 
 
 class ZengSource(DataSource):
-    """Raw cells of every sheet: sheet, individual, row number, value text."""
+    """Rows of the eight known sheets: individual, row number, speed and both limb heights; rows without individual are skipped."""
 
     @classmethod
     def name(cls) -> str:
         return "zeng"
 
     def schema(self) -> str:
-        return "sheet string, individual string, i long, cell string"
+        return "sheet string, individual string, row long, v double, limb1 double, limb2 double"
 
     def reader(self, schema) -> DataSourceReader:
         return ZengReader(self.options["path"])
@@ -80,15 +161,35 @@ def register_sources(spark: SparkSession) -> None:
     spark.dataSource.register(ZengSource)
 
 
-def speed_series(samples: DataFrame, least: int = 360, finite_share: float = 0.5) -> DataFrame:
-    """S3: leaves out trials without a label, with fewer than ``least`` frames, or mostly without positions."""
+def arena_samples(samples: DataFrame, least: int = 360) -> DataFrame:
+    """S3: samples with label, session and frame rate; trials without a label or with fewer finite positions than a third of ``least`` are left out."""
     by = W.partitionBy("episode_id")
-    ok = F.col("x").isNotNull() & ~F.isnan("x")
-    rows = samples.withColumns({"_n": F.count("*").over(by), "_ok": F.avg(F.when(ok, 1.0).otherwise(0.0)).over(by)})
-    return rows.where((F.col("_n") >= least) & (F.col("_ok") >= finite_share) & F.col("label").isNotNull()).drop("_n", "_ok")
-
-
-def zeng_rows(cells: DataFrame, least: int = 150) -> DataFrame:
-    """Velocity episodes (episode_id, i, v) of raw cells; text that isn't a number is missing, short individuals are left out."""
-    rows = cells.select(F.concat_ws("/", "sheet", "individual").alias("episode_id"), "i", F.expr("try_cast(cell as double)").alias("v"))
-    return rows.withColumn("_n", F.count("*").over(W.partitionBy("episode_id"))).where(F.col("_n") >= least).drop("_n")
+    ok = F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y")
+    rows = samples.withColumns({"label": shamble_label(F.col("species")), "_good": F.count_if(ok).over(by)})
+    rows = rows.where(F.col("label").isNotNull() & (F.col("_good") >= least // 3)).drop("_good")
+    day = F.coalesce(F.nullif("date", F.lit("")), F.lit("unknown_date"))
+    return rows.withColumns({"site_id": F.lit("shamble2017_dryad"), "session_id": F.concat(F.lit("shamble2017_dryad/"), day), "source_video_id": F.col("file_name"), "fps": F.lit(ARENA_FPS)})
+
+
+def with_videos(samples: DataFrame, videos: DataFrame) -> DataFrame:
+    """S3: adds video_path, the first of videos (path) whose name begins with the trial's file name without its ending, in any case; null where none does.
+
+    videos is a listing of a few thousand files at most, which is broadcast.
+    """
+    stem = lambda c: F.upper(F.regexp_replace(F.regexp_extract(c, r"([^/\\]*)$", 1), r"\.[^.]*$", ""))
+    names = samples.select("file_name").distinct().withColumn("_stem", stem(F.col("file_name"))).where("_stem <> ''")
+    listed = F.broadcast(videos.select("path", stem(F.col("path")).alias("_video")))
+    found = names.join(listed, F.col("_video").startswith(F.col("_stem"))).groupBy("file_name").agg(F.min("path").alias("video_path"))
+    return samples.join(found, "file_name", "left")
+
+
+def gait_rows(rows: DataFrame, least: int = 150) -> DataFrame:
+    """Velocity episodes (episode_id, i, v, limb1, limb2, label, species, site_id, session_id, fps); individuals with fewer rows than least are left out."""
+    by = W.partitionBy("sheet", "individual")
+    rows = rows.withColumns({"i": F.row_number().over(by.orderBy("row")) - 1, "_n": F.count("*").over(by)}).where(F.col("_n") >= least)
+    known = F.create_map(*[F.lit(x) for name, (label, _) in SHEETS.items() for x in (name, label)])
+    species = F.create_map(*[F.lit(x) for name, (_, kind) in SHEETS.items() for x in (name, kind)])
+    return rows.select(
+        F.concat_ws("/", "sheet", "individual").alias("episode_id"), F.col("i").cast("long").alias("i"), "v", "limb1", "limb2", F.try_element_at(known, F.col("sheet")).alias("label"), F.try_element_at(species, F.col("sheet")).alias("species"),
+        F.lit("zeng2023_gait").alias("site_id"), F.concat(F.lit("zeng2023_gait/"), F.col("sheet")).alias("session_id"), F.lit(GAIT_FPS).alias("fps"),
+    )

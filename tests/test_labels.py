@@ -7,7 +7,7 @@ from gaitspark import schema
 from gaitspark.functions import display_hour, effective_label, label_source, normalize_class, provenance_text, shamble_label, to_uint8
 from gaitspark.operators import labels as L
 from gaitspark.operators.roles import seed_roles
-from gaitspark.sources import append_annotations, new_run, read_annotation_log, read_episodes, upsert_motif_annotation, zeng_rows
+from gaitspark.sources import append_annotations, new_run, read_annotation_log, read_episodes, upsert_motif_annotation
 
 LOG = "episode_id string, human_label string, human_confidence double, qc_state string, seq long"
 EP = "episode_id string, human_label string, human_confidence double, machine_label string, bio_label string, annotation_status string"
@@ -70,10 +70,7 @@ def test_files(spark, tmp_path):
 def test_small_functions(spark):
     df = spark.createDataFrame([("Ant sp", "1:30 PM", 300.0)], "n string, t string, v double")
     r = df.select(normalize_class(F.col("n")), shamble_label(F.col("n")), display_hour(F.col("t")), to_uint8(F.col("v")), provenance_text(F.array(F.struct(F.lit("a").alias("step"), F.lit("m").alias("model"), F.lit("1").alias("version"))))).first()
-    assert tuple(r) == ("ant", "ant", 13.5, 255, "a m 1")
+    assert tuple(r) == ("ant", None, 13.5, 255, "a m 1")
     notes = spark.createDataFrame([(1, "n" * 100, "x" * 600, "me", "t1"), (1, "new", "y", "me", "t2")], "motif int, name string, notes string, annotator string, timestamp string")
     r = upsert_motif_annotation(notes.limit(1), notes.where("timestamp = 't2'")).first()
     assert r.name == "new"
-    cells = spark.createDataFrame([("s", "i", k, "x" if k == 3 else "1.5") for k in range(150)] + [("s", "j", 0, "1")], "sheet string, individual string, i long, cell string")
-    z = zeng_rows(cells)
-    assert z.count() == 150 and z.where("v is null").count() == 1
