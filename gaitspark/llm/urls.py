@@ -91,8 +91,9 @@ def alias_links(pages: DataFrame) -> DataFrame:
     canonical = F.when(tag.rlike(r"(?i)^<link") & attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), attribute(tag, "href"))
     content = F.regexp_extract(attribute(tag, "content"), r"(?is)(?:^|[;,\s])url\s*=\s*[\"']?([^\"']*)", 1)
     refresh = F.when(tag.rlike(r"(?i)^<meta") & attribute(tag, "http-equiv").rlike(r"(?i)^refresh$"), F.trim(content))
-    found = tags.select("url", "base", F.coalesce(canonical, refresh).alias("link")).where("link <> ''")
-    found = resolved(found, "url", "base", "from").withColumn("from", F.when(F.instr("from", "://") > 0, F.col("from")).otherwise(F.col("url")))
+    # Few pages link at all; written between the steps, so that their expressions don't multiply.
+    found = materialize(tags.select("url", "base", F.coalesce(canonical, refresh).alias("link")).where("link <> ''"), "linking")
+    found = materialize(resolved(found, "url", "base", "from"), "based").withColumn("from", F.when(F.instr("from", "://") > 0, F.col("from")).otherwise(F.col("url")))
     found = resolved(found, "from", "link", "whole").select(address_of(F.col("url")).alias("u"), address_of(F.col("whole")).alias("v"))
     return found.where("u is not null and v is not null and u <> v")
 
