@@ -2,10 +2,14 @@
 
 A text is its sequence of words, and an edit within a word counts like its
 replacement. Each k-mer of words is numbered by occurrence, so that repeats differ.
-Under each of 32 permutations, hashes seeded by the permutation's number, the two
-k-mers with the least values are selected; they keep their order in the text, and
-the tuple is hashed. Two texts agree on a selection only if they share these k-mers in the same order,
-so the share of equal selections falls with edits and with moved passages.
+A selection takes the k-mers with the least value under permutations of its own, hashes
+seeded by the permutation's number; they keep their order in the text, and the tuple
+is hashed. Two texts agree on a selection only if they share these k-mers in the same
+order, so the share of equal selections falls with edits and with moved passages.
+
+The two k-mers of a selection are the least under one permutation each, 64 in all,
+rather than the two least under one: so each is a plain minimum, which generated code
+finds over exploded k-mers. The difference is that both are the same k-mer once in n.
 
 A script without spaces has long words; a text of fewer words than a k-mer is
 taken as its characters instead, so that such texts differ by degrees, too.
@@ -28,12 +32,12 @@ def units(text: Column) -> Column:
     return F.transform(chosen, lambda w: F.xxhash64(w))
 
 
-def fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """docs with column out: the selections' hashes, an array of 32 longs, for the text column (null: empty).
+def numbered_kmers(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """docs with column out: array<long>, 40 bits of each occurrence-numbered k-mer's hash above 24 bits of its place (modulo 2^24).
 
     A text of fewer than three words and characters is one k-mer; one without words
-    gets a constant fingerprint. With a single k-mer the tuple is that one. Occurrences are numbered in the order of
-    the text; beyond 2^24 words equal k-mers stay numbered, but a number may belong to another of them.
+    has none. Occurrences are numbered in the order of the text; beyond 2^24 words
+    equal k-mers stay numbered, but a number may belong to another of them.
     """
     t = f"_{out}_"
     docs = docs.withColumn(t + "h", units(F.coalesce(F.col(text), F.lit(""))))
@@ -41,8 +45,8 @@ def fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
     kmers = f"""case when {t}n = 0 then cast(array() as array<bigint>) when {t}n < {KMER} then array(xxhash64({t}h))
         else transform(sequence(0, {t}n - {KMER}), i -> xxhash64({", ".join(f"get({t}h, i + {k})" for k in range(KMER))})) end"""
     docs = docs.withColumn(t + "k", F.expr(kmers))
-    # 40 bits of the k-mer's hash above 24 bits of its place, so that sorting runs on longs.
-    docs = docs.withColumn(t + "s", F.expr(f"sort_array(transform({t}k, (h, i) -> (h & ~{_LOW}L) | (i & {_LOW})))")).drop(t + "k", t + "h")
+    # Packed into one long each, so that sorting runs on longs.
+    docs = docs.withColumn(t + "s", F.expr(f"sort_array(transform({t}k, (h, i) -> (h & ~{_LOW}L) | (i & {_LOW})))")).drop(t + "k", t + "h", t + "n")
     # Equal hashes stand side by side: the first of a run is occurrence 0, the others get new hashes by their number in the run.
     docs = docs.withColumn(t + "f", F.expr(f"filter({t}s, (x, i) -> i = 0 or (x >> 24) <> (get({t}s, i - 1) >> 24))"))
     docs = docs.withColumn(t + "r", F.expr(f"case when size({t}f) = size({t}s) then cast(array() as array<bigint>) else filter({t}s, (x, i) -> i > 0 and (x >> 24) = (get({t}s, i - 1) >> 24)) end")).drop(t + "s")
@@ -50,17 +54,24 @@ def fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
     docs = docs.withColumn(t + "b", F.expr(starts))
     numbered = f"""case when size({t}r) = 0 then {t}f else concat({t}f, flatten(transform({t}b, (b, q) ->
         transform(slice({t}r, b + 1, coalesce(get({t}b, q + 1), size({t}r)) - b), (x, o) -> (xxhash64(x >> 24, o + 1) & ~{_LOW}L) | (x & {_LOW}))))) end"""
-    docs = docs.withColumn(t + "e", F.expr(numbered)).drop(t + "f", t + "r", t + "b")
-    docs = docs.withColumn(t + "m", F.expr(f"transform({t}e, x -> x >> 24)"))
-    # One row of values for each permutation; the places of its least and second least value are those of the k-mers.
-    least = "named_struct('a', array_min(v), 'b', array_min(array_remove(v, array_min(v))), 'v', v)"
-    places = "named_struct('a', cast(array_position(p.v, p.a) as int) - 1, 'b', coalesce(cast(array_position(p.v, p.b) as int) - 1, -1))"
-    found = f"transform(transform(transform(sequence(1, {SELECTIONS}), j -> transform({t}m, h -> xxhash64(h, j))), v -> {least}), p -> {places})"
-    at = lambda side: f"get({t}e, q.{side})"
-    h = lambda side: f"shiftright({at(side)}, 24)"
-    pair = f"""case when q.b < 0 then xxhash64({h("a")}) when ({at("a")} & {_LOW}) <= ({at("b")} & {_LOW}) then xxhash64({h("a")}, {h("b")}) else xxhash64({h("b")}, {h("a")}) end"""
-    select = f"case when size({t}e) = 0 then transform(sequence(1, {SELECTIONS}), j -> 0L) else transform({found}, q -> {pair}) end"
-    return docs.withColumn(out, F.expr(select)).drop(t + "e", t + "m", t + "n")
+    return docs.withColumn(out, F.expr(numbered)).drop(t + "f", t + "r", t + "b")
+
+
+def fingerprint(docs: DataFrame, keys: list[str], text: str, out: str) -> DataFrame:
+    """The columns ``keys`` of docs, which tell its rows apart, and out: the selections' hashes, an array of 32 longs, for the text column (null: empty).
+
+    A text without words gets a constant fingerprint. Only values of 40 bits and keys
+    are grouped, in the tasks where rows already are if docs is partitioned by some of the keys.
+    """
+    rows = numbered_kmers(docs.select(*keys, text), text, "_kmers").select(*keys, F.explode_outer("_kmers").alias("_x"))
+    rows = rows.withColumns({"_h": F.expr("_x >> 24"), "_at": F.expr(f"_x & {_LOW}")})
+    value = lambda j: F.min(F.expr(f"if(_x is null, null, (xxhash64(_h, {j}) & ~{_LOW}L) | _at)"))
+    least = rows.groupBy(*keys).agg(*[value(j).alias(f"_m{j}") for j in range(TUPLE * SELECTIONS)])
+    # Permutations 2j and 2j + 1 select for j; the places in the low bits tell which of the two comes first.
+    high = lambda m: f"shiftright({m}, 24)"
+    pair = lambda a, b: f"if(({a} & {_LOW}) <= ({b} & {_LOW}), xxhash64({high(a)}, {high(b)}), xxhash64({high(b)}, {high(a)}))"
+    chosen = ", ".join(pair(f"_m{2 * j}", f"_m{2 * j + 1}") for j in range(SELECTIONS))
+    return least.select(*keys, F.expr(f"if(_m0 is null, array_repeat(0L, {SELECTIONS}), array({chosen}))").alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -110,15 +121,13 @@ def in_order(docs: DataFrame, rows_in_bucket: int = 1000) -> tuple[DataFrame, Wi
     else:
         docs = docs.withColumn("_part", F.lit(0))
     # Signed hashes ascend with their part, and both ascend with _bucket; the order runs downwards.
-    docs = docs.withColumn("_bucket", F.struct("_range", "_part"))
+    docs = docs.withColumn("_bucket", F.expr("_range * 16384L + _part"))
     order = F.struct("_key", "_hash")
-    tops = sorted((tuple(r["_bucket"]), tuple(r["top"])) for r in docs.groupBy("_bucket").agg(F.max(order).alias("top")).collect())
-    spark = docs.sparkSession
-    rows = [(*b, *tops[i - 1][1]) for i, (b, _) in enumerate(tops)]
-    ends = spark.createDataFrame(rows, "_r int, _p int, _key long, _hash long")
-    # The first row of the bucket below, where more than one has this id and hash they have one text.
-    guests = docs.select("_key", "_hash", "text").join(F.broadcast(ends), ["_key", "_hash"]).groupBy("_r", "_p").agg(F.min("text").alias("text"))
-    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.struct(F.col("_r").alias("_range"), F.col("_p").alias("_part")).alias("_bucket"), F.lit(1).alias("_guest"), F.lit(0).cast("long").alias("_hash"))
+    tops = sorted((r["_bucket"], tuple(r["top"])) for r in docs.groupBy("_bucket").agg(F.max(order).alias("top")).collect())
+    ends = docs.sparkSession.createDataFrame([(b, *tops[i - 1][1]) for i, (b, _) in enumerate(tops)], "_at long, _key long, _hash long")
+    # The first row of the bucket below; where more than one has this id and hash they have one text.
+    guests = docs.select("_key", "_hash", "text").join(F.broadcast(ends), ["_key", "_hash"]).groupBy("_at").agg(F.min("text").alias("text"))
+    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("_at").alias("_bucket"), F.lit(1).alias("_guest"), F.lit(0).cast("long").alias("_hash"))
     rows = docs.select("doc_id", "text", "_bucket", F.lit(0).alias("_guest"), "_hash").union(guests)
     down = W.partitionBy("_bucket").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("_hash").desc(), "text")
     return rows, down

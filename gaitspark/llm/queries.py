@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import ann, fingerprints, neardup, packing, quality, secrets, spiece, toxicity, urls, warc
@@ -27,10 +28,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, down = fingerprints.in_order(table(spark, sf_dir, "documents"))
-    rows = rows.withColumn("edited", fingerprints.edited(F.col("text"), F.coalesce(F.lead("text").over(down), F.lit(""))))
-    rows = fingerprints.fingerprint(fingerprints.fingerprint(rows, "text", "own"), "edited", "other")
-    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
-    rows = rows.withColumn("after", F.lead("own").over(down)).where("_guest = 0").withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.withColumns({"_row": F.row_number().over(down), "edited": fingerprints.edited(F.col("text"), F.coalesce(F.lead("text").over(down), F.lit("")))})
+    # Text and edited text as rows of their own; all that follows stays where the order has put it.
+    sides = rows.withColumn("side", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("text").alias("t")), F.struct(F.lit(1).alias("n"), F.col("edited").alias("t")))))
+    sides = sides.select("_bucket", "_row", "_guest", "doc_id", F.col("side.n").alias("side"), F.length("side.t").cast("long").alias("n"), F.when(F.col("side.n") == 1, F.sha2(F.col("side.t").cast("binary"), 256)).alias("sha"), F.col("side.t").alias("t"))
+    both = fingerprints.fingerprint(sides, ["_bucket", "_row", "_guest", "doc_id", "side", "n", "sha"], "t", "fp")
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    rows = both.groupBy("_bucket", "_row", "_guest", "doc_id").agg(of(0, "n").alias("n_chars"), of(1, "sha").alias("edited_sha256"), of(0, "fp").alias("own"), of(1, "fp").alias("other"))
+    rows = rows.withColumn("after", F.lead("own").over(W.partitionBy("_bucket").orderBy("_row"))).where("_guest = 0")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(F.col("own")).alias("fingerprint"), fingerprints.as_text(F.col("other")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("own"), F.col("other")).alias("near_edited"), fingerprints.likeness(F.col("own"), F.col("after")).alias("near_next"),
