@@ -105,7 +105,7 @@ class CentroidGraph:
     """Centroids with links to their nearest ones and a few far ones; best-first search from the entry point."""
 
     def __init__(self, centre: np.ndarray, degree: int = 16, seed: int = 3):
-        self.centre = centre
+        self.centre, self.width = centre, 64
         n = len(centre)
         rng = np.random.Generator(np.random.PCG64(seed))
         self.links = []
@@ -144,14 +144,16 @@ class CentroidGraph:
     def within(self, q: np.ndarray, ratio: float, least: int, sizes: np.ndarray) -> tuple[np.ndarray, float]:
         """All lists within the ratio, at least those nearest ones that hold ``least`` entries, and the distance the ratio refers to.
 
-        The search is widened until the last list it finds is not needed any more.
+        The search is widened until the last list it finds is not needed any more, and
+        begins as wide as the one before had to be.
         """
-        width = 64
+        width = self.width
         while True:
             at, d = self.search(q, width)
             base = float(d[:NEAR].mean())
             need = max(int((d <= ratio * base).sum()), int(np.searchsorted(np.cumsum(sizes[at]), least)) + 1)
             if need < len(at) or len(at) == len(self.centre) or width > len(self.centre):
+                self.width = max(64, 5 * need // 4)
                 return at[:need], base
             width *= 2
 

@@ -118,6 +118,28 @@ def test_packing_places_every_piece(spark):
         check_packed(rows, list(enumerate(texts)), 128)
 
 
+def test_op1_contract(spark):
+    """The whole query: ids, their crc32, gapless sequences of 1,024, and as few as best-fit one piece at a time."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    by_doc, used, lengths = defaultdict(list), defaultdict(list), []
+    for r in queries.op1_best_fit_packing(spark, SF).collect():
+        by_doc[r["doc_id"]].append(r)
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+        lengths.append(r["length"])
+    assert set(by_doc) == set(docs)
+    for doc_id, text in docs.items():
+        ids, at = np.array(ids_of(text), "<u4"), 0
+        for i, r in enumerate(sorted(by_doc[doc_id], key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (i, at) and (i == 0 or r["length"] == 1024)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for v in used.values():
+        ends = np.cumsum([n for _, n in sorted(v)])
+        assert [o for o, _ in sorted(v)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    assert len(used) <= one_at_a_time(lengths, 1024)
+
+
 def test_packing_takes_awkward_rows(spark, empty):
     rows = packing.pack(packing.token_pieces(awkward(spark), BPE)).collect()
     assert sum(r["piece"] == 0 for r in rows) == 11
@@ -600,6 +622,42 @@ def test_toxicity_on_held_out_rows(spark):
     assert (above.sum(1)[y == 1][:, None] > above.sum(1)[y == 0][None]).mean() >= 0.9
 
 
+def test_op9_contract(spark):
+    """The whole query on whole texts against the model's own formula, and no severe clean document."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert len(model.thresholds) == 2
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = queries.op9_ordinal_toxicity(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = {f for f in toxicity.features(texts[r["doc_id"]]) if f in model.weights}
+        above = [1 / (1 + np.exp(-np.clip(sum(model.weights[f] for f in found) - t, -30, 30))) for t in model.thresholds]
+        assert abs(r["severity"] - sum(above)) < 1e-9 and abs(r["toxic_probability"] - above[0]) < 1e-9 and r["toxic"] == (r["toxic_probability"] >= 0.5)
+    flagged = {r["doc_id"] for r in rows if r["toxic"]}
+    assert not [i for i in flagged if toxic.get(i) == 0] and sum(toxic[i] for i in flagged if i in toxic) >= 0.9 * sum(toxic.values())
+
+
+def test_grades_do_not_come_from_the_features():
+    """Grades change with a text's form though its word features are the same, and clean rows have none."""
+    r = np.random.default_rng(0)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma"], 20)) for _ in range(40)] + [" ".join(r.choice(["alpha", "beta", "vile"], 20)) + "!" * (i % 2) * 30 for i in range(40)]
+    y = np.array([0] * 40 + [1] * 40)
+    grade = toxicity.severity_grades(texts, y)
+    assert (grade[:40] == 0).all() and set(grade[40:]) == {1, 2}
+    assert toxicity.severity_grades(["a", None], np.array([0, 0])).tolist() == [0, 0]
+
+
+def test_training_rows_are_bounded_by_bytes(spark):
+    docs = docs_of(spark, ["x" * 100 for _ in range(20)] + ["y" * 5000])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(21)], "doc_id long, quality int")
+    texts, _ = quality.training_rows(docs, labels, "quality", 100, 1000)
+    assert len(texts) == 10 and set(texts) == {"x" * 100}
+    assert len(quality.training_rows(docs, labels, "quality", 7)[0]) == 7
+
+
 def test_ordinal_fit_recovers_order():
     r = np.random.default_rng(1)
     x = (r.random((3000, 3)) < 0.5).astype(np.float32)
