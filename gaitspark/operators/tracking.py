@@ -234,8 +234,18 @@ class GreedyTracker:
             self.tracks.append(Track(self.born, [(frame, *dets[j], 1.0, "observed")]))
             self.born += 1
 
+    def skipped(self, before: int, frame: int) -> None:
+        """Frames without detections need no step: the gate grows with the gap."""
+
+    def closed(self, frame: int) -> list[Track]:
+        """Takes out the tracks that nothing behind frame can continue."""
+        over = [t for t in self.tracks if frame - t.frame > self.gap]
+        self.tracks = [t for t in self.tracks if frame - t.frame <= self.gap]
+        return over
+
     def finish(self) -> list[Track]:
-        return self.tracks
+        out, self.tracks = self.tracks, []
+        return out
 
 
 class TwoStageTracker:
@@ -331,6 +341,16 @@ class TwoStageTracker:
             self.born += 1
             self.open.append(new)
 
+    def skipped(self, before: int, frame: int) -> None:
+        """Frames between two with detections: tracks miss them, and are lost after as many as the gap."""
+        for missed in range(before + 1, min(frame, before + self.s.gap + 2)):
+            self.step(missed, np.empty((0, 5)))
+
+    def closed(self, frame: int) -> list[Track]:
+        """Takes out the tracks that have ended."""
+        out, self.done = self.done, []
+        return out
+
     def finish(self) -> list[Track]:
         for t in list(self.open):
             self._end(t, "end")
@@ -340,10 +360,11 @@ class TwoStageTracker:
 POINTS = "video_id string, track long, parent long, ended string, frame long, x double, y double, w double, h double, confidence double, association double, state string"
 
 
-def track_points(video: str, tracks: Iterable[Track]) -> pd.DataFrame:
+def track_points(video: str | None, tracks: Iterable[Track]) -> pd.DataFrame:
     rows = [(video, t.number, t.parent, t.ended, *p) for t in tracks for p in t.points]
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in POINTS.split(", ")])
-    out["parent"] = out["parent"].astype("Int64")
+    for c, kind in (c.split() for c in POINTS.split(", ")):
+        out[c] = out[c].astype({"long": "Int64", "double": "float64", "string": "string"}[kind])
     return out
 
 
@@ -354,25 +375,45 @@ def detections_array(pdf: pd.DataFrame) -> np.ndarray:
     return rows[np.lexsort(rows.T[::-1])]
 
 
+def tracker(method: str, settings: TrackerSettings | None = None, greedy: dict | None = None) -> GreedyTracker | TwoStageTracker:
+    return GreedyTracker(**(greedy or {})) if method == "greedy" else TwoStageTracker(settings)
+
+
 def track(dets: DataFrame, method: str = "two-stage", settings: TrackerSettings | None = None, greedy: dict | None = None) -> DataFrame:
     """T-1, T-2, T-3, T-4, T-7, T-11: points of the tracks of each video, POINTS.
 
     dets: video_id, frame, x1, y1, x2, y2, confidence. Frames without detections make
-    tracks coast only up to the next frame that has some, then count as missed.
+    tracks coast only up to the next frame that has some, then count as missed. A
+    task walks its videos frame by frame; it holds the open tracks alone, and hands on
+    each track once it has ended, so videos may be of any length.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = GreedyTracker(**(greedy or {})) if method == "greedy" else TwoStageTracker(settings)
-        before = None
-        for frame, rows in pdf.sort_values("frame", kind="stable").groupby("frame", sort=True):
-            if method != "greedy" and before is not None:
-                for missed in range(before + 1, min(int(frame), before + t.s.gap + 2)):
-                    t.step(missed, np.empty((0, 5)))
-            t.step(int(frame), detections_array(rows))
-            before = int(frame)
-        return track_points(pdf["video_id"].iloc[0], t.finish())
-
-    return dets.select("video_id", "frame", "x1", "y1", "x2", "y2", "confidence").groupBy("video_id").applyInPandas(run, POINTS)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        video, t, before, ended = None, None, None, []
+
+        def points() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pandas(track_points(video, ended), preserve_index=False)
+
+        for (name, frame), rows in _runs(batches, ["video_id", "frame"]):
+            if name != video or t is None:
+                if t is not None:
+                    ended += t.finish()
+                    yield points()
+                video, t, before, ended = name, tracker(method, settings, greedy), None, []
+            if before is not None:
+                t.skipped(before, frame)
+            t.step(frame, detections_array(rows.to_pandas()))
+            before = frame
+            ended += t.closed(frame)
+            if len(ended) >= 256:
+                yield points()
+                ended = []
+        if t is not None:
+            ended += t.finish()
+            yield points()
+
+    rows = dets.select(F.col("video_id").cast("string").alias("video_id"), F.col("frame").cast("long").alias("frame"), "x1", "y1", "x2", "y2", "confidence")
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame").mapInArrow(run, POINTS)
 
 
 def episodes_of(points: DataFrame, fps: float, min_s: float = 3.0, max_s: float = 120.0, max_filled: float = 0.5) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracking import POINTS, GreedyTracker, detections_array, track_points
+from ..operators.tracking import POINTS, TrackerSettings, detections_array, track_points, tracker
 
 
 def latest_annotation_stream(log: DataFrame) -> DataFrame:
@@ -27,27 +27,29 @@ def scene_window_stream(samples: DataFrame, window: str = "2 seconds", stride: s
     return samples.withWatermark("ts", late).groupBy(F.window("ts", window, stride).alias("w"), "scene").agg(F.approx_count_distinct("episode_id").alias("episodes"), F.count("*").alias("samples")).select("scene", "w.start", "w.end", "episodes", "samples")
 
 
-def track_stream(dets: DataFrame, jump: float = 60.0, gap: int = 8, idle_ms: int = 30_000) -> DataFrame:
-    """T-1, T-3, T-7: points of closed tracks of each video (video_id, frame, x1, y1, x2, y2, confidence), append mode.
+def track_stream(dets: DataFrame, jump: float = 60.0, gap: int = 8, idle_ms: int = 30_000, method: str = "greedy", settings: TrackerSettings | None = None) -> DataFrame:
+    """T-1, T-2, T-3, T-7: points of closed tracks of each video (video_id, frame, x1, y1, x2, y2, confidence), append mode.
 
-    Frames of a video come in order of micro-batches; within one they are sorted. A
-    track leaves the state once it can't be continued; all do when a video is idle.
+    method: greedy, with jump and gap, or two-stage, with settings. Frames of a video come
+    in order of micro-batches; within one they are sorted. A track leaves the state
+    once it has ended or can't be continued; all do when a video is idle.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker: GreedyTracker = pickle.loads(state.get[0]) if state.exists else GreedyTracker(jump, gap)
+        t, before = pickle.loads(state.get[0]) if state.exists else (tracker(method, settings, {"jump": jump, "gap": gap}), None)
         if state.hasTimedOut:
             state.remove()
-            yield track_points(key[0], tracker.finish())
+            yield track_points(key[0], t.finish())
             return
-        last = 0
+        closed = []
         rows = pd.concat(list(batches), ignore_index=True)
         for frame, one in rows.sort_values("frame", kind="stable").groupby("frame", sort=True):
-            tracker.step(int(frame), detections_array(one))
-            last = int(frame)
-        closed = [t for t in tracker.tracks if last - t.frame > gap]
-        tracker.tracks = [t for t in tracker.tracks if last - t.frame <= gap]
-        state.update((pickle.dumps(tracker),))
+            if before is not None:
+                t.skipped(before, int(frame))
+            t.step(int(frame), detections_array(one))
+            before = int(frame)
+            closed += t.closed(before)
+        state.update((pickle.dumps((t, before)),))
         state.setTimeoutDuration(idle_ms)
         if closed:
             yield track_points(key[0], closed)
