@@ -1,10 +1,12 @@
 """SentencePiece ids by a table of distinct marked words.
 
 The model's pieces never hold a white-space marker behind another character, so no
-merge crosses the start of a marked word. Each distinct marked word of the corpus is
-segmented once, into a written table. Frequent words, a bounded number of them, go to
-every task; ids of the others are joined back by row and position, so no word's rows
-meet in one task.
+merge crosses the start of a marked word. Marked words are counted over the corpus;
+the frequent ones, a bounded number, are segmented once for all and go to every task,
+which joins their ids back by position. Rare words, most of which stand in the corpus
+once, are segmented where they stand, once in a stretch of a task. With join_rare
+they are segmented once for all, too, and joined back by row and position, which
+shuffles the ids of nearly every document.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from .common import is_empty, materialize, worker_path
 
 MARK = "▁"
 MARKED = re.compile(f"{MARK}+[^{MARK}]*")
-#: Frequent words that are broadcast, and the longest of them: 150,000 of 64 characters at most, under 40 MB.
-HEAD, LONGEST = 150_000, 64
+#: Frequent words that are broadcast, and the longest of them: 300,000 of 64 characters at most, under 80 MB.
+HEAD, LONGEST = 300_000, 64
+#: Rare words that a task keeps before it forgets them.
+KEPT = 100_000
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 100_000
 
@@ -115,13 +119,37 @@ def _segment(path: str):
     return run
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """word, n, ids: every distinct marked word of the texts of docs, how often it stands there, and its ids, each segmented once; written."""
+def word_table(docs: DataFrame, path: str, head: int | None = None) -> DataFrame:
+    """word, n, ids: the distinct marked words of the texts of docs, how often they stand there, and their ids, each segmented once; written.
+
+    With head only so many of the most frequent words of at most LONGEST characters.
+    """
     worker_path(docs.sparkSession)
     words = docs.select(docs["text"]).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    if head is not None:
+        words = words.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(head)
     return materialize(words.mapInArrow(_segment(path), "word string, n long, ids binary"), "words")
 
 
+def _in_place(path: str, head, first: bytes, last: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp, known, rare = processor(path), head.value, {}
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for at in range(0, len(texts), 512):
+                words = [marked_words(t) for t in texts[at : at + 512]]
+                new = list({w for ws in words for w in ws if w not in known and w not in rare})
+                rare.update(zip(new, segment(sp, new), strict=True))
+                get = lambda w: known.get(w) or rare[w]  # noqa: B023, E731
+                ids = [first + b"".join(map(get, ws)) + last for ws in words]
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                if len(rare) > KEPT:
+                    rare.clear()
+
+    return run
+
+
 def _look_up(head, first: bytes, last: bytes):
     """Whole ids where all words are in the head; else runs of known ids, and the others' words with their places."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string())]
@@ -152,25 +180,25 @@ def _look_up(head, first: bytes, last: bytes):
     return run
 
 
-def encode_pieces(docs: DataFrame, path: str, bounds: bool = True, head: int = HEAD) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, bounds: bool = True, head: int = HEAD, join_rare: bool = False) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit), one row per row of docs; with bounds, begin and end ids stand around them.
 
     A null text is empty. doc_id may be null or repeated; other columns are left out.
     head bounds the frequent words that every task holds. The model must mark words in
-    front and leave texts as they are, see check_model().
+    front and leave texts as they are, see check_model(). join_rare changes where rare
+    words are segmented, never the ids.
     """
     check_model(path)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    table = word_table(docs, path)
-    short = table.where(F.length("word") <= LONGEST)
-    picked = short.orderBy(F.desc("n"), "word").limit(head).select("word", "ids").toArrow()
+    table = word_table(docs, path, None if join_rare else head)
+    picked = table.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(head).select("word", "ids").toArrow()
     known = dict(zip(picked.column("word").to_pylist(), picked.column("ids").to_pylist(), strict=True))
     sc, sp = docs.sparkSession.sparkContext, processor(path)
     first, last = (np.array([i], "<u4").tobytes() if bounds else b"" for i in (sp.bos_id(), sp.eos_id()))
-    found = docs.mapInArrow(_look_up(sc.broadcast(known), first, last), "doc_id long, uid long, ids binary, runs array<binary>, rare array<string>")
-    if table.count() <= len(known):
-        return found.select("doc_id", "ids")
-    found = materialize(found, "looked-up")
+    sent = sc.broadcast(known)
+    if not join_rare:
+        return docs.mapInArrow(_in_place(path, sent, first, last), "doc_id long, ids binary")
+    found = materialize(docs.mapInArrow(_look_up(sent, first, last), "doc_id long, uid long, ids binary, runs array<binary>, rare array<string>"), "looked-up")
     part = found.where("ids is null")
     if is_empty(part):
         return found.select("doc_id", "ids")

@@ -472,16 +472,17 @@ def test_marked_words_like_the_library():
     spiece.check_model(SPM)
 
 
-@pytest.mark.parametrize("head", [0, 7, spiece.HEAD])
-def test_pieces_round_trip(spark, empty, head):
+@pytest.mark.parametrize("head, join_rare", [(0, False), (7, False), (7, True), (spiece.HEAD, False), (spiece.HEAD, True)])
+def test_pieces_round_trip(spark, empty, head, join_rare, monkeypatch):
+    monkeypatch.setattr(spiece, "KEPT", 50)
     texts = [*ODD, LONG, "x" * 5000 + " tail", None, ""]
-    got = {r["doc_id"]: r for r in spiece.decode_pieces(spiece.encode_pieces(docs_of(spark, texts), SPM, head=head), SPM).collect()}
+    got = {r["doc_id"]: r for r in spiece.decode_pieces(spiece.encode_pieces(docs_of(spark, texts), SPM, head=head, join_rare=join_rare), SPM).collect()}
     sp = spiece.processor(SPM)
     for i, t in enumerate(texts):
         ids = [1, *sp.encode(t or ""), 2]
         assert np.frombuffer(got[i]["ids"], "<u4").tolist() == ids
         assert got[i]["text"] == sp.decode(ids)
-    assert spiece.encode_pieces(awkward(spark), SPM, head=head).count() == 11 and spiece.encode_pieces(empty, SPM, head=head).count() == 0
+    assert spiece.encode_pieces(awkward(spark), SPM, head=head, join_rare=join_rare).count() == 11 and spiece.encode_pieces(empty, SPM, head=head, join_rare=join_rare).count() == 0
 
 
 def test_each_distinct_word_is_segmented_once(spark):
@@ -489,6 +490,8 @@ def test_each_distinct_word_is_segmented_once(spark):
     table = spiece.word_table(docs_of(spark, texts), SPM).collect()
     want = Counter(w for t in texts for w in spiece.marked_words(t))
     assert len(table) == len(want) and {r["word"]: r["n"] for r in table} == want
+    few = spiece.word_table(docs_of(spark, texts), SPM, 5).collect()
+    assert sorted(r["n"] for r in few) == sorted(sorted((n for w, n in want.items() if len(w) <= spiece.LONGEST), reverse=True)[:5])
 
 
 def test_op6_contract(spark):
