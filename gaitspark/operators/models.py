@@ -132,8 +132,9 @@ def kmeans(rows: DataFrame, k: int, iterations: int = 100, seed: int = 0, z: str
     centre = np.array([r[0] for r in start], np.float64)
     if not len(centre):
         return centre, 0
-    sc, vectors = rows.sparkSession.sparkContext, rows.select(F.col(z).alias("z"))
-    width = centre.shape[1]
+    sc, width = rows.sparkSession.sparkContext, centre.shape[1]
+    # As few tasks as hold 32 MB of vectors each: with a single one an iteration has no shuffle.
+    vectors = rows.select(F.col(z).alias("z")).coalesce(max(1, -(-rows.count() * width * 8 // (32 << 20))))
     for it in range(iterations):
         c = sc.broadcast(centre)
 
