@@ -64,21 +64,29 @@ def bootstrap_mean(episodes: DataFrame, value: str, cluster: Column, replicates:
 
 
 def bootstrap(episodes: DataFrame, stat: Callable, cluster: str, replicates: int = 500, seed: int = 0) -> dict:
-    """A7, X1 for any statistic of a pandas frame: whole clusters are drawn on the driver, each replicate is computed by a task.
+    """A7, X1 for any statistic of a pandas frame: whole clusters are drawn, each replicate is computed by a task.
 
     The statistic's input must fit in one task, as the replicate of a statistic that
-    isn't a sum has to.
+    isn't a sum has to. Draws are made where the replicates are; the driver learns the
+    number of clusters alone.
     """
-    keys = [r[0] for r in episodes.select(cluster).distinct().orderBy(cluster).collect()]
-    rng = np.random.default_rng(seed)
-    rows = [(b, keys[i]) for b in range(replicates) for i in rng.integers(0, len(keys), len(keys)).tolist()]
-    draws = episodes.sparkSession.createDataFrame(rows, ["_b", cluster])
+    keys = episodes.select(cluster).distinct()
+    k = keys.count()
+    numbered = keys.withColumn("_no", F.row_number().over(W.orderBy(cluster)) - 1)
+
+    def draw(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for b in pdf["id"]:
+                yield pd.DataFrame({"_b": b, "_no": np.random.default_rng([seed, int(b)]).integers(0, max(k, 1), k)})
 
     def one(pdf):
         import pandas as pd
 
         return pd.DataFrame({"m": [float(stat(pdf))]})
 
+    draws = episodes.sparkSession.range(replicates).mapInPandas(draw, "_b long, _no int").join(numbered, "_no").drop("_no")
     per = draws.join(episodes, cluster).groupBy("_b").applyInPandas(one, "m double")
     lo, hi = per.agg(F.percentile("m", 0.025), F.percentile("m", 0.975)).first()
-    return {"lo": lo, "hi": hi, "clusters": len(keys), "replicates": replicates}
+    return {"lo": lo, "hi": hi, "clusters": k, "replicates": replicates}
