@@ -167,11 +167,23 @@ def linked(sets: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]],
     return out, group == 0
 
 
-def crossing(sets: list[np.ndarray], percent: int, side: np.ndarray, loose: np.ndarray) -> list[tuple[int, int]]:
-    """Links between loose sets and those of the other side."""
+def crossing(sets: list[np.ndarray], percent: int, side: np.ndarray, loose: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links of loose sets across the two sides, and which loose sets are linked to one that isn't loose.
+
+    Sets that aren't loose are joined with the centre, so one link to any of them is as good as all.
+    """
     rows = np.flatnonzero(loose)
-    near = near_matrix(sets, percent, rows)
-    return [(int(i), int(j)) for i, row in zip(rows, near, strict=True) for j in np.flatnonzero(row & (side != side[i]))]
+    near = near_matrix(sets, percent, rows) & (side[rows][:, None] != side[None, :])
+    bound = np.zeros(len(sets), bool)
+    bound[rows] = (near & ~loose[None, :]).any(1)
+    group, out = np.where(bound, -1, np.arange(len(sets))), []
+    for i, row in zip(rows.tolist(), near & loose[None, :], strict=True):
+        for j in np.flatnonzero(row).tolist():
+            a, b = group[i], group[j]
+            if a != b:
+                out.append((i, j))
+                group[group == max(a, b)] = min(a, b)
+    return out, bound
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: list[str], size: int) -> Iterator[tuple[tuple, dict]]:
@@ -208,11 +220,13 @@ def _confirm(size: int, percent: int):
 
 def _confirm_rest(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, members in _groups(batches, ["grp", "i", "j"], size):
+        for (grp, _, _), members in _groups(batches, ["grp", "i", "j"], size):
             ids = sorted(members)
             side, loose = np.array([members[x][0] for x in ids]), np.array([members[x][1] for x in ids], bool)
-            pairs = crossing([members[x][2] for x in ids], percent, side, loose) if loose.any() else []
-            yield _links([0] * len(pairs), [ids[a] for a, _ in pairs], [ids[b] for _, b in pairs])
+            if loose.any():
+                pairs, bound = crossing([members[x][2] for x in ids], percent, side, loose)
+                tied = [x for x, ok in zip(ids, bound, strict=True) if ok]
+                yield _links([0] * (len(pairs) + len(tied)), [ids[a] for a, _ in pairs] + tied, [ids[b] for _, b in pairs] + [grp] * len(tied))
 
     return run
 
