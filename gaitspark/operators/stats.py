@@ -69,11 +69,32 @@ def permutation_contrast(rows: DataFrame, keys: list[str], value: str = "value",
     return real.join(p, keys, "left")
 
 
-def rank_sums(rows: DataFrame, keys: list[str], value: str = "value", side: str = "side") -> DataFrame:
-    """Mann-Whitney U of side a, by average ranks, and the sum of t^3 - t over ties."""
+def running(per: DataFrame, keys: list[str], value: str, columns: list[str], ranges: int = 1) -> DataFrame:
+    """per (one row for each of keys and value) with, for each of columns, its sum over smaller values as before_<name> and over all values as total_<name>, and the next value as _next.
+
+    With ranges the values of a key are cut there into so many stretches, each summed up
+    by a task of its own, so that no task holds a key: sums of whole stretches are few.
+    """
+    by = W.partitionBy(*keys)
+    if ranges <= 1:
+        run = by.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        sums = {f"before_{c}": F.coalesce(F.sum(c).over(run), F.lit(0)) for c in columns} | {f"total_{c}": F.sum(c).over(by) for c in columns}
+        return per.withColumns(sums | {"_next": F.lead(value).over(by.orderBy(value))})
+    cuts = per.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"), *[F.sum(c).alias(f"total_{c}") for c in columns])
+    rows = per.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    parts = rows.groupBy(*keys, "_range").agg(F.min(value).alias("_least"), *[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    ahead = by.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_range", F.lead("_least").over(by.orderBy("_range")).alias("_after"), *[F.coalesce(F.sum(f"_sum_{c}").over(ahead), F.lit(0)).alias(f"_ahead_{c}") for c in columns])
+    within = W.partitionBy(*keys, "_range").orderBy(value)
+    run = within.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(parts, [*keys, "_range"]).withColumns({f"before_{c}": F.col(f"_ahead_{c}") + F.coalesce(F.sum(c).over(run), F.lit(0)) for c in columns} | {"_next": F.coalesce(F.lead(value).over(within), F.col("_after"))})
+    return rows.drop("_range", "_after", *[f"_ahead_{c}" for c in columns])
+
+
+def rank_sums(rows: DataFrame, keys: list[str], value: str = "value", side: str = "side", ranges: int = 1) -> DataFrame:
+    """Mann-Whitney U of side a, by average ranks, and the sum of t^3 - t over ties. ranges: see running()."""
     per = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(F.col(side) == "a").alias("a"), F.count("*").alias("t"))
-    before = F.coalesce(F.sum("t").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = running(per, keys, value, ["t"], ranges).withColumn("rank", F.col("before_t") + (F.col("t") + 1) / 2)
     n_a = F.sum("a")
     return ranked.groupBy(*keys).agg(n_a.alias("n_a"), (F.sum("t") - n_a).alias("n_b"), (F.sum(F.col("rank") * F.col("a")) - n_a * (n_a + 1) / 2).alias("u"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
 
@@ -114,11 +135,9 @@ def mann_whitney(rows: DataFrame, keys: list[str], **kw) -> DataFrame:
     return got.mapInPandas(p, f"{kinds}, p_value double")
 
 
-def wasserstein(rows: DataFrame, keys: list[str], value: str = "value", side: str = "side") -> DataFrame:
-    """One-dimensional transport distance between sides a and b, by the gap of their distribution functions."""
-    by = W.partitionBy(*keys)
+def wasserstein(rows: DataFrame, keys: list[str], value: str = "value", side: str = "side", ranges: int = 1) -> DataFrame:
+    """One-dimensional transport distance between sides a and b, by the gap of their distribution functions. ranges: see running()."""
     per = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(F.col(side) == "a").alias("a"), F.count_if(F.col(side) != "a").alias("b"))
-    run = by.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    gap = F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(by)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(by)))
-    part = per.withColumn("part", gap * (F.lead(value).over(by.orderBy(value)) - F.col(value)))
+    share = lambda c: F.try_divide(F.col(f"before_{c}") + F.col(c), F.col(f"total_{c}"))
+    part = running(per, keys, value, ["a", "b"], ranges).withColumn("part", F.abs(share("a") - share("b")) * (F.col("_next") - F.col(value)))
     return part.groupBy(*keys).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("w1"))

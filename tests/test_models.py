@@ -108,3 +108,13 @@ def test_bootstrap(spark):
     g = H.bootstrap(df, lambda p: p.value.mean(), "session", 40)
     assert g["lo"] < 4.5 < g["hi"]
     assert H.counts(df).where("level = 0").first().n == 20
+
+
+def test_ranges_change_no_rank_and_no_distance(spark):
+    """Values with ties, dimensions of very different size, an empty side."""
+    r = np.random.default_rng(8)
+    rows = [(d, "ab"[int(r.integers(2))] if d != "one" else "a", float(np.round(r.normal(), 1 if d == "tied" else 6))) for d, n in (("tied", 300), ("free", 200), ("one", 20), ("few", 3)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "dim string, side string, value double")
+    for f in (S.rank_sums, S.wasserstein):
+        a, b = ({x["dim"]: tuple(x)[1:] for x in f(df, ["dim"], ranges=n).collect()} for n in (1, 7))
+        assert a.keys() == b.keys() and all(np.allclose(np.array(a[k], float), np.array(b[k], float)) for k in a)
