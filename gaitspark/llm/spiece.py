@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import is_empty, materialize, worker_path
@@ -122,12 +123,17 @@ def _segment(path: str):
 def word_table(docs: DataFrame, path: str, head: int | None = None) -> DataFrame:
     """word, n, ids: the distinct marked words of the texts of docs, how often they stand there, and their ids, each segmented once; written.
 
-    With head only so many of the most frequent words of at most LONGEST characters.
+    With head only frequent words of at most LONGEST characters: all that stand there so
+    often, or more, that no more than head words do.
     """
     worker_path(docs.sparkSession)
     words = docs.select(docs["text"]).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     if head is not None:
-        words = words.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(head)
+        words = materialize(words.where(F.length("word") <= LONGEST), "counted")
+        # How many words stand there n times, for each n: as many rows as there are different counts.
+        times = words.groupBy("n").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(W.orderBy(F.desc("n"))))
+        least = times.where(F.col("upto") <= head).agg(F.min("n")).first()[0]
+        words = words.where(F.col("n") >= least) if least is not None else words.limit(0)
     return materialize(words.mapInArrow(_segment(path), "word string, n long, ids binary"), "words")
 
 
@@ -191,7 +197,8 @@ def encode_pieces(docs: DataFrame, path: str, bounds: bool = True, head: int = H
     check_model(path)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     table = word_table(docs, path, None if join_rare else head)
-    picked = table.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(head).select("word", "ids").toArrow()
+    picked = table if not join_rare else table.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(head)
+    picked = picked.select("word", "ids").toArrow()
     known = dict(zip(picked.column("word").to_pylist(), picked.column("ids").to_pylist(), strict=True))
     sc, sp = docs.sparkSession.sparkContext, processor(path)
     first, last = (np.array([i], "<u4").tobytes() if bounds else b"" for i in (sp.bos_id(), sp.eos_id()))
