@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, neardup, packing, quality, secrets, spiece, toxicity, urls, warc
+from . import ann, fingerprints, later_queries, neardup, packing, quality, secrets, spiece, toxicity, urls, warc
 from .common import materialize, new_folder
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -115,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_best_fit_packing, op2_order_minhash, op3_redirect_equivalence, op4_balanced_posting_lists, op5_warc_transactions,
         op6_marked_words, op7_secret_ownership, op8_naive_bayes_svm, op9_ordinal_toxicity, op10_min_max_hashing, pipeline,
     )
-}
+} | later_queries.QUERIES
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -198,4 +198,4 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
-ORACLE_SQL = {"op3_redirect_equivalence": _OP3, "op5_warc_transactions": _OP5, "op10_min_max_hashing": _OP10}
+ORACLE_SQL = {"op3_redirect_equivalence": _OP3, "op5_warc_transactions": _OP5, "op10_min_max_hashing": _OP10} | later_queries.ORACLE_SQL
