@@ -207,6 +207,11 @@ class Track:
         ahead = frame - self.frame
         return self.place + self.velocity * ahead * 0.9 ** max(ahead - 1, 0)
 
+    @property
+    def rank(self) -> tuple:
+        """An order of open tracks that follows from what they do next alone, so that a walk may begin anywhere; equal ones by number."""
+        return (*self.points[-1][:6], *self.velocity.tolist(), self.missed, self.number)
+
 
 class GreedyTracker:
     """T-1: every live track, the latest first, takes the nearest free detection within the jump per frame."""
@@ -222,7 +227,7 @@ class GreedyTracker:
             return
         free = np.ones(len(dets), bool)
         live = [t for t in self.tracks if 0 < frame - t.frame <= self.gap + 1]
-        for t in sorted(live, key=lambda t: -t.frame):
+        for t in sorted(live, key=lambda t: (-t.frame, t.rank)):
             if not free.any():
                 break
             d = np.where(free, np.hypot(*(dets[:, :2] - t.place).T), np.inf)
@@ -243,6 +248,12 @@ class GreedyTracker:
         self.tracks = [t for t in self.tracks if frame - t.frame <= self.gap]
         return over
 
+    def live(self) -> list[Track]:
+        return sorted(self.tracks, key=lambda t: t.rank)
+
+    def resume(self, tracks: list[Track]) -> None:
+        self.tracks = tracks
+
     def finish(self) -> list[Track]:
         out, self.tracks = self.tracks, []
         return out
@@ -310,7 +321,7 @@ class TwoStageTracker:
     def step(self, frame: int, dets: np.ndarray) -> None:
         s = self.s
         high, low = dets[dets[:, 4] >= s.high], dets[(dets[:, 4] >= s.low) & (dets[:, 4] < s.high)]
-        tracks = list(self.open)
+        tracks = self.live()
         cost = self._costs(tracks, frame, high)
         taken, doubtful = self._match(cost)
         contested: dict[int, Track] = {}
@@ -321,7 +332,7 @@ class TwoStageTracker:
         for t, j in taken.items():
             self._extend(tracks[t], frame, high[j], cost[t, j])
         free = [j for j in range(len(high)) if j not in taken.values()]
-        idle = [t for t in self.open if t.frame != frame]
+        idle = [t for t in self.live() if t.frame != frame]
         for j in free:
             near = [t for t in idle if np.hypot(*(t.expected(frame) - high[j, :2])) <= s.merge]
             if len(near) >= 2:
@@ -351,6 +362,12 @@ class TwoStageTracker:
         out, self.done = self.done, []
         return out
 
+    def live(self) -> list[Track]:
+        return sorted(self.open, key=lambda t: t.rank)
+
+    def resume(self, tracks: list[Track]) -> None:
+        self.open = tracks
+
     def finish(self) -> list[Track]:
         for t in list(self.open):
             self._end(t, "end")
@@ -368,11 +385,12 @@ def track_points(video: str | None, tracks: Iterable[Track]) -> pd.DataFrame:
     return out
 
 
-def detections_array(pdf: pd.DataFrame) -> np.ndarray:
+def detections_array(rows: pd.DataFrame | pa.RecordBatch) -> np.ndarray:
     """Centre, size and confidence, in an order that does not depend on the rows'."""
-    x1, y1, x2, y2 = (pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-    rows = np.stack([(x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1, pdf["confidence"].to_numpy(float)], 1)
-    return rows[np.lexsort(rows.T[::-1])]
+    of = (lambda c: rows.column(c).to_numpy(zero_copy_only=False)) if isinstance(rows, pa.RecordBatch) else rows.__getitem__
+    x1, y1, x2, y2, confidence = (np.asarray(of(c), float) for c in ("x1", "y1", "x2", "y2", "confidence"))
+    out = np.stack([(x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1, confidence], 1)
+    return out[np.lexsort(out.T[::-1])]
 
 
 def tracker(method: str, settings: TrackerSettings | None = None, greedy: dict | None = None) -> GreedyTracker | TwoStageTracker:
@@ -402,7 +420,7 @@ def track(dets: DataFrame, method: str = "two-stage", settings: TrackerSettings
                 video, t, before, ended = name, tracker(method, settings, greedy), None, []
             if before is not None:
                 t.skipped(before, frame)
-            t.step(frame, detections_array(rows.to_pandas()))
+            t.step(frame, detections_array(rows))
             before = frame
             ended += t.closed(frame)
             if len(ended) >= 256:

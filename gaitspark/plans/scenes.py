@@ -13,8 +13,8 @@ from ..operators import kinematics as K
 from ..operators import models as M
 from ..operators import retrieval as R
 from ..operators import tracking as T
+from ..operators.segments import track_segments
 from ..session import settled
-from ..sources.synthetic import default_scenes
 from . import adapters as A
 from .motion import DIMS, GROUPS, labelled_features
 
@@ -321,41 +321,50 @@ def motion_ema(spark, d):
     return s.select("episode_id", F.posexplode(T.motion_colour(F.col("s"))).alias("i", "c")).select("episode_id", "i", "c.*")
 
 
-def truth_detections(spark):
-    way, hidden = default_scenes(spark)
-    truth = T.truth_points(way, hidden, 10.0, 8.0)
-    dets = truth.select(F.col("scene").alias("video_id"), "frame", (F.col("x") - 8).alias("x1"), (F.col("y") - 8).alias("y1"), (F.col("x") + 8).alias("x2"), (F.col("y") + 8).alias("y2"), F.lit(0.9).alias("confidence"))
-    return truth, dets
+def hourly_detections(spark, d):
+    """Every event as a box in the frame of its hour, in the video of its scene."""
+    s = A.points(spark, d)
+    box = [(F.col(c) + k).alias(f"{c}{n}") for n, k in ((1, -3), (2, 3)) for c in ("x", "y")]
+    confidence = (F.col("frame") * 7 + F.col("episode_id")) % 100 / 100.0
+    return s.select(F.col("scene").alias("video_id"), "frame", *box, confidence.alias("confidence"))
+
+
+def tracked_events(spark, d, method):
+    """Points of the tracks over all hours, each video in segments of 128."""
+    return track_segments(hourly_detections(spark, d), 128, 32, method, greedy={"gap": 3})
+
+
+def _event_truth(spark, d):
+    return A.points(spark, d).select("scene", F.col("episode_id").cast("string").alias("animal"), "frame", "x", "y")
 
 
 def _tracked(method):
     def run(spark, d):
-        truth, dets = truth_detections(spark)
-        points = T.track(dets, method, greedy={"gap": 3})
-        return A.rounded(T.match_truth(points.withColumnRenamed("video_id", "scene").where("state = 'observed'"), truth))
+        points = tracked_events(spark, d, method).withColumnRenamed("video_id", "scene").where("state = 'observed'")
+        return A.rounded(T.match_truth(points, _event_truth(spark, d)))
 
     return run
 
 
 @query()
 def track_greedy(spark, d):
-    """T-1, A29 on the ground-truth scenes."""
+    """T-1, A29: tracks of all events, and the user that each follows."""
     return _tracked("greedy")(spark, d)
 
 
 @query()
 def track_two_stage(spark, d):
-    """T-2, A29 on the ground-truth scenes."""
+    """T-2, T-11, A29: likewise, in two stages."""
     return _tracked("two-stage")(spark, d)
 
 
 @query()
 def tracking_cost(spark, d):
     """A30, P9."""
-    truth, dets = truth_detections(spark)
-    points = T.track(dets)
-    episodes = T.episodes_of(points, 10.0, 1.0).withColumnRenamed("video_id", "scene")
-    return A.rounded(T.benchmark_cost(T.match_truth(points.withColumnRenamed("video_id", "scene"), truth), truth, episodes, 10.0))
+    truth = _event_truth(spark, d)
+    points = settled(tracked_events(spark, d, "two-stage"), "tracks")
+    episodes = T.episodes_of(points, 1.0, 2.0).withColumnRenamed("video_id", "scene")
+    return A.rounded(T.benchmark_cost(T.match_truth(points.withColumnRenamed("video_id", "scene"), truth), truth, episodes, 1.0))
 
 
 @query(A.sql("SELECT b::INT AS bin, l.label, count(x.label) AS n FROM range(24) t(b) CROSS JOIN (SELECT DISTINCT label FROM pts) l LEFT JOIN (SELECT label, frame % 24 AS hour FROM pts) x ON x.hour = b AND x.label = l.label GROUP BY ALL", "trk"))
