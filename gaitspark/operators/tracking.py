@@ -385,7 +385,7 @@ def track_points(video: str | None, tracks: Iterable[Track]) -> pd.DataFrame:
     return out
 
 
-def detections_array(rows: pd.DataFrame | pa.RecordBatch) -> np.ndarray:
+def detections_array(rows: pd.DataFrame | pa.RecordBatch | np.ndarray) -> np.ndarray:
     """Centre, size and confidence, in an order that does not depend on the rows'."""
     of = (lambda c: rows.column(c).to_numpy(zero_copy_only=False)) if isinstance(rows, pa.RecordBatch) else rows.__getitem__
     x1, y1, x2, y2, confidence = (np.asarray(of(c), float) for c in ("x1", "y1", "x2", "y2", "confidence"))

@@ -321,12 +321,17 @@ def motion_ema(spark, d):
     return s.select("episode_id", F.posexplode(T.motion_colour(F.col("s"))).alias("i", "c")).select("episode_id", "i", "c.*")
 
 
-def hourly_detections(spark, d):
-    """Every event as a box in the frame of its hour, in the video of its scene."""
-    s = A.points(spark, d)
+def hourly_boxes(rows, user):
+    """Boxes around x and y of rows in the video of the user's scene; the confidence follows the frame."""
     box = [(F.col(c) + k).alias(f"{c}{n}") for n, k in ((1, -3), (2, 3)) for c in ("x", "y")]
-    confidence = (F.col("frame") * 7 + F.col("episode_id")) % 100 / 100.0
-    return s.select(F.col("scene").alias("video_id"), "frame", *box, confidence.alias("confidence"))
+    confidence = (F.col("frame") * 7 + F.col(user)) % 100 / 100.0
+    other = [c for c in rows.columns if c not in ("x", "y", user)]
+    return rows.select(F.concat((F.col(user) % 10).cast("string"), F.lit("@"), (F.col(user) % 2).cast("string")).alias("video_id"), *other, *box, confidence.alias("confidence"))
+
+
+def hourly_detections(spark, d):
+    """Every event as a box in the frame of its hour."""
+    return hourly_boxes(A.points(spark, d).select("episode_id", "frame", "x", "y"), "episode_id")
 
 
 def tracked_events(spark, d, method):

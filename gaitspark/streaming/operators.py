@@ -1,20 +1,33 @@
-"""Latest annotations, scene windows and tracking over streams.
+"""Latest annotations, scene windows and visits over streams, and how a stream is run to its end.
 
-State is kept per key and bounded: one record per episode, the windows within the
-watermark, the open tracks of a video.
+State is kept per key and bounded: one record per episode, the windows and visits
+within the watermark.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracking import POINTS, TrackerSettings, detections_array, track_points, tracker
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that its source has now, written under path and read back.
+
+    The state is kept in RocksDB beside it; a later call with the same path goes on
+    from the checkpoint.
+    """
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows")
+    finally:
+        spark.conf.set(name, old)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def latest_annotation_stream(log: DataFrame) -> DataFrame:
@@ -30,31 +43,7 @@ def scene_window_stream(samples: DataFrame, window: str = "2 seconds", stride: s
     return samples.withWatermark("ts", late).groupBy(F.window("ts", window, stride).alias("w"), "scene").agg(F.size(F.collect_set("episode_id")).alias("episodes"), F.count("*").alias("samples")).select("scene", "w.start", "w.end", "episodes", "samples")
 
 
-def track_stream(dets: DataFrame, jump: float = 60.0, gap: int = 8, idle_ms: int = 30_000, method: str = "greedy", settings: TrackerSettings | None = None) -> DataFrame:
-    """T-1, T-2, T-3, T-7: points of closed tracks of each video (video_id, frame, x1, y1, x2, y2, confidence), append mode.
-
-    method: greedy, with jump and gap, or two-stage, with settings. Frames of a video come
-    in order of micro-batches; within one they are sorted. A track leaves the state
-    once it has ended or can't be continued; all do when a video is idle.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t, before = pickle.loads(state.get[0]) if state.exists else (tracker(method, settings, {"jump": jump, "gap": gap}), None)
-        if state.hasTimedOut:
-            state.remove()
-            yield track_points(key[0], t.finish())
-            return
-        closed = []
-        rows = pd.concat(list(batches), ignore_index=True)
-        for frame, one in rows.sort_values("frame", kind="stable").groupby("frame", sort=True):
-            if before is not None:
-                t.skipped(before, int(frame))
-            t.step(int(frame), detections_array(one))
-            before = int(frame)
-            closed += t.closed(before)
-        state.update((pickle.dumps((t, before)),))
-        state.setTimeoutDuration(idle_ms)
-        if closed:
-            yield track_points(key[0], closed)
-
-    return dets.groupBy("video_id").applyInPandasWithState(run, POINTS, "tracker binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def session_stream(samples: DataFrame, gap: str = "8 hours", late: str = "2 hours", key: str = "episode_id") -> DataFrame:
+    """T-3: visits of each key: runs of samples (key, ts) that no gap interrupts, closed once the watermark is a gap behind their last sample."""
+    visits = samples.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("samples"), F.max("ts").alias("last"))
+    return visits.select(key, F.col("w.start").alias("start"), "last", "samples")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaitspark.operators import tracking as T
 from gaitspark.sources import default_scenes
-from gaitspark.streaming import latest_annotation_stream, scene_window_stream, track_stream
+from gaitspark.streaming import latest_annotation_stream, scene_window_stream
 
 DETS = "video_id string, frame long, x1 double, y1 double, x2 double, y2 double, confidence double"
 
@@ -125,23 +125,6 @@ def test_window_stream(spark, tmp_path):
     assert got.count() > 30 and got.agg(F.max("samples")).first()[0] == 2
 
 
-def test_track_stream_closes_tracks(spark, tmp_path):
-    pts = boxes([(f, 5.0 * f, 50.0) for f in range(20)]) + boxes([(f, 5.0 * f, 400.0) for f in range(60)])
-    df = spark.createDataFrame(pts, DETS).withColumn("_part", F.least(F.floor(F.col("frame") / 20), F.lit(2)).cast("int"))
-    got = collect(track_stream(stream(spark, df, tmp_path), idle_ms=10**9), spark, "trk_t", "append", tmp_path).collect()
-    assert len(got) == 20 and {r.y for r in got} == {50.0}
-
-
-def test_two_stage_stream_is_the_batch(spark, tmp_path):
-    """Batches cut anywhere, gaps between them: the same closed tracks as over the whole video, which hands them on as they end."""
-    pts = boxes([(f, 5.0 * f, 50.0) for f in range(20)]) + boxes([(f, 5.0 * f, 400.0) for f in range(60) if f % 7]) + boxes([(f, 300 - 5.0 * f, 220.0) for f in (*range(15), *range(30, 45))])
-    df = spark.createDataFrame(pts, DETS).withColumn("_part", F.least(F.floor(F.col("frame") / 20), F.lit(2)).cast("int"))
-    got = collect(track_stream(stream(spark, df, tmp_path), idle_ms=10**9, method="two-stage"), spark, "trk_2", "append", tmp_path).collect()
-    want = T.track(df.drop("_part")).where("ended <> 'end'").collect()
-    key = lambda rows: sorted((r.track, r.frame, round(r.x, 6), round(r.y, 6), r.state, r.ended) for r in rows)
-    assert len(want) > 30 and key(got) == key(want)
-
-
 def test_long_videos_are_walked(spark):
     """More ended tracks than are held, over several videos in one task."""
     rows = [r for v in "abc" for k in range(300) for r in boxes([(12 * k, 100.0, 100.0), (12 * k + 1, 101.0, 100.0)], video=v)]
