@@ -212,12 +212,12 @@ ep0 AS (SELECT video_id, track, min(frame) AS start_frame, max(frame) AS end_fra
 eps AS (SELECT *, (end_frame - start_frame)::DOUBLE AS duration_s, n / (end_frame - start_frame + 1) AS coverage, 1 - observed / n AS filled FROM ep0 WHERE observed >= 2 AND end_frame - start_frame BETWEEN 100 AND 700 AND 1 - observed / n <= 0.5)"""
 
 
-@query(A.sql("""SELECT video_id, track, n, observed, round(duration_s, 6) AS duration_s, round(coverage, 6) AS coverage, round(filled, 6) AS filled, round(mean_confidence, 6) AS mean_confidence, round(tracking_confidence, 6) AS tracking_confidence,
+@query(A.sql("""SELECT video_id, track, n, observed, round(duration_s + 1e-9, 6) AS duration_s, round(coverage + 1e-9, 6) AS coverage, round(filled + 1e-9, 6) AS filled, round(mean_confidence + 1e-9, 6) AS mean_confidence, round(tracking_confidence + 1e-9, 6) AS tracking_confidence,
 array_to_string(list_filter([CASE WHEN coverage < 0.9 THEN 'gaps' END, CASE WHEN mean_confidence < 0.5 THEN 'faint' END, CASE WHEN ended = 'merge' THEN 'ended_by_merge' END], lambda x: x IS NOT NULL), ',') AS flags, 'ep_' || substr(sha256(video_id || '|' || track || '|' || start_frame), 1, 12) AS episode_id FROM eps""", "eps"))
 def episodes_of_tracks(spark, d):
     """P8, P9, A32."""
     e = T.episodes_of(_points(spark, d), 1.0, 100.0, 700.0)
-    return A.rounded(e.select("video_id", "track", "n", "observed", "duration_s", "coverage", "filled", "mean_confidence", "tracking_confidence", F.array_join("flags", ",").alias("flags"), "episode_id"))
+    return A.rounded(e.select("video_id", "track", "n", "observed", "duration_s", "coverage", "filled", "mean_confidence", "tracking_confidence", F.array_join("flags", ",").alias("flags"), "episode_id"), nudge=1e-9)
 
 
 @query(A.sql("SELECT video_id, count(*) AS tracks, list_sort(list(n))[count(*) // 2 + 1] AS median_length FROM (SELECT video_id, track, count(*) AS n FROM pnt GROUP BY ALL) GROUP BY 1", "pnt"))
