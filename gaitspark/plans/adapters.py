@@ -49,13 +49,21 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).groupBy("scene", "episode_id", "label", "fps").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
 
 
+def annotation_states(events: DataFrame) -> DataFrame:
+    """events with qc_state, by their type."""
+    states = {"click": "accepted", "view": "unreviewed", "purchase": "rejected", "signup": "edge_effect"}
+    kind = F.lit("too_short")
+    for event, state in states.items():
+        kind = F.when(F.col("event_type") == event, state).otherwise(kind)
+    return events.withColumn("qc_state", kind)
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as an annotation record of its user."""
     k = F.get_json_object("props", "$.k").cast("long")
-    states = F.when(F.col("event_type") == "click", "accepted").when(F.col("event_type") == "view", "unreviewed").when(F.col("event_type") == "purchase", "rejected").when(F.col("event_type") == "signup", "edge_effect").otherwise("too_short")
     label = F.when(k % 7 == 0, None).otherwise(F.element_at(F.array(*[F.lit(x) for x in BIO_LABELS]), (k % 5 + 1).cast("int")))
     seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), label.alias("human_label"), F.lit(1.0).alias("human_confidence"), states.alias("qc_state"), seq.alias("seq"))
+    return annotation_states(read(spark, sf_dir, "events")).select(F.col("user_id").alias("episode_id"), label.alias("human_label"), F.lit(1.0).alias("human_confidence"), "qc_state", seq.alias("seq"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

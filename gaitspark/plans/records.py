@@ -299,6 +299,21 @@ def stored_annotations(spark, d):
     return L.latest_annotations(files.read_annotation_log(spark, path)).select("episode_id", "human_label", "qc_state")
 
 
+@query("""SELECT episode_id::VARCHAR AS episode_id, human_label, qc_state, place - 1 AS seq FROM (SELECT *, row_number() OVER (ORDER BY batch % 3, user_id, event_id) AS place, row_number() OVER (PARTITION BY episode_id ORDER BY batch % 3 DESC, event_id DESC) AS rn FROM
+(SELECT user_id AS episode_id, user_id, event_id, event_id % 7 AS batch, CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'unreviewed' WHEN 'purchase' THEN 'rejected' WHEN 'signup' THEN 'edge_effect' ELSE 'too_short' END AS qc_state,
+CASE WHEN event_id % 2 = 0 THEN 'ant' ELSE 'siler' END AS human_label FROM events)) WHERE rn = 1""")
+def replayed_appends(spark, d):
+    """Three appends without seq, in the order of their rows; the last record of an episode wins, and says where it stands in the log."""
+    path = shared_path(spark, "appends")
+    e = A.annotation_states(A.read(spark, d, "events"))
+    for k in (0, 1, 2):
+        rows = e.where(F.col("event_id") % 7 % 3 == k).repartitionByRange("user_id", "event_id").sortWithinPartitions("user_id", "event_id")
+        label = F.when(F.col("event_id") % 2 == 0, "ant").otherwise("siler")
+        files.append_annotations(rows.select(F.col("user_id").cast("string").alias("episode_id"), label.alias("human_label"), F.lit(1.0).alias("human_confidence"), "qc_state"), path)
+    last = files.read_annotation_log(spark, path).groupBy("episode_id").agg(F.max_by(F.struct("human_label", "qc_state", "seq"), "seq").alias("r"))
+    return last.select("episode_id", "r.*")
+
+
 @query(A.sql("SELECT episode_id::VARCHAR AS episode_id, CASE WHEN episode_id % 2 = 0 THEN label END AS human_label, CASE WHEN episode_id % 2 > 0 THEN label END AS machine_label, CASE WHEN episode_id % 2 = 0 THEN 'accepted' ELSE 'unreviewed' END AS annotation_status, n FROM (SELECT episode_id, label, count(*) AS n FROM trk GROUP BY ALL)", "trk"))
 def stored_episodes(spark, d):
     """First-version episodes, written as JSON lines and migrated when read."""

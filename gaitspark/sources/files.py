@@ -11,12 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..operators.labels import validated
 from ..operators.models import Projection
 from ..operators.roles import ROLE, seed_roles
-from ..schema import ANNOTATION, EPISODE, migrate_labels
+from ..schema import EPISODE, migrate_labels
+from .log import append_annotations, exists, read_annotation_log  # noqa: F401
 
 
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:
@@ -41,34 +40,6 @@ def append_runs(rows: DataFrame, path: str, run_id: str) -> None:
     rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def read_annotation_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log's records with seq, their order in the file.
-
-    New logs carry seq. A line of an old one is numbered by where its split of the file
-    begins and its place in the split, so a log of any size is read in parallel. A
-    missing file gives no rows.
-    """
-    if not exists(spark, path):
-        return spark.createDataFrame([], T.StructType([*ANNOTATION.fields, T.StructField("seq", T.LongType())]))
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    # A split has fewer lines than bytes, so numbers of one split end before those of the next begin.
-    place = F.col("start") + F.row_number().over(W.partitionBy("file", "start").orderBy("at")) - 1
-    fields = {f.name: f for f in ANNOTATION.fields}
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in fields.items() if n != "seq") + ", seq long"
-    rows = lines.where("trim(value) <> ''").select(F.from_json("value", schema).alias("r"), place.alias("pos"))
-    return rows.select(*[F.col(f"r.{n}") for n in fields if n != "seq"], F.coalesce("r.seq", F.col("pos")).alias("seq")).where("episode_id is not null")
-
-
-def append_annotations(records: DataFrame, path: str) -> None:
-    """K3, K4: checked against the vocabulary first; the write fails as a whole on a bad record."""
-    validated(records).write.mode("append").json(path)
-
-
 def upsert_motif_annotation(old: DataFrame, new: DataFrame) -> DataFrame:
     """Latest by motif; names of 80 and notes of 500 characters at most."""
     cut = lambda d: d.select("motif", F.substring("name", 1, 80).alias("name"), F.substring("notes", 1, 500).alias("notes"), "annotator", "timestamp")
