@@ -29,8 +29,6 @@ from .common import materialize, worker_path
 
 #: Entries of a list that one task holds at once, queries that meet them at once, and rows that a task keeps before it hands on the best.
 BLOCK, ASKED, BEST = 4096, 1024, 50_000
-#: Entries that the nearest lists of a query hold together at least, replicas included: small tables are read whole.
-LEAST = 4096
 #: Nearest centroids whose mean distance the ratio refers to: a single one may be the query itself.
 NEAR = 8
 
@@ -335,7 +333,7 @@ class Index:
     entries: int
 
 
-def build_index(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", posting: int = 64, sample: int = 50_000, sample_bytes: int = 64 << 20, most_lists: int = 16_384, replicate: float = 1.25, copies: int = 4, recall: float = 0.93) -> Index | None:
+def build_index(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", posting: int = 64, sample: int = 50_000, sample_bytes: int = 64 << 20, most_lists: int = 16_384, replicate: float = 1.25, copies: int = 4, recall: float = 0.95) -> Index | None:
     """The index of rows for searches of up to k neighbours; None if no row has a usable vector.
 
     Centroids are fitted on at most ``sample`` distinct vectors (and sample_bytes), those whose
@@ -378,10 +376,10 @@ def build_index(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col
 
 
 def probes(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, q, reach, list: the lists each usable query reads, by the ratio; at least those nearest that hold LEAST entries and surely more than k different ones."""
+    """query_id, q, reach, list: the lists each usable query reads, by the ratio; at least those nearest that surely hold more than k different entries."""
     asked = clean_vectors(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).where(F.size("q") == index.width)
     ctx = queries.sparkSession.sparkContext
-    run = _probe(ctx.broadcast((index.graph, index.sizes)), index.ratio, max(LEAST, index.copies * (k + 1)))
+    run = _probe(ctx.broadcast((index.graph, index.sizes)), index.ratio, index.copies * (k + 1))
     found = asked.mapInArrow(run, "query_id long, q array<double>, reach double, lists array<long>")
     return found.select("query_id", "q", "reach", F.explode("lists").alias("list"))
 
