@@ -177,9 +177,12 @@ def fitted_ratio(sample: np.ndarray, centre: np.ndarray, k: int, recall: float,
     if len(sample) <= k + 1:
         return float("inf")
     rows = np.linspace(0, len(sample) - 1, min(asked, len(sample))).astype(np.int64)
-    d = squared(sample[rows], sample)
-    d[np.arange(len(rows)), rows] = np.inf
-    truth = np.argpartition(d, k - 1, axis=1)[:, :k]
+    truth = np.empty((len(rows), k), np.int64)
+    for at in range(0, len(rows), 32):  # so that few rows of distances stand at once
+        some = rows[at : at + 32]
+        d = squared(sample[some], sample)
+        d[np.arange(len(some)), some] = np.inf
+        truth[at : at + 32] = np.argpartition(d, k - 1, axis=1)[:, :k]
     far = np.sqrt(squared(sample[rows], centre))
     near = min(NEAR, len(centre))
     far /= np.maximum(np.partition(far, near - 1, axis=1)[:, :near].mean(1), 1e-300)[:, None]
@@ -380,7 +383,8 @@ def probes(index: Index, queries: DataFrame, k: int = 10, id_col: str = "vec_id"
     asked = clean_vectors(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).where(F.size("q") == index.width)
     ctx = queries.sparkSession.sparkContext
     run = _probe(ctx.broadcast((index.graph, index.sizes)), index.ratio, index.copies * (k + 1))
-    found = asked.mapInArrow(run, "query_id long, q array<double>, reach double, lists array<long>")
+    # Few bytes, but a search each: over all cores.
+    found = asked.repartition(ctx.defaultParallelism).mapInArrow(run, "query_id long, q array<double>, reach double, lists array<long>")
     return found.select("query_id", "q", "reach", F.explode("lists").alias("list"))
 
 
