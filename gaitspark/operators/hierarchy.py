@@ -1,14 +1,12 @@
-"""Sampling hierarchy: counts and cluster bootstrap."""
+"""Sampling hierarchy: counts and the bootstrap of a mean; bootstrap.py has other statistics."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ranked
+
 LEVELS = ("site", "session", "video")
 
 
@@ -54,39 +52,10 @@ def bootstrap_mean(episodes: DataFrame, value: str, cluster: Column, replicates:
     """
     per = episodes.withColumn("cluster", cluster).groupBy("cluster").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     size = per.agg(F.count("*").alias("k"), (F.sum("s") / F.sum("n")).alias("estimate"))
-    numbered = per.withColumn("no", F.row_number().over(W.orderBy("cluster")) - 1)
+    numbered = ranked(per, "cluster")
     k = size.first()["k"]
     draws = episodes.sparkSession.range(replicates).select(F.col("id").alias("b")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(k - 1, 0)).cast("long"))))
     draws = draws.select("b", (mixed_hash(F.col("b"), F.col("j")) % max(k, 1)).alias("no")).groupBy("b", "no").agg(F.count("*").alias("times"))
     means = draws.join(numbered, "no").groupBy("b").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
     ci = means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     return size.crossJoin(ci).select("estimate", "lo", "hi", F.col("k").alias("clusters"))
-
-
-def bootstrap(episodes: DataFrame, stat: Callable, cluster: str, replicates: int = 500, seed: int = 0) -> dict:
-    """A7, X1 for any statistic of a pandas frame: whole clusters are drawn, each replicate is computed by a task.
-
-    The statistic's input must fit in one task, as the replicate of a statistic that
-    isn't a sum has to. Draws are made where the replicates are; the driver learns the
-    number of clusters alone.
-    """
-    keys = episodes.select(cluster).distinct()
-    k = keys.count()
-    numbered = keys.withColumn("_no", F.row_number().over(W.orderBy(cluster)) - 1)
-
-    def draw(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for b in pdf["id"]:
-                yield pd.DataFrame({"_b": b, "_no": np.random.default_rng([seed, int(b)]).integers(0, max(k, 1), k)})
-
-    def one(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"m": [float(stat(pdf))]})
-
-    draws = episodes.sparkSession.range(replicates).mapInPandas(draw, "_b long, _no int").join(numbered, "_no").drop("_no")
-    per = draws.join(episodes, cluster).groupBy("_b").applyInPandas(one, "m double")
-    lo, hi = per.agg(F.percentile("m", 0.025), F.percentile("m", 0.975)).first()
-    return {"lo": lo, "hi": hi, "clusters": k, "replicates": replicates}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import effective_label, heuristic_label, label_source
+from ..operators import bootstrap as B
 from ..operators import hierarchy as H
 from ..operators import kinematics as K
 from ..operators import labels as L
@@ -234,6 +235,14 @@ def cluster_bootstrap(spark, d):
     return A.rounded(H.bootstrap_mean(A.hierarchy(spark, d), "value", F.col("session")))
 
 
+@query()
+def bootstrap_statistics(spark, d):
+    """Mean, median, 0.9 quantile and a correlation of prices, with nations drawn whole."""
+    rows = A.hierarchy(spark, d).withColumn("size", F.col("episode_id") % 1000 + F.col("value") / 1000)
+    stats = {"mean": B.Mean("value"), "median": B.Quantile("value", 0.5), "p90": B.Quantile("value", 0.9), "correlation": B.Correlation("value", "size", (150_000.0, 650.0))}
+    return A.rounded(B.bootstrap(rows, stats, "session", 200))
+
+
 _LONG = ", ".join(f"({n!r}, {n})" for n in DIMS)
 
 

@@ -9,6 +9,8 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[1])
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -45,6 +47,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, *cols: str) -> DataFrame:
+    """df with no, its rows' numbers from 0 in the order of cols, written; no task sees more than its range of the order."""
+    at = F.monotonically_increasing_id()
+    parts = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumns({"_part": F.shiftright(at, 33), "_nth": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    written = settled(parts, "ranked")
+    # One row for each part.
+    counts = written.groupBy("_part").agg(F.count("*").alias("_c"))
+    starts = counts.select("_part", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return written.join(F.broadcast(starts), "_part").withColumn("no", F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_start")
+
+
 def _clean() -> None:
     for spark, path in _WRITTEN:
         try:

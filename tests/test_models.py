@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaitspark.operators import bootstrap as B
 from gaitspark.operators import hierarchy as H
 from gaitspark.operators import models as M
 from gaitspark.operators import retrieval as R
@@ -105,11 +106,12 @@ def test_bootstrap(spark):
     assert H.auto_level(df) == "site" and H.auto_level(df.where("site = 'A'")) == "session"
     r = H.bootstrap_mean(df, "value", F.col("session")).first()
     assert r.lo < r.estimate == 4.5 < r.hi and r.clusters == 20
-    g = H.bootstrap(df, lambda p: p.value.mean(), "session", 40)
-    assert g["lo"] < 4.5 < g["hi"]
+    g = B.bootstrap(df, {"mean": B.Mean("value")}, "session", 40).first()
+    assert g.lo < 4.5 < g.hi
     assert H.counts(df).where("level = 0").first().n == 20
 
 
+
 def test_ranges_change_no_rank_and_no_distance(spark):
     """Values with ties, dimensions of very different size, an empty side."""
     r = np.random.default_rng(8)
