@@ -146,7 +146,6 @@ def _resolved_sql(source: str, base: str, link: str, out: str, name: str) -> str
   ELSE scheme_ || '://' || host_ || '/' || array_to_string(CASE WHEN string_split(to_, '/')[-1] IN ('.', '..') THEN list_append(kept_, '') ELSE kept_ END, '/') || regexp_extract({link}, '(?s)^[^?#]*(.*)$', 1) END AS {out} FROM {name}_c)"""
 
 
-_BODY = r"""(?:"[^"]*"|''[^'']*''|[^''">])*>"""
 _URL, _WHOLE, _NODE = _parts_sql("url"), _parts_sql("whole"), _parts_sql("b")
 _OP3 = rf"""
 WITH RECURSIVE p AS (
@@ -154,7 +153,8 @@ WITH RECURSIVE p AS (
 addressed AS (SELECT *, CASE WHEN spot > 0 THEN {_URL[1]} ELSE '' END AS host, CASE WHEN spot > 0 THEN {_URL[2]} ELSE '' END AS path, CASE WHEN spot > 0 THEN {_URL[3]} END AS address FROM p),
 rules(verdict, rule, rhost, rpath) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
 linking AS (SELECT url, html FROM p WHERE spot > 0 AND regexp_matches(html, '(?i)canonical|http-equiv')),
-tags AS (SELECT url, list_filter(list_transform(regexp_extract_all(html, '(?is)<base\b{_BODY}'), lambda t: {_attribute_sql("t", "href")}), lambda h: h IS NOT NULL)[1] AS base, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b{_BODY}')) AS tag FROM linking),
+tokens AS (SELECT url, list_filter(regexp_extract_all(html, '{urls.tag_pattern("''")}', 1), lambda t: t <> '') AS every FROM linking),
+tags AS (SELECT url, list_filter(list_transform(list_filter(every, lambda t: regexp_matches(t, '(?i)^<base')), lambda t: {_attribute_sql("t", "href")}), lambda h: h IS NOT NULL)[1] AS base, unnest(list_filter(every, lambda t: NOT regexp_matches(t, '(?i)^<base'))) AS tag FROM tokens),
 named AS (SELECT url, base, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches({_attribute_sql("tag", "rel")}, '(?i)(^|\s)canonical(\s|$)') THEN {_attribute_sql("tag", "href")}
   WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches({_attribute_sql("tag", "http-equiv")}, '(?i)^refresh$') THEN trim(regexp_extract({_attribute_sql("tag", "content")}, '(?is)(?:^|[;,\s])url\s*=\s*["'']?([^"'']*)', 1)) END AS link FROM tags),
 wanted AS (SELECT * FROM named WHERE link <> ''),

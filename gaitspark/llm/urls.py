@@ -74,20 +74,39 @@ def resolved(rows: DataFrame, base: str, link: str, out: str) -> DataFrame:
     return rows.withColumn(out, whole).drop("_scheme", "_host", "_path", "_to", "_rest")
 
 
+#: Elements whose content is text, or stands for nothing until a script takes it.
+INERT = ("script", "style", "template", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
+
+
+def tag_pattern(quote: str = "'", once: str = "+") -> str:
+    """A regular expression that walks a page from tag to tag, with its links, metas and bases as group 1.
+
+    Comments and inert elements are one step each, to their end or the page's, and so is any other
+    tag with its quoted values, so that nothing in them counts as a tag. quote: how the
+    language around writes a single quote; once: + or ++, where engines go back over what they took.
+    """
+    body = f'(?:"[^"]*"|{quote}[^{quote}]*{quote}|[^{quote}">]{once})*>'
+    inert = "|".join(rf"<{e}(?:[\s/]{body}|>).*?(?:</{e}|\z)" for e in INERT)
+    return rf"(?is)<!--.*?(?:-->|\z)|{inert}|(<(?:link|meta|base)[\s/]{body})|<[a-z/]{body}"
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
     """(u, v): addresses joined by a canonical link or a refresh redirect in the page's html.
 
+    What stands in comments, scripts, styles, templates and text, or in a quoted value of
+    another tag, is no link.
+
     Pages without either give no row. canonical may stand anywhere in rel. Relative
     links are resolved against the href of the first <base> that has one, itself
     resolved against the page's url, or against that url; those with a scheme but no
     :// (mailto:) are left out, and such a base counts as none.
     """
     html, tag = F.col("html"), F.col("tag")
-    body = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>)"
     pages = pages.select("url", "html").where(html.rlike("(?i)canonical|http-equiv") & (F.instr("url", "://") > 0))
-    base = F.regexp_extract_all(html, F.lit(rf"(?is)(<base\b{body}"), F.lit(1))
-    hrefs = F.filter(F.transform(base, lambda t: attribute(t, "href")), lambda h: h.isNotNull())
-    tags = pages.select("url", F.get(hrefs, F.lit(0)).alias("base"), F.explode(F.regexp_extract_all(html, F.lit(rf"(?is)(<(?:link|meta)\b{body}"), F.lit(1))).alias("tag"))
+    pages = pages.select("url", F.filter(F.regexp_extract_all(html, F.lit(tag_pattern(once="++")), F.lit(1)), lambda t: t != "").alias("tags"))
+    is_base = lambda t: t.rlike(r"(?i)^<base")
+    hrefs = F.filter(F.transform(F.filter("tags", is_base), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+    tags = pages.select("url", F.get(hrefs, F.lit(0)).alias("base"), F.explode(F.filter("tags", lambda t: ~is_base(t))).alias("tag"))
     canonical = F.when(tag.rlike(r"(?i)^<link") & attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), attribute(tag, "href"))
     content = F.regexp_extract(attribute(tag, "content"), r"(?is)(?:^|[;,\s])url\s*=\s*[\"']?([^\"']*)", 1)
     refresh = F.when(tag.rlike(r"(?i)^<meta") & attribute(tag, "http-equiv").rlike(r"(?i)^refresh$"), F.trim(content))
@@ -128,6 +147,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     known = judged.groupBy("component").agg(F.max("fit.allow").alias("component_allow"), F.count("*").alias("n")).where("component_allow is not null")
     known = spread_join(groups, known, "component", "n", groups.count()).select(F.col("node").alias("address"), "component_allow")
     out = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), address_of(F.col("url")).alias("address"))
-    out = out.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).join(known, "address", "left")
+    out = out.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    # Rows without an address have no key to be joined by.
+    none = out.where("address is null").withColumn("component_allow", F.lit(None).cast("boolean"))
+    out = out.where("address is not null").join(known, "address", "left").unionByName(none)
     allow = F.coalesce("fit.allow", "component_allow", F.lit(True))
     return out.select("page_id", "url", "host", "path", F.col("fit.rule").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"))

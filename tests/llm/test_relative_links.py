@@ -36,6 +36,28 @@ def test_decisions_follow_relative_links(spark):
     assert got == {0: "block", 1: "block", 2: "block", 3: "allow"}
 
 
+BAD = '<link rel="canonical" href="https://bad.net/">'
+INERT = [
+    f"<!-- {BAD} -->", f"<!-- {BAD}", f'<script>var x = "{BAD}";</script>', f"<SCRIPT type='a>b'> {BAD} </Script >", f"<style>{BAD}</style>", f"<template>{BAD}</template>", f"<textarea>{BAD}", f"<title>{BAD}</title>",
+    f"<a title='{BAD}'>x</a>", f'<!-- a --><!-- <base href="https://bad.net/x/"> --><link rel=canonical href="0">', "<script></script><link-x rel=canonical href=https://bad.net/>",
+]
+LIVE = [f"<!-- a -->{BAD}", f"<title-x>{BAD}", f"<script src=x></script>{BAD}", f"<noscript>{BAD}</noscript>", f"<p a='>'>{BAD}", f"<title></title>{BAD}<!--"]
+
+
+def test_what_is_no_tag_links_nothing(spark):
+    """Comments, scripts and values of other tags hold no links, and what follows them does."""
+    pages = linked(spark, [(f"https://c.org/{i}", html) for i, html in enumerate([*INERT, *LIVE])])
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, queries.RULES).collect()}
+    assert [got[i] for i in range(len(got))] == ["allow"] * len(INERT) + ["block"] * len(LIVE)
+
+
+def test_long_and_open_tags(spark):
+    long = "a" * 200_000
+    rows = [("https://l.org/1", f"<link data-x={long} rel=canonical href=https://bad.net/>"), ("https://l.org/2", f"<p {long} {BAD}"), ("https://l.org/3", "<p " * 20_000 + BAD), ("https://l.org/4", f"<div x='{long}'>" + BAD)]
+    got = {r["u"] for r in urls.alias_links(linked(spark, rows)).collect()}
+    assert {"https://l.org/1", "https://l.org/4"} <= got
+
+
 def chained(spark):
     """Pages with chains of canonical links and redirects of all forms, to allowed, blocked and unknown ends."""
     rows = []
@@ -49,7 +71,7 @@ def chained(spark):
     rows += [
         ("https://b.org/p/1", '<base target="_top"><base href="https://bad.net/q/"><link rel=canonical href="z">'), ("https://b.org/p/2", '<base href="/r/"><link rel=canonical href="z?a=1&amp;b=2">'), ("https://b.org/r/z?a=1&b=2", '<link rel=canonical href="//bad.net/">'),
         ("https://b.org/p/3", '<base href="mailto:x"><link rel=canonical href="1">'), ("https://b.org/p/4", '<link rel=canonical data-href="https://bad.net/" href="?q=1">'), ("https://b.org/p/4?q=1", '<meta http-equiv=refresh content="5">'),
-        ("https://b.org/p/5", '<link rel="canonical" href="a b/../c d">'), ("https://b.org/p/c d", '<link rel="canonical" href="https://bad.net/y">'), ("https://b.org", '<link rel="canonical" href="..">'), (None, None), ("x", "canonical"), ("https://example.net/en/ok", None), ("https://BAD.net/x", ""),
+        ("https://b.org/p/5", '<link rel="canonical" href="a b/../c d">'), ("https://b.org/p/c d", '<link rel="canonical" href="https://bad.net/y">'), ("https://b.org", '<link rel="canonical" href="..">'), *((f"https://c.org/{i}", html) for i, html in enumerate(INERT)), (None, None), ("x", "canonical"), ("https://example.net/en/ok", None), ("https://BAD.net/x", ""),
     ]
     return linked(spark, rows)
 
