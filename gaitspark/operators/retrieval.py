@@ -61,6 +61,35 @@ def knn(queries: DataFrame, index: DataFrame, k: int = K, metric: str = "euclide
     return ranked.select("query_id", "rank", "id", "dist", similarity(F.col("dist")).alias("similarity"))
 
 
+#: Rows that a query takes beyond what it needs, so that repeated ids can leave; with more repeats, pairs are summed up by id instead.
+MOST_FETCHED = 1_000
+
+
+def knn_distinct(queries: DataFrame, index: DataFrame, k: int = K, metric: str = "euclidean", exclude: DataFrame | None = None, exclude_self: bool = True) -> DataFrame:
+    """knn() with an exclusion set, each id once: query_id, rank, id, dist, similarity.
+
+    An id may stand on many index rows; the nearest of them counts. exclude has the ids that are no
+    answer: a column id, for all queries, or query_id and id, for one; null ids exclude nothing.
+    Of k ids of at most m rows each, the k * m nearest rows hold all, so so many are
+    ranked before repeats leave. All ids get their rank: none is lost to a repeat.
+    """
+    dist = {"euclidean": euclidean, "cosine": cosine_distance}[metric]
+    rows = index.select("id", "z")
+    own = exclude is not None and "query_id" in exclude.columns
+    if exclude is not None and not own:
+        rows = rows.join(exclude.select("id").where("id is not null").distinct(), "id", "left_anti")
+    most = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    pairs = against(rows, queries, exclude_self).select("query_id", "id", dist(F.col("qz"), F.col("z")).alias("dist"))
+    if own:
+        pairs = pairs.join(exclude.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
+    if k * most <= MOST_FETCHED:
+        nearest = W.partitionBy("query_id").orderBy("dist", "id")
+        pairs = pairs.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k * most)
+    once = pairs.groupBy("query_id", "id").agg(F.min("dist").alias("dist"))
+    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", "dist", similarity(F.col("dist")).alias("similarity"))
+
+
 def _id_kind(index: DataFrame) -> str:
     return index.schema["id"].dataType.simpleString()
 
@@ -224,6 +253,12 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("query_id", (F.size(F.array_intersect("ia", "ib")) / F.size(F.array_union("ia", "ib"))).alias("jaccard"))
 
 
+def agreement_inside(a: DataFrame, b: DataFrame, flags_a: DataFrame, flags_b: DataFrame) -> DataFrame:
+    """agreement() of two representations, over the queries that neither finds novel (query_id, ood): what lies outside has no neighbours to agree on."""
+    inside = flags_a.where("not ood").select("query_id").join(flags_b.where("not ood").select("query_id"), "query_id", "left_semi")
+    return agreement(a, b).join(inside, "query_id", "left_semi")
+
+
 def kept_share(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Share of the k neighbours that stay after augmentation."""
     both = a.select("query_id", "id").join(b.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("n"))

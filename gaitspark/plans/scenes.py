@@ -146,6 +146,16 @@ def knn_cosine(spark, d):
     return A.rounded(R.knn(*_split(spark, d), 6, "cosine"))
 
 
+@query(f"""WITH {_Q},
+kx AS (SELECT q.id AS query_id, ix.id // 3 AS id, min({_EU.format(a='q.z', b='ix.z')}) AS dist FROM q, ix WHERE (ix.id // 3) % 7 <> 0 AND ix.id // 3 <> q.id GROUP BY ALL)
+SELECT query_id, rank, id, round(dist, 6) AS dist, round(exp(-dist / 3), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id)::INT AS rank FROM kx) WHERE rank <= 6""")
+def knn_excluded(spark, d):
+    """Three vectors share an id, and every seventh id is no answer."""
+    q, ix = _split(spark, d)
+    ix = ix.withColumn("id", F.floor(F.col("id") / 3))
+    return A.rounded(R.knn_distinct(q, ix, 6, exclude=ix.where("id % 7 = 0").select("id")))
+
+
 _ALL = A.SQL["vec"] + f",\nad AS (SELECT a.id AS query_id, b.id AS id, {_EU.format(a='a.z', b='b.z')} AS dist FROM vec a, vec b WHERE a.id <> b.id)"
 
 
@@ -228,6 +238,21 @@ def neighbor_jaccard(spark, d):
     return A.rounded(R.agreement(R.knn(q, ix, 6), R.knn(half(q), half(ix), 6)))
 
 
+def _hull_sql(name: str, z: str) -> str:
+    """in_<name>: queries nearer to the index than 95 % of its own rows are to one another."""
+    d = _EU.format(a=f"a.{z}", b=f"b.{z}")
+    return f"""{name}_nn AS (SELECT a.id, min({d}) AS d FROM vec a, vec b WHERE a.id <> b.id GROUP BY a.id),
+in_{name} AS (SELECT id AS query_id FROM {name}_nn WHERE id % 50 = 0 AND d <= (SELECT quantile_cont(d, 0.95) FROM {name}_nn)),
+{name}_hit AS (SELECT query_id, list(id) AS l FROM (SELECT a.id AS query_id, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {d}, b.id) AS rank FROM vec a, vec b WHERE a.id % 50 = 0 AND a.id <> b.id) WHERE rank <= 6 GROUP BY 1)"""
+
+
+@query(f"WITH {A.SQL['vec']}, {_hull_sql('whole', 'z')}, {_hull_sql('half', 'z[1:32]')}\nSELECT a.query_id, round(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))), 6) AS jaccard FROM whole_hit a JOIN half_hit b USING (query_id) WHERE query_id IN (FROM in_whole) AND query_id IN (FROM in_half)")
+def agreement_inside(spark, d):
+    """The whole vectors against their first halves, where neither finds a query novel."""
+    whole, half = _split(spark, d), [t.withColumn("z", F.slice("z", 1, 32)) for t in _split(spark, d)]
+    return A.rounded(R.agreement_inside(R.knn(*whole, 6), R.knn(*half, 6), R.ood_flags(*whole), R.ood_flags(*half)))
+
+
 @query(f"WITH {_ALL}, hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM ad) WHERE rank <= 8), s AS (SELECT grp, count(*) AS n FROM vec GROUP BY 1)\nSELECT round(avg(CASE WHEN query_id % 20 = id % 20 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS share, (SELECT round(sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)), 6) FROM s) AS chance FROM hit")
 def same_video_fraction(spark, d):
     """A27."""

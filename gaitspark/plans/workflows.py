@@ -82,19 +82,30 @@ def build_reference(episodes: DataFrame, features: DataFrame, policy: str = "not
     }
 
 
-def find_similar(reference: dict, queries: DataFrame, k: int = 6, min_duration: float = 3.0, metric: str = "euclidean") -> dict[str, DataFrame]:
-    """Screened queries (features with coverage), their neighbours, motifs, taxa, novelty and the breakdown against each one's best hit."""
+def find_similar(reference: dict, queries: DataFrame, k: int = 6, min_duration: float = 3.0, metric: str = "euclidean", exclude: DataFrame | None = None, second: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Screened queries (features with coverage), their neighbours, motifs, taxa, novelty and the breakdown against each one's best hit.
+
+    exclude: ids that are no answer. second: queries and index (id, z) in another
+    representation; it gives neighbours and novelty of its own, and the agreement of both over the
+    queries that neither finds novel.
+    """
     screened = labels.screen_queries(queries, min_duration)
     used = screened.where("used")
     coded = kinematics.feature_matrix(used).select(F.col("episode_id").alias("id"), reference["encoder"].transform(F.col("z")).alias("z"))
     index = reference["entries"]
-    hits = retrieval.knn(coded, index, k, metric)
+    hits = retrieval.knn_distinct(coded, index, k, metric, exclude)
+    novelty = retrieval.ood_flags(coded, index, metric)
     best = hits.where(F.col("rank") == 1).select(F.col("query_id").alias("pair_id"), "id")
     a = used.select(F.col("episode_id").alias("pair_id"), *[F.col(f).alias(f"a_{f}") for f in FEATURES])
     b = reference["features"].select(F.col("episode_id").alias("id"), *[F.col(f).alias(f"b_{f}") for f in FEATURES])
     broken = retrieval.similarity_breakdown(a.join(best, "pair_id").join(b, "id"), reference["spread"], GROUPS)
-    return {
-        "screened": screened, "hits": hits, "motifs": retrieval.motif_hits(coded, reference["motifs"]), "taxa": retrieval.taxa_ranking(coded, index), "novelty": retrieval.ood_flags(coded, index, metric),
+    other = {}
+    if second:
+        own = second[0].join(coded.select("id"), "id", "left_semi")
+        hits_b, novelty_b = retrieval.knn_distinct(own, second[1], k, metric, exclude), retrieval.ood_flags(own, second[1], metric)
+        other = {"second_hits": hits_b, "second_novelty": novelty_b, "agreement": retrieval.agreement_inside(hits, hits_b, novelty, novelty_b)}
+    return other | {
+        "screened": screened, "hits": hits, "motifs": retrieval.motif_hits(coded, reference["motifs"]), "taxa": retrieval.taxa_ranking(coded, index), "novelty": novelty,
         "breakdown": broken.withColumn("level", similarity_level(F.col("mean_diff"))), "center": retrieval.cloud_center(coded),
     }
 
