@@ -69,13 +69,24 @@ def permutation_contrast(rows: DataFrame, keys: list[str], value: str = "value",
     return real.join(p, keys, "left")
 
 
-def running(per: DataFrame, keys: list[str], value: str, columns: list[str], ranges: int = 1) -> DataFrame:
+#: Different values of a key that one task may sort, about.
+SORTED = 1_000_000
+
+
+def stretches(per: DataFrame, keys: list[str]) -> int:
+    """How many ranges running() needs, so that no task sorts many more values of a key than SORTED: from the largest key's count of rows in per."""
+    most = per.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return -(-most // SORTED)
+
+
+def running(per: DataFrame, keys: list[str], value: str, columns: list[str], ranges: int | None = None) -> DataFrame:
     """per (one row for each of keys and value) with, for each of columns, its sum over smaller values as before_<name> and over all values as total_<name>, and the next value as _next.
 
-    With ranges the values of a key are cut there into so many stretches, each summed up
+    With more than one range the values of a key are cut there into so many stretches, each summed up
     by a task of its own, so that no task holds a key: sums of whole stretches are few.
+    None takes as many as the largest key needs.
     """
-    by = W.partitionBy(*keys)
+    by, ranges = W.partitionBy(*keys), stretches(per, keys) if ranges is None else ranges
     if ranges <= 1:
         run = by.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
         sums = {f"before_{c}": F.coalesce(F.sum(c).over(run), F.lit(0)) for c in columns} | {f"total_{c}": F.sum(c).over(by) for c in columns}
@@ -91,7 +102,7 @@ def running(per: DataFrame, keys: list[str], value: str, columns: list[str], ran
     return rows.drop("_range", "_after", *[f"_ahead_{c}" for c in columns])
 
 
-def rank_sums(rows: DataFrame, keys: list[str], value: str = "value", side: str = "side", ranges: int = 1) -> DataFrame:
+def rank_sums(rows: DataFrame, keys: list[str], value: str = "value", side: str = "side", ranges: int | None = None) -> DataFrame:
     """Mann-Whitney U of side a, by average ranks, and the sum of t^3 - t over ties. ranges: see running()."""
     per = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(F.col(side) == "a").alias("a"), F.count("*").alias("t"))
     ranked = running(per, keys, value, ["t"], ranges).withColumn("rank", F.col("before_t") + (F.col("t") + 1) / 2)
@@ -135,7 +146,7 @@ def mann_whitney(rows: DataFrame, keys: list[str], **kw) -> DataFrame:
     return got.mapInPandas(p, f"{kinds}, p_value double")
 
 
-def wasserstein(rows: DataFrame, keys: list[str], value: str = "value", side: str = "side", ranges: int = 1) -> DataFrame:
+def wasserstein(rows: DataFrame, keys: list[str], value: str = "value", side: str = "side", ranges: int | None = None) -> DataFrame:
     """One-dimensional transport distance between sides a and b, by the gap of their distribution functions. ranges: see running()."""
     per = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(F.col(side) == "a").alias("a"), F.count_if(F.col(side) != "a").alias("b"))
     share = lambda c: F.try_divide(F.col(f"before_{c}") + F.col(c), F.col(f"total_{c}"))

@@ -459,10 +459,13 @@ def quality_gate(frames: DataFrame, dets: DataFrame, episodes: DataFrame, fps: f
 
 
 def run_stats(points: DataFrame) -> DataFrame:
-    """Tracks of each video and the upper median of their lengths."""
+    """Tracks of each video and the upper median of their lengths, from how many tracks have each length."""
     n = points.groupBy("video_id", "track").agg(F.count("*").alias("n"))
-    s = n.groupBy("video_id").agg(F.count("*").alias("tracks"), F.sort_array(F.collect_list("n")).alias("s"))
-    return s.select("video_id", "tracks", F.element_at("s", (F.size("s") / 2).cast("int") + 1).alias("median_length"))
+    per = n.groupBy("video_id", "n").agg(F.count("*").alias("t"))
+    by = W.partitionBy("video_id")
+    upto = per.withColumns({"upto": F.sum("t").over(by.orderBy("n").rowsBetween(W.unboundedPreceding, 0)), "tracks": F.sum("t").over(by)})
+    middle = F.floor(F.col("tracks") / 2)
+    return upto.groupBy("video_id", "tracks").agg(F.min(F.when(F.col("upto") > middle, F.col("n"))).alias("median_length"))
 
 
 # --- ground truth -------------------------------------------------------------

@@ -60,3 +60,9 @@ def test_costs_within_the_gate(spark):
     got = {(r.track, r.detection): r.cost for r in AS.gated_costs(tracks, dets).collect()}
     assert got == {(1, 7): 0.0, (1, 8): 60.0, (2, 8): 130.0}
     assert AS.gated_costs(tracks, dets.withColumn("extra", F.lit(1))).columns == ["video_id", "frame", "track", "detection", "cost"]
+
+
+def test_upper_median_of_lengths(spark):
+    rows = [("v", t, f) for t, n in enumerate([1, 4, 4, 9]) for f in range(n)] + [("w", t, f) for t, n in enumerate([5, 1, 2]) for f in range(n)] + [("x", 0, 0)]
+    got = {r.video_id: (r.tracks, r.median_length) for r in T.run_stats(spark.createDataFrame(rows, "video_id string, track long, frame long")).collect()}
+    assert got == {"v": (4, 4), "w": (3, 2), "x": (1, 1)}

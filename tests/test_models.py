@@ -120,3 +120,14 @@ def test_ranges_change_no_rank_and_no_distance(spark):
     for f in (S.rank_sums, S.wasserstein):
         a, b = ({x["dim"]: tuple(x)[1:] for x in f(df, ["dim"], ranges=n).collect()} for n in (1, 7))
         assert a.keys() == b.keys() and all(np.allclose(np.array(a[k], float), np.array(b[k], float)) for k in a)
+
+
+def test_the_largest_key_chooses_the_ranges(spark, monkeypatch):
+    rows = [("big", "ab"[i % 2], float(i * 7 % 40)) for i in range(90)] + [("small", "a", 1.0), ("small", "b", 2.0)]
+    df = spark.createDataFrame(rows, "dim string, side string, value double")
+    one = {f: sorted(map(str, f(df, ["dim"]).collect())) for f in (S.rank_sums, S.wasserstein)}
+    monkeypatch.setattr(S, "SORTED", 9)
+    assert S.stretches(df.groupBy("dim", "value").count(), ["dim"]) == 5
+    round_ = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for f in one:
+        assert round_(f(df, ["dim"])) == round_(f(df, ["dim"], ranges=1))
