@@ -122,19 +122,50 @@ def centroids(assigned: DataFrame, z: str = "z") -> DataFrame:
     return long.groupBy("motif").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("c"))
 
 
-def kmeans(rows: DataFrame, k: int, iterations: int = 100, seed: int = 0, z: str = "z") -> tuple[np.ndarray, int]:
+def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return ((x**2).sum(1)[:, None] - 2 * x @ centre.T + (centre**2).sum(1)[None]).argmin(1)
+
+
+def _in_one_task(vectors: DataFrame, centre: np.ndarray, iterations: int) -> tuple[np.ndarray, int]:
+    """All iterations of kmeans() in the one task that holds the vectors."""
+    width = centre.shape[1]
+
+    def run(batches):
+        import pyarrow as pa
+
+        parts = [np.asarray(b.column("z").flatten()).reshape(len(b), -1) for b in batches if len(b)]
+        x, now, rounds = np.concatenate(parts), centre, iterations
+        for it in range(iterations):
+            near, total = _nearest(x, now), np.zeros_like(now)
+            np.add.at(total, near, x)
+            count = np.bincount(near, minlength=len(now))
+            new = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], now)
+            if np.array_equal(new, now):
+                rounds = it + 1
+                break
+            now = new
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(now), dtype=np.int32)), pa.array(now.tolist(), pa.list_(pa.float64())), pa.array(np.full(len(now), rounds, np.int32))], ["motif", "c", "rounds"])
+
+    got = sorted(vectors.mapInArrow(run, "motif int, c array<double>, rounds int").collect())
+    return np.array([r["c"] for r in got]).reshape(-1, width), got[0]["rounds"]
+
+
+def kmeans(rows: DataFrame, k: int, iterations: int = 100, seed: int = 0, z: str = "z", task_bytes: int = 32 << 20) -> tuple[np.ndarray, int]:
     """M4: Lloyd's centres from k distinct rows; an empty cluster keeps its centre; stops early at a fixed point.
 
-    rows is read once an iteration, so it should be a written table, see settled(). Each
-    task gives one row of sums for each centre.
+    rows is read once an iteration, so it should be a written table, see settled(). There are as
+    few tasks as hold task_bytes of vectors each, and a task gives one row of sums for each
+    centre; where a single one holds all, it runs all iterations.
     """
     start = rows.select(z).distinct().orderBy(F.xxhash64(F.col(z), F.lit(seed)), z).limit(k).collect()
     centre = np.array([r[0] for r in start], np.float64)
     if not len(centre):
         return centre, 0
     sc, width = rows.sparkSession.sparkContext, centre.shape[1]
-    # As few tasks as hold 32 MB of vectors each: with a single one an iteration has no shuffle.
-    vectors = rows.select(F.col(z).alias("z")).coalesce(max(1, -(-rows.count() * width * 8 // (32 << 20))))
+    tasks = max(1, -(-rows.count() * width * 8 // task_bytes))
+    vectors = rows.select(F.col(z).alias("z")).coalesce(tasks)
+    if tasks == 1:
+        return _in_one_task(vectors, centre, iterations)
     for it in range(iterations):
         c = sc.broadcast(centre)
 
@@ -146,7 +177,7 @@ def kmeans(rows: DataFrame, k: int, iterations: int = 100, seed: int = 0, z: str
             for batch in batches:
                 if len(batch):
                     x = np.asarray(batch.column("z").flatten()).reshape(len(batch), -1)
-                    near = ((x**2).sum(1)[:, None] - 2 * x @ m.T + (m**2).sum(1)[None]).argmin(1)
+                    near = _nearest(x, m)
                     np.add.at(total, near, x)
                     count += np.bincount(near, minlength=len(m))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(m), dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(count)], ["motif", "s", "n"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .hierarchy import mixed_hash
+from .permutation import permutation_contrast  # noqa: F401
 
 BINS = 24
 
@@ -49,26 +49,6 @@ def fingerprint(features: DataFrame, dims: tuple[str, ...], label: str = "label"
     return out.join(flat.where("r >= 1e-12").drop("r"), "dim", "left_semi")
 
 
-def permutation_contrast(rows: DataFrame, keys: list[str], value: str = "value", side: str = "side", order: str = "id", shuffles: int = 200) -> DataFrame:
-    """A17 with arithmetic shuffles: medians, difference, null envelope and p of side a against side b, for each of keys.
-
-    In a shuffle rows are ordered by a hash of (shuffle, row number) and the first n_a
-    of them stand for side a. p = (nulls at least as extreme + 1) / (shuffles + 1). One
-    plan for all shuffles: rows times shuffles, partitioned by (keys, shuffle).
-    """
-    by = W.partitionBy(*keys)
-    r = rows.where(F.col(value).isNotNull()).withColumns({"j": F.row_number().over(by.orderBy(order)) - 1, "n_a": F.count_if(F.col(side) == "a").over(by), "n": F.count("*").over(by)})
-    real = r.groupBy(*keys).agg(
-        F.first("n_a").alias("n_a"), (F.first("n") - F.first("n_a")).alias("n_b"), F.percentile(F.when(F.col(side) == "a", F.col(value)), 0.5).alias("median_a"), F.percentile(F.when(F.col(side) != "a", F.col(value)), 0.5).alias("median_b"),
-    ).withColumn("diff", F.col("median_a") - F.col("median_b"))
-    x = r.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1)))).withColumn("h", mixed_hash(F.col("b").cast("long"), F.col("j").cast("long")))
-    x = x.withColumn("first", F.row_number().over(W.partitionBy(*keys, "b").orderBy("h", "j")) <= F.col("n_a"))
-    null = x.groupBy(*keys, "b").agg((F.percentile(F.when(F.col("first"), F.col(value)), 0.5) - F.percentile(F.when(~F.col("first"), F.col(value)), 0.5)).alias("d"))
-    tested = null.join(real.select(*keys, "diff"), keys)
-    p = tested.groupBy(*keys).agg(F.percentile("d", 0.025).alias("null_lo"), F.percentile("d", 0.975).alias("null_hi"), ((F.count_if(F.abs("d") >= F.abs("diff") - 1e-12) + 1) / (shuffles + 1)).alias("p_perm"))
-    return real.join(p, keys, "left")
-
-
 #: Different values of a key that one task may sort, about.
 SORTED = 1_000_000
 
