@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_package
-from . import matches, motion, records, scenes, streams
+from . import documents, matches, motion, records, scenes, streams
 
 
 def _shared(query):
@@ -21,8 +21,8 @@ def _shared(query):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _shared(f) for name, f in (motion.QUERIES | scenes.QUERIES | records.QUERIES | streams.QUERIES | matches.QUERIES).items()}
+    return {name: _shared(f) for name, f in (motion.QUERIES | scenes.QUERIES | records.QUERIES | streams.QUERIES | matches.QUERIES | documents.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return motion.ORACLES | scenes.ORACLES | records.ORACLES | streams.ORACLES | matches.ORACLES
+    return motion.ORACLES | scenes.ORACLES | records.ORACLES | streams.ORACLES | matches.ORACLES | documents.ORACLES

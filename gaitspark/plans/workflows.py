@@ -1,7 +1,8 @@
 """The engine's entry points: analyse a run, interactions, build a reference, find similar, evaluate.
 
 Each returns a dictionary of DataFrames; nothing is computed before they are used,
-but for the model fits, and nothing is written but by the functions in sources.
+but for the model fits, and nothing is written but by the functions in sources;
+bundles.save_frames() keeps such a dictionary as one bundle and load_frames() gives it back.
 """
 
 from __future__ import annotations

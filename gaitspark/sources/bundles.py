@@ -25,9 +25,10 @@ from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..session import share_package
+from ..session import settled, share_package
 
 SCHEMA = "section string, key string, place long, body string"
 BUDGET = 25_000_000
@@ -256,3 +257,33 @@ def read_bundle(spark: SparkSession, path: str, section: str | None = None, key:
 def unpacked(rows: DataFrame, fields: str) -> DataFrame:
     """Rows of a section with their bodies' fields as columns."""
     return rows.select("key", "place", F.from_json("body", fields).alias("_b")).select("key", "place", "_b.*")
+
+
+def save_frames(frames: dict[str, DataFrame], path: str, document: tuple[str, ...] = (), budget: int = BUDGET) -> None:
+    """The frames of a result as a new version of a bundle, their rows looked up by their first column.
+
+    Frames named in document, of equal rows in any order, go there as long as their measured size
+    fits the budget, in the order named; what does not fit is kept as parts like all others, and nothing is cut.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    rows = None
+    for name, frame in frames.items():
+        one = section(name, frame.withColumn("_key", F.coalesce(F.col(frame.columns[0]).cast("string"), F.lit(""))), "_key", body=F.to_json(F.struct(*frame.columns), {"ignoreNullFields": "false"}))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = settled(rows, "bundle")
+    columns = spark.createDataFrame([("columns", n, 0, f.schema.json()) for n, f in frames.items()], SCHEMA)
+    # Quotes, commas and the names around a row.
+    sizes = rows.where(F.col("section").isin(*document)).groupBy("section").agg(F.sum(F.octet_length("body") + F.octet_length("key") + F.octet_length("section") + 40).alias("n"))
+    size = {r["section"]: r["n"] for r in sizes.collect()}
+    room, small = budget - sum(len(f.schema.json()) + 100 for f in frames.values()), []
+    for name in document:
+        if size.get(name, 0) <= room:
+            room -= size.get(name, 0)
+            small.append(name)
+    write_bundle(rows.unionByName(columns), path, tuple(n for n in frames if n not in small), budget)
+
+
+def load_frames(spark: SparkSession, path: str, version: str | None = None) -> dict[str, DataFrame]:
+    """What save_frames() was given, with its types; each frame reads its own section. Empty where there is no version."""
+    found = {r["key"]: T.StructType.fromJson(json.loads(r["body"])) for r in read_bundle(spark, path, "columns", version=version).collect()}
+    return {n: read_bundle(spark, path, n, version=version).select(F.from_json("body", kind).alias("_b")).select("_b.*") for n, kind in found.items()}

@@ -86,3 +86,27 @@ def test_sections(spark):
     assert (r["section"], r["key"], r["place"], json.loads(r["body"])) == ("hits", "q", 1, {"dist": 0.5, "label": None})
     (u,) = B.unpacked(B.section("hits", df, "id", "rank"), "dist double, label string").collect()
     assert tuple(u) == ("q", 1, 0.5, None)
+
+
+def test_frames_come_back_with_their_types(spark, tmp_path):
+    path = str(tmp_path / "b")
+    assert B.load_frames(spark, path) == {}
+    hits = spark.createDataFrame([(5, 1, 0.1, ["x", None]), (5, 2, float("nan"), []), (None, 1, None, None)], "query_id long, rank int, dist double, why array<string>")
+    frames = {"hits": hits, "none": hits.limit(0), "about": spark.createDataFrame([("k", "6")], "name string, value string"), "twice": spark.createDataFrame([("a",), ("a",)], "v string")}
+    for document in ((), tuple(frames), ("about",)):
+        B.save_frames(frames, path, document)
+        got = B.load_frames(spark, path)
+        assert set(got) == set(frames)
+        for name, frame in frames.items():
+            assert [(f.name, f.dataType) for f in got[name].schema] == [(f.name, f.dataType) for f in frame.schema]
+            assert sorted(map(str, got[name].collect())) == sorted(map(str, frame.collect()))
+
+
+def test_what_does_not_fit_the_document_is_kept_as_parts(spark, tmp_path):
+    path = str(tmp_path / "b")
+    big = spark.range(2000).select(F.format_string("e%04d", "id").alias("key"), F.repeat(F.lit("x"), 20).alias("v"))
+    B.save_frames({"small": big.limit(3), "big": big}, path, ("small", "big"), budget=20_000)
+    (version,) = B.versions(path)
+    document = json.loads((tmp_path / "b" / version / "document.json").read_text())
+    assert set(document) == {"small", "columns"} and len(document["small"]) == 3
+    assert B.load_frames(spark, path)["big"].count() == 2000

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gaitspark.operators import kinematics
 from gaitspark.plans import workflows as X
-from gaitspark.sources import synthetic_tracks
+from gaitspark.sources import bundles, synthetic_tracks
 
 
 @pytest.fixture(scope="module")
@@ -31,12 +31,16 @@ def test_interact(world):
     assert out["pairs"].count() == 2 * 90 and out["context"].count() == 20 and out["windows"].count() == 6
 
 
-def test_reference_and_queries(world):
+def test_reference_and_queries(world, spark, tmp_path):
     ref = X.build_reference(world[2], world[1], min_duration=1.0, dim=4, k=3)
     assert ref["entries"].count() == 20
     queries = world[1].where("episode_id < 3").withColumn("coverage", F.lit(1.0))
     out = X.find_similar(ref, queries, 4, 1.0)
     assert out["hits"].count() == 12 and out["taxa"].count() == 2 and out["breakdown"].count() == 15 and out["novelty"].count() == 3 and out["motifs"].count() == 9
+    bundles.save_frames(out, str(tmp_path / "query"), ("taxa", "center"))
+    got = bundles.load_frames(spark, str(tmp_path / "query"))
+    for name, frame in out.items():
+        assert sorted(map(str, got[name].collect())) == sorted(map(str, frame.collect())), name
 
 
 def test_rotation_keeps_neighbors(world):
