@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .wide import leading
+
 
 @dataclass
 class Projection:
@@ -67,8 +69,20 @@ def moments(rows: DataFrame, z: str = "z") -> tuple[int, np.ndarray, np.ndarray]
     return n, s, g
 
 
-def fit_pca(rows: DataFrame, dim: int, z: str = "z") -> Projection:
-    """Standardise by population spread (+ 1e-9) and take the leading components; their largest loading is positive."""
+#: Dimensions whose cross products are summed up in full.
+NARROW = 256
+
+
+def fit_pca(rows: DataFrame, dim: int, z: str = "z", narrow: int = NARROW) -> Projection:
+    """Standardise by population spread (+ 1e-9) and take the leading components; their largest loading is positive.
+
+    Wider vectors than narrow go to wide.leading(), which makes no matrix of cross products.
+    Null vectors take no part; no rows give no components.
+    """
+    rows = rows.where(F.col(z).isNotNull())
+    first = rows.select(F.size(z).alias("d")).first()
+    if first is None or first["d"] > narrow:
+        return Projection(*leading(rows, dim, z))
     n, s, g = moments(rows, z)
     mean = s / max(n, 1)
     cov = g / max(n, 1) - np.outer(mean, mean)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,6 +329,37 @@ def pca_projection(spark, d):
     return z.select("episode_id", model.transform(F.col("z"), 4).alias("z"))
 
 
+_N = len(FEATURES)
+_PLANE = A.SQL["vfeat"] + f""",
+pz AS (SELECT episode_id, unnest([{", ".join(f"{n}::DOUBLE" for n in sorted(FEATURES))}]) AS x, unnest(range({_N})) AS p FROM vfeat),
+ps AS (SELECT p, avg(x) AS m, stddev_pop(x) + 1e-9 AS s FROM pz GROUP BY p), st AS (SELECT episode_id, p, (x - m) / s AS v FROM pz JOIN ps USING (p)),
+gr AS (SELECT i, list(c ORDER BY j) AS r FROM (SELECT a.p AS i, b.p AS j, avg(a.v * b.v) AS c FROM st a JOIN st b USING (episode_id) GROUP BY ALL) GROUP BY i), gm AS (SELECT list(r ORDER BY i) AS g FROM gr),
+e1(it, v) AS (SELECT 0, list_transform(range({_N}), lambda i: 1.0::DOUBLE + i / 10) UNION ALL SELECT it + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT it, list_transform(g, lambda r: list_inner_product(r, v)) AS w FROM e1, gm WHERE it < 600)),
+c1 AS (SELECT v AS a, list_inner_product(v, list_transform(g, lambda r: list_inner_product(r, v))) AS l FROM e1, gm WHERE it = 600),
+e2(it, v) AS (SELECT 0, list_transform(range({_N}), lambda i: 1.0::DOUBLE - i / 10) UNION ALL SELECT it + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM
+  (SELECT it, list_transform(g, lambda r, i: list_inner_product(r, v) - l * list_inner_product(a, v) * a[i]) AS w FROM e2, gm, c1 WHERE it < 600)),
+dirs AS (SELECT 1 AS k, a AS v FROM c1 UNION ALL SELECT 2, v FROM e2 WHERE it = 600),
+ld AS (SELECT k, unnest(v) AS w, unnest(range({_N})) AS p, sign(list_extract(v, list_position(list_transform(v, lambda x: abs(x)), list_max(list_transform(v, lambda x: abs(x)))))) AS s FROM dirs)"""
+
+
+@query(f"WITH RECURSIVE {_PLANE}\nSELECT episode_id, round(sum(v * w * s) FILTER (k = 1), 4) AS x, round(sum(v * w * s) FILTER (k = 2), 4) AS y FROM st JOIN ld USING (p) GROUP BY episode_id")
+def atlas_plane(spark, d):
+    """M1, M2, M6: places in the plane of the two leading components."""
+    z = settled(K.feature_matrix(K.velocity_features(A.velocity(spark, d))), "matrix")
+    place = M.fit_pca(z, 2).transform(F.col("z"))
+    return A.rounded(z.select("episode_id", place.alias("_p")).select("episode_id", F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y")), 4)
+
+
+@query(f"WITH RECURSIVE {_PLANE}\nSELECT i, round(unnest(r), 6) + 0.0 AS r, unnest(range({_N})) AS j FROM gr")
+def feature_correlations(spark, d):
+    """M1: cross products of the standardised features."""
+    n, s, g = M.moments(K.feature_matrix(K.velocity_features(A.velocity(spark, d))))
+    mean = s / max(n, 1)
+    cov = g / max(n, 1) - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
+    return A.rounded(spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(cov / np.outer(spread, spread)) for j, x in enumerate(row)], "i long, j long, r double"))
+
+
 @query()
 def shape_encoding(spark, d):
     """M3: representation B."""

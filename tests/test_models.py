@@ -32,6 +32,26 @@ def test_pca_like_svd(cloud):
     assert all(np.allclose(got[f"e{i}"], want[i], atol=1e-8) for i in range(len(x)))
 
 
+def test_wide_components_like_svd(spark):
+    """More dimensions than a matrix of cross products would be made for."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 6)) * [9, 7, 5, 4, 3, 2] @ rng.normal(size=(6, 1500)) + rng.normal(size=(120, 1500)) + 1000
+    x[:, 7] = 3.0
+    df = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,)], "z array<double>").repartition(7)
+    model = M.fit_pca(df, 3)
+    s = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    _, sv, vt = np.linalg.svd(s, full_matrices=False)
+    assert np.allclose(np.abs(model.components), np.abs(vt[:3]), atol=1e-6)
+    assert np.allclose(model.explained, (sv**2 / (sv**2).sum())[:3], rtol=1e-6) and np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, x.std(0) + 1e-9)
+
+
+def test_wide_path_on_few_dimensions(cloud):
+    x, df = cloud
+    a, b = M.fit_pca(df, 3), M.fit_pca(df, 3, narrow=0)
+    assert np.allclose(a.components, b.components, atol=1e-6) and np.allclose(a.explained, b.explained) and np.allclose(a.mean, b.mean)
+    assert not len(M.fit_pca(df.where("id < 0"), 3).components) and len(M.fit_pca(df.limit(1), 3, narrow=0).components) == 1
+
+
 def test_models_round_trip(spark, cloud, tmp_path):
     model = M.fit_pca(cloud[1], 2)
     save_model(spark, str(tmp_path / "m"), "a", model)
