@@ -103,7 +103,8 @@ def _best(k: int, x: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray
         part = q[at : at + 512]
         d2 = (part**2).sum(1)[:, None] - 2 * part @ x.T + (x**2).sum(1)[None]
         m = min(k + 1, len(x))
-        bound = np.partition(d2, m - 1, axis=1)[:, m - 1] + 1e-9
+        # What rounding may move squared distances by.
+        bound = np.partition(d2, m - 1, axis=1)[:, m - 1] + 1e-9 + 1e-12 * ((part**2).sum(1) + (x**2).sum(1).max())
         for i, row in enumerate(d2):
             near = np.flatnonzero(row <= bound[i])
             near = near[ids[near] != qid[at + i]]
@@ -118,71 +119,136 @@ def _stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(pdf["z"].to_numpy()), np.array(pdf["id"].tolist())
 
 
-def all_knn(index: DataFrame, k: int = K, metric: str = "euclidean", blocks: int | None = None) -> DataFrame:
-    """The k nearest others of every row (id, z), exact; ids keep their type.
+#: Rings of a cell: rows by their distance from its pivot.
+RINGS = 256
 
-    Rows are dealt to the cells of a few pivots, and each finds its k nearest in its own
-    block first. Their distance bounds what it still needs: only blocks of cells whose pivot, less
-    the cell's radius, is within it. Index rows stay in their block, queries go to the
-    blocks they need, and a task holds a block of each.
-    """
-    spark, kind = index.sparkSession, _id_kind(index)
-    rows = index.select("id", F.col("z").cast("array<double>").alias("z")).where("id is not null and z is not null")
-    total = rows.count()
-    cells = blocks or max(1, min(MOST_CELLS, -(-total // QUERY_BLOCK)))
-    none = {"query_id": kind, "id": kind, "dist": "double"}
-    found_kind = ", ".join(f"{n} {t}" for n, t in none.items())
 
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _stacked(pdf)
-        return _best(k, x, ids, x, ids, metric)
+def _flat(z: np.ndarray, metric: str) -> np.ndarray:
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12) if metric == "cosine" else z
+
+
+def _apart(z: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((z**2).sum(1)[:, None] - 2 * z @ pivots.T + (pivots**2).sum(1)[None], 0))
 
-    rank = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
-    if cells == 1 and total <= QUERY_BLOCK:
-        return rank(rows.groupBy(F.lit(0).alias("b")).applyInPandas(own, found_kind))
 
-    def flat(z: np.ndarray) -> np.ndarray:
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12) if metric == "cosine" else z
+class _Rings:
+    """Which rings of which cells can hold a row within a distance of a query."""
 
+    def __init__(self, pivots: np.ndarray, rings: list):
+        self.pivots, self.between = pivots, _apart(pivots, pivots)
+        own: dict = {}
+        for r in sorted(rings, key=lambda r: (r["cell"], r["ring"])):
+            own.setdefault(r["cell"], []).append((r["ring"], r["least"], r["most"]))
+        self.own = {c: tuple(np.array(x) for x in zip(*rows, strict=True)) for c, rows in own.items()}
+        self.reach = np.array([self.own[c][2][-1] if c in self.own else 0.0 for c in range(len(pivots))])
+        # No row's norm is greater.
+        self.norm = float((np.linalg.norm(pivots, axis=1) + self.reach).max())
+
+    def needed(self, z: np.ndarray, cell: np.ndarray, bound: np.ndarray) -> list[list[int]]:
+        """For each row the numbers cell * RINGS + ring. A cell is out where the plane between its pivot and the own one is too far, a ring where its distances from the pivot are."""
+        d, slack = _apart(z, self.pivots), 1e-6 * (self.norm + np.linalg.norm(z, axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d**2 - d[np.arange(len(z)), cell][:, None] ** 2 - 1e-10 * self.norm**2) / (2 * self.between[cell])
+        plane = np.where(self.between[cell] > 0, plane, -np.inf)
+        out: list[list[int]] = [[] for _ in z]
+        near = plane <= (bound + slack)[:, None]
+        for c, (ring, least, most) in self.own.items():
+            rows = np.flatnonzero(near[:, c])
+            low = np.searchsorted(most, d[rows, c] - bound[rows] - slack[rows], "left")
+            high = np.searchsorted(least, d[rows, c] + bound[rows] + slack[rows], "right")
+            for i, f, t in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True):
+                out[i] += (c * RINGS + ring[f:t]).tolist()
+        return out
+
+
+def _visits(rows: DataFrame, k: int, metric: str, cells: int, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows in their blocks (id, z, cell, block), the k nearest of each in its own block, and which other blocks each row has to visit (id, z, cell, block)."""
+    spark, kind = rows.sparkSession, _id_kind(rows)
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(cells).select("z").collect()
-    pivots = flat(np.array([r["z"] for r in picked], np.float64))
+    pivots = _flat(np.array([r["z"] for r in picked], np.float64), metric)
     sent = spark.sparkContext.broadcast(pivots)
 
     def deal(batches):
         for pdf in batches:
             if len(pdf):
-                z = flat(np.stack(pdf["z"].to_numpy()))
-                d = np.sqrt(np.maximum((z**2).sum(1)[:, None] - 2 * z @ sent.value.T + (sent.value**2).sum(1)[None], 0))
+                d = _apart(_flat(np.stack(pdf["z"].to_numpy()), metric), sent.value)
                 yield pdf.assign(cell=d.argmin(1).astype(np.int32), far=d.min(1))
 
     dealt = settled(rows.mapInPandas(deal, f"id {kind}, z array<double>, cell int, far double"), "cells")
-    # At most MOST_CELLS rows.
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"), F.max("far").alias("radius"))
-    sizes = settled(sizes, "sizes")
-    radius, count = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
-    for r in sizes.collect():
-        radius[r["cell"]], count[r["cell"]] = r["radius"], r["blocks"]
-    placed = dealt.join(F.broadcast(sizes.select("cell", "blocks")), "cell").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    first = settled(placed.groupBy("cell", "block").applyInPandas(lambda pdf: own(pdf), found_kind), "nearest")
+    # A cell's rows are cut into rings, a ring into blocks; at most MOST_CELLS cells of RINGS rings.
+    spread = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("far", [i / RINGS for i in range(1, RINGS)]).alias("far")).collect()
+    cuts = []
+    for r in spread:
+        wanted = min(RINGS, -(-r["n"] // block_rows))
+        cuts.append((r["cell"], sorted({r["far"][i * RINGS // wanted - 1] for i in range(1, wanted)})))
+    ringed = dealt.join(F.broadcast(spark.createDataFrame(cuts, "cell int, cuts array<double>")), "cell").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("far")))).drop("cuts")
+    rings = ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("pieces"), F.min("far").alias("least"), F.max("far").alias("most"))
+    rings = settled(rings, "rings")
+    pieces = F.broadcast(rings.select("cell", "ring", "pieces"))
+    block = lambda piece: F.shiftleft(F.col("ring").cast("long"), 32) + piece
+    placed = ringed.join(pieces, ["cell", "ring"]).withColumn("block", block(F.expr("pmod(xxhash64(id), pieces)"))).select("id", "z", "cell", "block")
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = _stacked(pdf)
+        return _best(k, x, ids, x, ids, metric)
+
+    first = settled(placed.groupBy("cell", "block").applyInPandas(own, f"query_id {kind}, id {kind}, dist double"), "nearest")
     # The distance of the k-th in the own block; without k of them, everything may be nearer.
     bound = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound")).withColumnRenamed("query_id", "id")
-    reach = spark.sparkContext.broadcast((radius, count))
+    reach = spark.sparkContext.broadcast(_Rings(pivots, rings.collect()))
 
     def need(batches):
-        r, n = reach.value
         for pdf in batches:
             if len(pdf):
-                z, b = flat(np.stack(pdf["z"].to_numpy())), pdf["bound"].fillna(np.inf).to_numpy()
+                b = pdf["bound"].fillna(np.inf).to_numpy()
                 b = np.sqrt(2 * b) if metric == "cosine" else b
-                d = np.sqrt(np.maximum((z**2).sum(1)[:, None] - 2 * z @ sent.value.T + (sent.value**2).sum(1)[None], 0))
-                near = d - r[None] <= b[:, None] + 1e-6
-                yield pdf[["id", "z", "cell", "block"]].assign(cells=[np.flatnonzero(x & (n > 0)).astype(np.int32).tolist() for x in near])
-
-    asked = placed.join(bound, "id", "left").select("id", "z", "cell", "block", "bound").mapInPandas(need, f"id {kind}, z array<double>, cell int, block int, cells array<int>")
-    asked = asked.select("id", "z", F.col("cell").alias("c0"), F.col("block").alias("b0"), F.explode("cells").alias("cell")).join(F.broadcast(sizes.select("cell", "blocks")), "cell")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("cell <> c0 or block <> b0").select("id", "z", "cell", "block")
-    asked = settled(asked, "asked")
-    turns = asked.groupBy("cell", "block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("turns"))
+                targets = reach.value.needed(_flat(np.stack(pdf["z"].to_numpy()), metric), pdf["cell"].to_numpy(), b)
+                yield pdf[["id", "z", "cell", "block"]].assign(targets=targets)
+
+    asked = placed.join(bound, "id", "left").select("id", "z", "cell", "block", "bound").mapInPandas(need, f"id {kind}, z array<double>, cell int, block long, targets array<long>")
+    asked = asked.select("id", "z", F.col("cell").alias("c0"), F.col("block").alias("b0"), F.explode("targets").alias("target"))
+    asked = asked.withColumns({"cell": F.floor(F.col("target") / RINGS).cast("int"), "ring": (F.col("target") % RINGS).cast("int")}).join(pieces, ["cell", "ring"])
+    asked = asked.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).withColumn("block", block(F.col("_p")))
+    return placed, first, settled(asked.where("cell <> c0 or block <> b0").select("id", "z", "cell", "block"), "asked")
+
+
+def _usable(index: DataFrame) -> DataFrame:
+    return index.select("id", F.col("z").cast("array<double>").alias("z")).where("id is not null and z is not null")
+
+
+def visited_share(index: DataFrame, k: int = K, metric: str = "euclidean", blocks: int | None = None, block_rows: int | None = None) -> float:
+    """Distances that all_knn() takes, of all pairs of rows."""
+    rows, block_rows = _usable(index), block_rows or QUERY_BLOCK
+    total = rows.count()
+    placed, _, asked = _visits(rows, k, metric, blocks or max(1, min(MOST_CELLS, -(-total // block_rows))), block_rows)
+    held, come = placed.groupBy("cell", "block").agg(F.count("*").alias("n")), asked.groupBy("cell", "block").agg(F.count("*").alias("m"))
+    return held.join(come, ["cell", "block"], "left").agg(F.sum(F.col("n") * (F.col("n") + F.coalesce("m", F.lit(0))))).first()[0] / total**2
+
+
+def all_knn(index: DataFrame, k: int = K, metric: str = "euclidean", blocks: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """The k nearest others of every row (id, z), exact; ids keep their type.
+
+    Rows are dealt to the cells of a few pivots, a cell's rows to rings by their distance
+    from its pivot, and each row finds its k nearest in its own block first. Their distance bounds what it
+    still needs: cells whose side of the plane between both pivots is within it, and of
+    those the rings whose distances are. Index rows stay in their block, queries go to the
+    blocks they need, and a task holds a block of each. Features leave most blocks out; vectors of
+    many independent dimensions are all about equally far, so their rows visit nearly all blocks (see visited_share()).
+    """
+    kind, rows, block_rows = _id_kind(index), _usable(index), block_rows or QUERY_BLOCK
+    total = rows.count()
+    cells = blocks or max(1, min(MOST_CELLS, -(-total // block_rows)))
+    found_kind = f"query_id {kind}, id {kind}, dist double"
+    rank = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = _stacked(pdf)
+        return _best(k, x, ids, x, ids, metric)
+
+    if cells == 1 and total <= block_rows:
+        return rank(rows.groupBy(F.lit(0).alias("b")).applyInPandas(own, found_kind))
+    placed, first, asked = _visits(rows, k, metric, cells, block_rows)
+    turns = asked.groupBy("cell", "block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("turns"))
     left = asked.join(turns, ["cell", "block"]).withColumn("turn", F.expr("cast(pmod(xxhash64(id), turns) as int)")).select("cell", "block", "turn", "id", "z")
     right = placed.join(turns, ["cell", "block"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("cell", "block", "turn", "id", "z")
 
