@@ -34,11 +34,19 @@ GAIT_FPS, ARENA_FPS = 100.0, 120.0
 ARENA = "episode_id string, species string, file_name string, date string, time string, first_frame long, last_frame long, frame long, x double, y double"
 
 
+def _whole(field) -> int | None:
+    """The integer of a field; none if it is empty or no number."""
+    try:
+        return int(field)
+    except (TypeError, ValueError):
+        return None
+
+
 def trial_rows(trial, name: str) -> Iterator[tuple]:
     """Samples of one trial of the arena data: positions in cm, species, file, date and the range of source frames.
 
     trial has the data set's own fields: Rcm_mm, species_name, file_name, date, time,
-    data_first_frame, data_last_frame. An unknown range is the sample numbers. A trial
+    data_first_frame, data_last_frame; a frame that is not given is null, see arena_samples(). A trial
     without positions gives no rows.
     """
     places = getattr(trial, "Rcm_mm", None)
@@ -47,10 +55,7 @@ def trial_rows(trial, name: str) -> Iterator[tuple]:
     if len(places) and not hasattr(places[0], "__len__"):
         places = [places]
     text = lambda field: str(getattr(trial, field, "")).strip()
-    frame = lambda field: int(getattr(trial, field, -1) or -1)
-    first, last = frame("data_first_frame"), frame("data_last_frame")
-    if last <= first:
-        first, last = 0, len(places) - 1
+    first, last = (_whole(getattr(trial, field, None)) for field in ("data_first_frame", "data_last_frame"))
     for i, p in enumerate(places):
         if len(p) >= 2:
             yield (name, text("species_name"), text("file_name"), text("date"), text("time"), first, last, i, float(p[0]), float(p[1]))
@@ -162,10 +167,16 @@ def register_sources(spark: SparkSession) -> None:
 
 
 def arena_samples(samples: DataFrame, least: int = 360) -> DataFrame:
-    """S3: samples with label, session and frame rate; trials without a label or with fewer finite positions than a third of ``least`` are left out."""
+    """S3: samples with label, session and frame rate; trials without a label or with fewer finite positions than a third of ``least`` are left out.
+
+    Where a trial's first or last source frame is missing, or the last isn't after the first, its range is that of its sample numbers.
+    """
     by = W.partitionBy("episode_id")
     ok = F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y")
     rows = samples.withColumns({"label": shamble_label(F.col("species")), "_good": F.count_if(ok).over(by)})
+    stated = F.coalesce(F.col("last_frame") > F.col("first_frame"), F.lit(False))
+    end = F.max("frame").over(by)
+    rows = rows.withColumns({"first_frame": F.when(stated, F.col("first_frame")).otherwise(0).cast("long"), "last_frame": F.when(stated, F.col("last_frame")).otherwise(end)})
     rows = rows.where(F.col("label").isNotNull() & (F.col("_good") >= least // 3)).drop("_good")
     day = F.coalesce(F.nullif("date", F.lit("")), F.lit("unknown_date"))
     return rows.withColumns({"site_id": F.lit("shamble2017_dryad"), "session_id": F.concat(F.lit("shamble2017_dryad/"), day), "source_video_id": F.col("file_name"), "fps": F.lit(ARENA_FPS)})
