@@ -213,7 +213,7 @@ eps AS (SELECT *, (end_frame - start_frame)::DOUBLE AS duration_s, n / (end_fram
 
 
 @query(A.sql("""SELECT video_id, track, n, observed, round(duration_s + 1e-9, 6) AS duration_s, round(coverage + 1e-9, 6) AS coverage, round(filled + 1e-9, 6) AS filled, round(mean_confidence + 1e-9, 6) AS mean_confidence, round(tracking_confidence + 1e-9, 6) AS tracking_confidence,
-array_to_string(list_filter([CASE WHEN coverage < 0.9 THEN 'gaps' END, CASE WHEN mean_confidence < 0.5 THEN 'faint' END, CASE WHEN ended = 'merge' THEN 'ended_by_merge' END], lambda x: x IS NOT NULL), ',') AS flags, 'ep_' || substr(sha256(video_id || '|' || track || '|' || start_frame), 1, 12) AS episode_id FROM eps""", "eps"))
+array_to_string(list_filter([CASE WHEN coverage < 0.9 THEN 'gaps' END, CASE WHEN round(mean_confidence, 9) < 0.5 THEN 'faint' END, CASE WHEN ended = 'merge' THEN 'ended_by_merge' END], lambda x: x IS NOT NULL), ',') AS flags, 'ep_' || substr(sha256(video_id || '|' || track || '|' || start_frame), 1, 12) AS episode_id FROM eps""", "eps"))
 def episodes_of_tracks(spark, d):
     """P8, P9, A32."""
     e = T.episodes_of(_points(spark, d), 1.0, 100.0, 700.0)
