@@ -36,8 +36,8 @@ def stored_atlas(spark, d):
     """K8: slim rows in the document as long as they fit, what is looked up one episode at a time as parts."""
     path = shared_path(spark, "atlas")
     slim = A.rounded(motion.labelled_features(spark, d).select(F.col("episode_id").cast("string").alias("key"), "label", F.col("distance").alias("x"), F.col("speed_mean").alias("y")), nudge=1e-9)
-    pairs = I.scene_neighbors(A.samples(spark, d), 1)
-    meta = pairs.groupBy("scene", "focal").agg(F.count("*").alias("neighbors")).select(F.col("focal").cast("string").alias("key"), "scene", "neighbors")
+    counts = I.neighbor_counts(A.samples(spark, d), 1)
+    meta = counts.select(F.col("focal").cast("string").alias("key"), "scene", "neighbors")
     B.save_frames({"episodes": slim, "meta": meta}, path, ("episodes",))
     got = B.load_frames(spark, path)
     return got["episodes"].select(F.lit("episodes").alias("section"), "*").unionByName(got["meta"].select(F.lit("meta").alias("section"), "*"), allowMissingColumns=True)
