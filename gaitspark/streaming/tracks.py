@@ -8,7 +8,7 @@ missed too many frames even where their video is silent.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ _DTYPES = {"long": "Int64", "double": "float64", "string": "string"}
 Tracker = GreedyTracker | TwoStageTracker
 #: Waiting boxes are kept in blocks of so many frames, one entry each.
 BLOCK = 64
+#: Rows of tracks that are handed on at once.
+GIVEN = 20_000
 BOX = np.dtype([("frame", "<i8"), ("x1", "<f8"), ("y1", "<f8"), ("x2", "<f8"), ("y2", "<f8"), ("confidence", "<f8")])
 
 
@@ -43,8 +45,8 @@ def _rows(video: str | None, rows: list[tuple]) -> pd.DataFrame:
     return out.astype({c.split()[0]: _DTYPES[c.split()[1]] for c in POINTS.split(", ")})
 
 
-def _moved(t: Tracker, before: int | None, frames: dict[int, np.ndarray], whole: int | None) -> tuple[list[tuple], int | None]:
-    """Rows of the tracker's steps through frames and the silence up to frame ``whole``, and the last frame passed."""
+def _moved(video: str | None, t: Tracker, before: int | None, frames: Iterable[tuple[int, np.ndarray]], whole: int | None) -> Generator[pd.DataFrame, None, int | None]:
+    """Rows of the tracker's steps through frames, which come in order, and the silence up to frame ``whole``, about GIVEN at once; returns the last frame passed."""
     known, rows = {x.number for x in t.live()}, []
 
     def hand_on(frame: int) -> None:
@@ -54,18 +56,24 @@ def _moved(t: Tracker, before: int | None, frames: dict[int, np.ndarray], whole:
             known.add(x.number)
             x.points = x.points[-1:]
         rows.extend((x.number, None, x.ended, *x.points[-1][:1], *[None] * 6, "ended") for x in done)
+        known.difference_update(x.number for x in done)
 
-    for frame in sorted(frames):
+    for frame, boxes in frames:
         if before is not None:
             t.skipped(before, frame)
-        t.step(frame, frames[frame])
+        t.step(frame, boxes)
         before = frame
         hand_on(frame)
+        if len(rows) >= GIVEN:
+            yield _rows(video, rows)
+            rows.clear()
     if whole is not None and before is not None and whole - 1 > before:
         t.skipped(before, whole)
         before = whole - 1
         hand_on(before)
-    return rows, before
+    if rows:
+        yield _rows(video, rows)
+    return before
 
 
 class TrackProcessor(StatefulProcessor):
@@ -98,20 +106,26 @@ class TrackProcessor(StatefulProcessor):
 
     def _advance(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
         whole = watermark // self.frame_ms
-        waiting = {k[0]: np.frombuffer(bytes(v[0]), BOX) for k, v in self.waiting.iterator()}
         before, born = self.clock.get() if self.clock.exists() else (None, 0)
         t, old = self.make(), {k[0]: bytes(v[0]) for k, v in self.open.iterator()}
         t.resume([_track(n, e) for n, e in sorted(old.items())])
         t.born = born
         left = []
-        for block, boxes in waiting.items():
-            later = boxes[boxes["frame"] >= whole]
-            left += later["frame"].tolist()
-            if not len(later):
-                self.waiting.removeKey((block,))
-            elif len(later) < len(boxes):
-                self.waiting.updateValue((block,), (later.tobytes(),))
-        rows, before = _moved(t, before, _frames(waiting.values(), whole), whole)
+
+        def passed() -> Iterator[tuple[int, np.ndarray]]:
+            # One block at a time is fetched and leaves.
+            for block in sorted(k[0] for k in self.waiting.keys()):
+                boxes = np.frombuffer(bytes(self.waiting.getValue((block,))[0]), BOX)
+                later = boxes[boxes["frame"] >= whole]
+                if len(later):
+                    left.append(int(later["frame"].min()))
+                if not len(later):
+                    self.waiting.removeKey((block,))
+                elif len(later) < len(boxes):
+                    self.waiting.updateValue((block,), (later.tobytes(),))
+                yield from _frames([boxes], whole)
+
+        before = yield from _moved(key[0], t, before, passed(), whole)
         now = {x.number: _entry(x) for x in t.live()}
         for n in old.keys() - now.keys():
             self.open.removeKey((n,))
@@ -126,19 +140,18 @@ class TrackProcessor(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if left or now:
             self.handle.registerTimer(max(turn * self.frame_ms, watermark + 1))
-        if rows:
-            yield _rows(key[0], rows)
 
     def close(self) -> None:
         pass
 
 
-def _frames(blocks: Iterable[np.ndarray], whole: int | None = None) -> dict[int, np.ndarray]:
-    """The boxes of each frame before ``whole``, as trackers take them."""
+def _frames(blocks: Iterable[np.ndarray], whole: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """The boxes of each frame before ``whole``, in order, as trackers take them."""
     boxes = np.concatenate([np.empty(0, BOX), *blocks])
     boxes = np.sort(boxes if whole is None else boxes[boxes["frame"] < whole], order="frame", kind="stable")
     frames, starts = np.unique(boxes["frame"], return_index=True)
-    return {f: detections_array(one) for f, one in zip(frames.tolist(), np.split(boxes, starts[1:]), strict=False)}
+    for f, one in zip(frames.tolist(), np.split(boxes, starts[1:]), strict=False):
+        yield f, detections_array(one)
 
 
 def _gap(t: Tracker) -> int:
@@ -179,9 +192,8 @@ def flush_tracks(spark: SparkSession, path: str, method: str = "two-stage", sett
         t.resume([_track(int(n), bytes(e)) for n, e in sorted(zip(of("open").n, of("open").raw, strict=True))])
         for n, born in zip(of("clock").n, of("clock").born, strict=True):
             before, t.born = int(n), int(born)
-        rows, _ = _moved(t, before, _frames(np.frombuffer(bytes(b), BOX) for b in of("waiting").raw), None)
-        rows += [(x.number, None, x.ended, x.frame, *[None] * 6, "ended") for x in t.finish()]
-        return _rows(key[0], rows)
+        parts = list(_moved(key[0], t, before, _frames(np.frombuffer(bytes(b), BOX) for b in of("waiting").raw), None))
+        return pd.concat([*parts, _rows(key[0], [(x.number, None, x.ended, x.frame, *[None] * 6, "ended") for x in t.finish()])])
 
     return open_.union(waiting).union(clock).groupBy("video_id").applyInPandas(finish, POINTS)
 

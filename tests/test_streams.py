@@ -1,11 +1,14 @@
 """Streams against batches: order, late rows, restarts, what is left at the end."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gaitspark.operators import tracking as T
 from gaitspark.plans import scenes, streams
 from gaitspark.session import shared_path
+from gaitspark.streaming import tracks
 from gaitspark.streaming import flush_tracks, run_available, session_stream, track_stream, tracks_of
 
 from .oracle import DATA
@@ -90,3 +93,14 @@ def test_stream_of_events_is_the_batch(spark):
 
 def test_shared_paths_are_fresh(spark):
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def test_rows_are_handed_on_in_parts(monkeypatch):
+    """What a long walk gives leaves in parts of bounded size, and is that of a walk that gives it at once."""
+    boxes = [(f, np.array([[10.0 * i + f, 5.0, 6.0, 6.0, 0.9] for i in range(20)])) for f in range(300)]
+    got = {}
+    for most in (100, 10**9):
+        monkeypatch.setattr(tracks, "GIVEN", most)
+        got[most] = list(tracks._moved("v", T.tracker("greedy", None, {"gap": 3, "jump": 30.0}), None, iter(boxes), None))
+    assert len(got[10**9]) == 1 and len(got[100]) == 60 and max(map(len, got[100])) <= 120
+    assert pd.concat(got[100], ignore_index=True).equals(got[10**9][0])
